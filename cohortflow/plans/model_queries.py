@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortflow.functions.numeric import rounded
 from cohortflow.operators import evaluate, forecast, linear, normalize
-from cohortflow.plans.proxies import event_study, order_study
+from cohortflow.plans.proxies import order_study
 from cohortflow.plans.registry import query
 from cohortflow.plans.sql import fragment, metric_sql, r6, with_query
 from cohortflow.plans.study_queries import event_forecast
@@ -40,9 +40,6 @@ def normal_equations(name: str, design: str, targets: str, alpha: str, intercept
     ``targets(id, t, y)`` up to ``<name>_coef(t, j, coef)`` and ``<name>_icpt(t, intercept)``."""
     fragment(f"{name}_xm", f"SELECT j, avg(x) AS xm, count(*) AS n, sum(x) AS sx FROM {design} GROUP BY j", design)
     fragment(f"{name}_ym", f"SELECT t, avg(y) AS ym FROM {targets} GROUP BY t", targets)
-    centre_a = "- any_value(xa.xm)" if intercept else ""
-    centre_b = "- any_value(xb.xm)" if intercept else ""
-    del centre_a, centre_b
     xa, xb = ("(a.x - xa.xm)", "(b.x - xb.xm)") if intercept else ("a.x", "b.x")
     extra = f"+ coalesce((SELECT sum(w) FROM {penalty} q WHERE q.i = a.j AND q.j = b.j), 0)" if penalty else ""
     fragment(
@@ -319,7 +316,7 @@ def benchmark_models(spark, sf):
 
 
 # Cross-sectional study: last values come from train condition x time means.
-GROUP_MIN_TIME = 1994.0
+GROUP_MIN_TIME = 1997.0
 fragment("p2_keys", "SELECT DISTINCT o.condition, o.time FROM p2_obs o JOIN p2_units u USING (unit) WHERE u.split = 'train'", "p2_obs", "p2_units")
 fragment(
     "p2_inst",
@@ -456,7 +453,3 @@ def group_ridge_scores(spark, sf):
         "split", "x", F.element_at(labels, F.col("c.t") + 1).alias("feature"), F.col("c.y").alias("y_true")
     )
     return _round(evaluate.grouped_scores(linear.predict(cells, coefs), ["split"]).drop("_defined"), *SCORE_NAMES)
-
-
-def train_study(spark, sf):
-    return event_study(spark, sf)

@@ -147,7 +147,7 @@ def val_assay_values(spark, sf):
 @query(
     "val_unfillable_features",
     with_query(
-        """SELECT modality, feature, count(normalized) FILTER (WHERE split = 'train' AND condition = 'MACHINERY' AND time = 1992) AS n_train
+        """SELECT modality, feature, count(normalized) FILTER (WHERE split = 'train' AND condition = 'MACHINERY' AND time = 1996) AS n_train
         FROM p2_norm GROUP BY ALL HAVING n_train = 0""",
         "p2_norm",
     ),
@@ -155,7 +155,7 @@ def val_assay_values(spark, sf):
 def val_unfillable_features(spark, sf):
     cells = order_study(spark, sf).cells
     # Only one stratum counts as train here, so thin features show up.
-    thin = cells.withColumn("split", F.when((F.col("condition") == "MACHINERY") & (F.col("time") == 1992), F.col("split")))
+    thin = cells.withColumn("split", F.when((F.col("condition") == "MACHINERY") & (F.col("time") == 1996), F.col("split")))
     return validate.unfillable_features(thin, "normalized")
 
 
@@ -285,9 +285,9 @@ def _id_map_inputs(spark, sf):
         UNION SELECT DISTINCT 'lipid', c_mktsegment FROM customer),
       t AS (SELECT DISTINCT 'rna' AS modality, p_brand AS source_id, 'S' || p_size::VARCHAR AS target_id FROM part WHERE p_size <= 3
         UNION SELECT DISTINCT 'protein', p_type, 'R' || floor(p_retailprice / 500)::BIGINT::VARCHAR FROM part WHERE p_type <> 'ECONOMY'),
-      n AS (SELECT f.modality, f.source_id, CASE WHEN f.modality = 'lipid' THEN 1 ELSE count(t.target_id) END AS n FROM f LEFT JOIN t USING (modality, source_id) GROUP BY ALL)
-    SELECT modality, count(*) AS n_features, count(*) FILTER (WHERE n > 0) AS n_mapped, count(*) FILTER (WHERE n = 0) AS n_unmapped,
-      count(*) FILTER (WHERE n > 1) AS n_ambiguous, sum(n)::BIGINT AS n_pairs FROM n GROUP BY modality""",
+      c AS (SELECT modality, source_id, CASE WHEN modality = 'lipid' THEN 1 ELSE count(target_id) END AS k FROM f LEFT JOIN t USING (modality, source_id) GROUP BY modality, source_id)
+    SELECT modality, count(*) AS n_features, count(*) FILTER (WHERE k > 0) AS n_mapped, count(*) FILTER (WHERE k = 0) AS n_unmapped,
+      count(*) FILTER (WHERE k > 1) AS n_ambiguous, sum(k)::BIGINT AS n_pairs FROM c GROUP BY modality""",
 )
 def idmap_summary(spark, sf):
     return idmap.map_summary(idmap.map_features(*_id_map_inputs(spark, sf)))
