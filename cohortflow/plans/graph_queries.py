@@ -327,19 +327,23 @@ class ArmStudy:
         lap = graph.laplacian(graph.symmetric_weights(edges))
         return GRAPH_WEIGHT * arms.laplacian_matrix(lap, self.names, self.width)
 
+    def _fit(self, arm, seeds, penalty):
+        """One fit serves every seed the arm does not depend on."""
+        keep = self.columns(arm)
+        fit = arms.arm_coefficients(self.mom, keep, self.width, ALPHA, penalty)
+        return fit.select(
+            "t", "coef", "intercept", F.lit(arm.name).alias("arm"), F.explode(F.array(*[F.lit(s).cast("bigint") for s in seeds])).alias("seed"),
+            F.lit((len(keep) + 1) * len(self.target_names)).cast("bigint").alias("n_parameters"),
+        )
+
     def runs(self):
         real = self.penalty(self.edges)
         parts = []
-        for seed in ARM_SEEDS:
-            random = self.penalty(graph.rewire(self.edges, seed + 17))
-            for name in arms.ARMS:
-                arm = arms.Arm(name)
-                keep = self.columns(arm)
-                pen = (random if arm.randomized else real) if arm.graph else None
-                fit = arms.arm_coefficients(self.mom, keep, self.width, ALPHA, pen)
-                parts.append(
-                    fit.select("t", "coef", "intercept", F.lit(name).alias("arm"), F.lit(seed).cast("bigint").alias("seed"), F.lit((len(keep) + 1) * len(self.target_names)).cast("bigint").alias("n_parameters"))
-                )
+        for arm in map(arms.Arm, arms.ARMS):
+            if arm.randomized:
+                parts += [self._fit(arm, [s], self.penalty(graph.rewire(self.edges, s + 17))) for s in ARM_SEEDS]
+            else:
+                parts.append(self._fit(arm, ARM_SEEDS, real if arm.graph else None))
         coefs = linear.named_targets(reduce(lambda a, b: a.unionByName(b), parts), self.target_names)
         coefs = stage(coefs, "arm-coefficients")
         labels = F.array(*[F.lit(t) for t in self.target_names])

@@ -147,7 +147,7 @@ def val_assay_values(spark, sf):
 @query(
     "val_unfillable_features",
     with_query(
-        """SELECT modality, feature, count(normalized) FILTER (WHERE split = 'train' AND condition = 'MACHINERY' AND time = 1996) AS n_train
+        """SELECT modality, feature, count(normalized) FILTER (WHERE split = 'train' AND condition = 'MACHINERY' AND time = 2001 AND batch = 'ASIA') AS n_train
         FROM p2_norm GROUP BY ALL HAVING n_train = 0""",
         "p2_norm",
     ),
@@ -155,7 +155,7 @@ def val_assay_values(spark, sf):
 def val_unfillable_features(spark, sf):
     cells = order_study(spark, sf).cells
     # Only one stratum counts as train here, so thin features show up.
-    thin = cells.withColumn("split", F.when((F.col("condition") == "MACHINERY") & (F.col("time") == 1996), F.col("split")))
+    thin = cells.withColumn("split", F.when((F.col("condition") == "MACHINERY") & (F.col("time") == 2001) & (F.col("batch") == "ASIA"), F.col("split")))
     return validate.unfillable_features(thin, "normalized")
 
 
