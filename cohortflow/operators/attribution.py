@@ -153,9 +153,11 @@ def attribution_ranks(boot: DataFrame) -> DataFrame:
     return boot.withColumn("rank", F.row_number().over(w))
 
 
-def stability_table(attributions: DataFrame, ablation: DataFrame, permutation: DataFrame, config: StabilityConfig, seed: int, units: DataFrame | None = None) -> DataFrame:
-    """Candidate rows with sign consistency, rank, selection frequency, bounds and the pass flag."""
-    units = unit_attributions(attributions) if units is None else units
+def stability_table(units: DataFrame, ablation: DataFrame, permutation: DataFrame, config: StabilityConfig, seed: int, target_modality: str) -> DataFrame:
+    """Candidate rows with sign consistency, rank, selection frequency, bounds and the pass flag.
+
+    ``units`` comes from ``unit_attributions``. Sources and targets are ``modality:feature``.
+    """
     pair = ["source", "target"]
     mean = units.groupBy(*pair).agg((F.sum("s") / F.sum("n")).alias("mean_attribution")).withColumn("_sign", dead_sign(F.col("mean_attribution")))
     boot = attribution_ranks(bootstrap_means(units, config.n_bootstrap, seed)).join(mean, pair)
@@ -175,9 +177,12 @@ def stability_table(attributions: DataFrame, ablation: DataFrame, permutation: D
         & (F.col("stability") >= config.min_stability)
     )
     direction = F.when(F.col("mean_attribution") > ZERO_VARIANCE, "up").when(F.col("mean_attribution") < -ZERO_VARIANCE, "down").otherwise("unknown")
+    table = table.withColumns({"passed_stability": passed, "predicted_direction": direction}).withColumn("target", F.concat_ws(":", F.lit(target_modality), "target"))
     return table.withColumns(
         {
-            "candidate_id": F.concat_ws("->", *pair), "passed_stability": passed, "predicted_direction": direction,
+            "candidate_id": F.concat_ws("->", *pair),
+            "source_modality": F.substring_index("source", ":", 1), "source_id": F.expr("substr(source, instr(source, ':') + 1)"),
+            "target_modality": F.lit(target_modality), "target_id": F.expr("substr(target, instr(target, ':') + 1)"),
             "claim_kind": F.lit(CLAIM_KIND), "caveat": F.lit(CAVEAT),
         }
     ).drop("_sign", "_sb", "_sf")

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from cohortflow.functions.numeric import dot
 from cohortflow.operators.scan import exact_quantiles
+from cohortflow.session import stage
 
 MAX_DESIGN = 2048  # p x p doubles on the driver: 32 MB
+MAX_TARGETS = 200_000  # target names are a matrix header; their coefficients stay distributed
 
 
 class DesignTooWide(ValueError):
@@ -122,8 +124,9 @@ def targets_per_row(targets: DataFrame, key: str, target_names: list[str], value
 
 
 def target_names(targets: DataFrame) -> list[str]:
-    rows = targets.select("feature").distinct().limit(MAX_DESIGN + 1).collect()
-    check_width(len(rows))
+    rows = targets.select("feature").distinct().limit(MAX_TARGETS + 1).collect()
+    if len(rows) > MAX_TARGETS:
+        raise DesignTooWide(f"more than {MAX_TARGETS} targets")
     return sorted(r["feature"] for r in rows)
 
 
@@ -173,12 +176,14 @@ def moments(rows: DataFrame, p: int) -> Moments:
         )
 
     partial = rows.select("x", "t", "y").mapInArrow(run, "kind string, id int, vec array<double>")
-    summed = (
+    summed = stage(
         partial.select("kind", "id", F.posexplode("vec").alias("pos", "v"))
         .groupBy("kind", "id", "pos").agg(F.sum("v").alias("v"))
         .groupBy("kind", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("e"))
-        .select("kind", "id", F.col("e.v").alias("vec"))
-    ).persist()
+        .select("kind", "id", F.col("e.v").alias("vec")),
+        "moments",
+        ["kind"],
+    )
     full = np.zeros((p + 1, p + 1))
     for row in summed.where("kind = 'g'").collect():
         full[row["id"]] = row["vec"]

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortflow.functions.numeric import rounded
-from cohortflow.operators import attribution, linear, normalize
-from cohortflow.plans.model_queries import EventModel
-from cohortflow.plans.proxies import EVENT_ASSAY, event_cells, table
+from cohortflow.operators import attribution
+from cohortflow.plans.model_queries import ALPHA
+from cohortflow.plans.proxies import EVENT_ASSAY, event_cells, event_forecast, table
 from cohortflow.plans.registry import query
+from cohortflow.plans.runs import Explained, Prior, Ridge
 from cohortflow.plans.sql import fragment, r6, with_query
-from cohortflow.session import stage
 
 STABILITY_SEED, PERM_SEED, N_SEEDS = 13, 17, 3
 CONFIG = attribution.StabilityConfig(top_k_per_target=3)
@@ -20,27 +20,8 @@ def _round(df, *names):
     return df.withColumns({n: rounded(F.col(n)) for n in names})
 
 
-class Explained:
-    def __init__(self, spark, sf):
-        self.model = EventModel(spark, sf)
-        self.coefs = stage(self.model.fit(), "ridge-coefficients")
-        self.val = normalize.subset(self.model.rows, "val")
-        self.baseline = attribution.train_mean_baseline(normalize.subset(self.model.rows, "train"), self.model.study.cells)
-        self.names = self.model.names
-
-    def attributions(self):
-        return attribution.linear_attributions(self.val, self.coefs, self.names, self.baseline)
-
-    def ablation(self):
-        return attribution.ablation_delta(self.val, self.coefs, self.names)
-
-    def permutation(self):
-        scored = linear.predict(self.model.cells().where("split = 'val'"), self.coefs)
-        return attribution.permutation_delta(self.val, scored, self.coefs, self.names, N_SEEDS, PERM_SEED)
-
-    def stability(self):
-        units = stage(attribution.unit_attributions(self.attributions()), "unit-attributions")
-        return attribution.stability_table(None, self.ablation(), self.permutation(), CONFIG, STABILITY_SEED, units)
+def explained(spark, sf):
+    return Explained(Ridge(event_forecast(spark, sf), ALPHA), CONFIG, N_SEEDS, PERM_SEED)
 
 
 # Only instances with an observed target are scored, so the design rows follow the targets.
@@ -63,7 +44,7 @@ fragment(
 
 @query("ig_linear", with_query(f"SELECT instance_id, group_id, source, target, baseline, {r6('value', 'value')} FROM ex_attr", "ex_attr"))
 def ig_linear(spark, sf):
-    return _round(Explained(spark, sf).attributions(), "value")
+    return _round(explained(spark, sf).attributions(), "value")
 
 
 fragment(
@@ -75,7 +56,7 @@ fragment(
 
 @query("ablation_delta", with_query(f"SELECT source, target, {r6('ablation_delta', 'ablation_delta')} FROM ex_abl", "ex_abl"))
 def ablation_delta(spark, sf):
-    return _round(Explained(spark, sf).ablation(), "ablation_delta")
+    return _round(explained(spark, sf).ablation(), "ablation_delta")
 
 
 fragment(
@@ -98,7 +79,7 @@ fragment(
 
 @query("permutation_delta", with_query(f"SELECT source, target, {r6('permutation_delta', 'permutation_delta')} FROM ex_perm", "ex_perm"))
 def permutation_delta(spark, sf):
-    return _round(Explained(spark, sf).permutation(), "permutation_delta")
+    return _round(explained(spark, sf).permutation(), "permutation_delta")
 
 
 fragment("st_mean", "SELECT source, target, avg(value) AS mean_attribution FROM ex_attr GROUP BY ALL", "ex_attr")
@@ -136,21 +117,22 @@ _DIRECTION = "CASE WHEN mean_attribution > 1e-12 THEN 'up' WHEN mean_attribution
 @query(
     "stability_table",
     with_query(
-        f"""SELECT source || '->' || target AS candidate_id, source, target, {', '.join(r6(n, n) for n in ST_NUMBERS)}, {_PASS} AS passed_stability, {_DIRECTION} AS predicted_direction,
+        f"""SELECT source || '->protein:' || target AS candidate_id, source, 'protein:' || target AS target, split_part(source, ':', 1) AS source_modality, split_part(source, ':', 2) AS source_id,
+          'protein' AS target_modality, target AS target_id, {', '.join(r6(n, n) for n in ST_NUMBERS)}, {_PASS} AS passed_stability, {_DIRECTION} AS predicted_direction,
           'hypothesis' AS claim_kind, '{attribution.CAVEAT}' AS caveat FROM st_table""",
         "st_table",
     ),
 )
 def stability_table(spark, sf):
-    return _round(attribution.ordered_candidates(Explained(spark, sf).stability()), *ST_NUMBERS)
+    return _round(attribution.ordered_candidates(explained(spark, sf).stability(seed=STABILITY_SEED)), *ST_NUMBERS)
 
 
 @query(
     "stable_top_n",
-    with_query(f"SELECT source || '->' || target AS candidate_id, {r6('stability', 'stability')}, {_DIRECTION} AS predicted_direction FROM st_table WHERE {_PASS} ORDER BY st_table.stability DESC, abs(mean_attribution) DESC, source || '->' || target LIMIT 4", "st_table"),
+    with_query(f"SELECT source || '->protein:' || target AS candidate_id, {r6('stability', 'stability')}, {_DIRECTION} AS predicted_direction FROM st_table WHERE {_PASS} ORDER BY st_table.stability DESC, abs(mean_attribution) DESC, source || '->' || target LIMIT 4", "st_table"),
 )
 def stable_top_n(spark, sf):
-    top = attribution.select_stable(Explained(spark, sf).stability(), 4)
+    top = attribution.select_stable(explained(spark, sf).stability(seed=STABILITY_SEED), 4)
     return _round(top.select("candidate_id", "stability", "predicted_direction"), "stability")
 
 
@@ -173,22 +155,40 @@ def event_prior(spark, sf):
     pathways = types.where("event_type IN ('click', 'view')").select(F.lit("PW1").alias("pathway_id"), F.lit("rna").alias("modality"), F.col("event_type").alias("feature")).union(
         types.where("event_type = 'purchase'").select(F.lit("PW1-PROT"), F.lit("protein"), "event_type")
     )
-    return edges, pathways, vectors
+    return Prior(edges, pathways, vectors, 2)
 
 
-@query(
-    "prior_flags",
-    """WITH n AS (SELECT DISTINCT CASE WHEN event_type IN ('purchase','error') THEN 'protein:' ELSE 'rna:' END || event_type AS node, event_type FROM events),
+FLAGS_SQL = """WITH n AS (SELECT DISTINCT CASE WHEN event_type IN ('purchase','error') THEN 'protein:' ELSE 'rna:' END || event_type AS node, event_type FROM events),
       e AS (SELECT a.event_type AS s, b.event_type AS t, count(*)::DOUBLE / max(count(*)) OVER () AS score FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_type <> b.event_type GROUP BY ALL),
       k AS (SELECT s, t FROM e WHERE score >= 0.95),
       c AS (SELECT a.node AS source, b.node AS target, a.event_type AS s, b.event_type AS t FROM n a CROSS JOIN n b WHERE b.event_type IN ('purchase', 'error')),
       f AS (SELECT *, EXISTS (SELECT 1 FROM k WHERE (k.s = c.s AND k.t = c.t) OR (k.s = c.t AND k.t = c.s)) OR (c.s IN ('click','view','purchase') AND c.t IN ('click','view','purchase')) AS edge FROM c)
-    SELECT source, target, edge AS prior_edge_used, NOT edge AS de_novo_model_edge, s <> 'signup' AND t <> 'signup' AS embedding_supported FROM f""",
-)
+    SELECT source, target, edge AS prior_edge_used, NOT edge AS de_novo_model_edge, s <> 'signup' AND t <> 'signup' AS embedding_supported FROM f"""
+
+
+@query("prior_flags", FLAGS_SQL)
 def prior_flags(spark, sf):
-    edges, pathways, vectors = event_prior(spark, sf)
+    prior = event_prior(spark, sf)
     cells = event_cells(spark, sf)
     sources = cells.select(F.concat_ws(":", "modality", "feature").alias("source")).distinct()
     targets = cells.where("modality = 'protein'").agg(F.array_sort(F.collect_set(F.concat_ws(":", "modality", "feature"))).alias("t"))
     candidates = sources.join(targets, how="left").select("source", F.explode("t").alias("target"))
-    return attribution.prior_flags(candidates, edges, pathways, vectors)
+    return attribution.prior_flags(candidates, prior.edges, prior.pathways, prior.embeddings)
+
+
+fragment("pf_flags", FLAGS_SQL)
+
+
+@query(
+    "candidates",
+    with_query(
+        f"""SELECT t.source || '->protein:' || t.target AS candidate_id, split_part(t.source, ':', 1) AS source_modality, split_part(t.source, ':', 2) AS source_id, 'protein' AS target_modality, t.target AS target_id,
+          {', '.join(r6('t.' + n, n) for n in ST_NUMBERS)}, f.prior_edge_used, f.embedding_supported, f.de_novo_model_edge, {_PASS} AS passed_stability, {_DIRECTION} AS predicted_direction,
+          'hypothesis' AS claim_kind, '{attribution.CAVEAT}' AS caveat FROM st_table t JOIN pf_flags f ON f.source = t.source AND f.target = 'protein:' || t.target""",
+        "st_table", "pf_flags",
+    ),
+)
+def candidates(spark, sf):
+    """The full candidate table: stability, perturbation and prior flags."""
+    table_ = explained(spark, sf).candidates(event_prior(spark, sf), seed=STABILITY_SEED)
+    return _round(table_.drop("source", "target"), *ST_NUMBERS)

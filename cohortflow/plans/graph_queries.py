@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortflow.functions.numeric import rounded
-from cohortflow.operators import arms, evaluate, graph, linear, normalize, validate
-from cohortflow.plans.model_queries import ALPHA, INPUTS, OrderForecast
-from cohortflow.plans.proxies import order_cells, table
+from cohortflow.operators import arms, graph, validate
+from cohortflow.plans.proxies import order_cells, order_forecast, table
 from cohortflow.plans.registry import query
+from cohortflow.plans.runs import Prior, prior_arms
 from cohortflow.plans.sql import fragment, r6, with_query
 from cohortflow.session import stage
 
@@ -198,8 +197,6 @@ def catalogue_pairs(spark, sf):
 
 
 def catalogue_edges(spark, sf):
-    from pyspark.sql import Window
-
     kept = catalogue_pairs(spark, sf)
     directed = kept.select(
         F.lit("rna").alias("source_modality"), F.col("p_brand").alias("source_id"), F.lit("protein").alias("target_modality"), F.col("p_type").alias("target_id"),
@@ -284,80 +281,19 @@ def arm_graph_note(spark, sf):
 
 
 ARM_SEEDS = [20260901, 20260902, 20260903]
-GRAPH_WEIGHT = 0.1
-
-
-class ArmStudy:
-    """Full design of the order study: inputs, covariates, pathway and embedding columns."""
-
-    def __init__(self, spark, sf):
-        f = OrderForecast(spark, sf)
-        self.edges = stage(catalogue_edges(spark, sf), "catalogue-edges")
-        self.names = linear.feature_names(f.study.cells, INPUTS)
-        conditions = linear.train_conditions(f.train_obs)
-        self.target_names = linear.target_names(f.study.target())
-        base = linear.design_names(self.names, conditions)
-        # One vector per feature: the mean embedding of the label its position maps to.
-        dim_rows = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("d", "v")).groupBy("label", "d").agg(F.avg(F.col("v").cast("double")).alias("v"))
-        index = spark.createDataFrame([(n, i % 10) for i, n in enumerate(self.names)], "name string, label int")
-        vectors = dim_rows.join(index, "label").select("name", "d", F.col("v").alias("w"))
-        cells = f.means.where(F.col("mean").isNotNull()).withColumn("name", F.concat_ws(":", "modality", "feature"))
-        projected = cells.join(vectors, "name").groupBy("condition", "time", "d").agg(F.sum(F.col("mean") * F.col("w")).alias("v"))
-        packed = projected.groupBy("condition", "time").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("e")).select("condition", "time", F.col("e.v").alias("emb"))
-        activity = graph.pathway_activity(f.means.drop("split"), catalogue_pathways(spark, sf), ["condition", "time"], "mean")
-        paths = activity.groupBy("condition", "time").agg(F.array_sort(F.collect_list(F.struct("pathway_id", "activity"))).alias("e")).select("condition", "time", F.col("e.activity").alias("path"))
-        extra = packed.join(paths, ["condition", "time"]).withColumnsRenamed({"condition": "key_condition", "time": "key_time"})
-        sizes = extra.agg(F.max(F.size("path")), F.max(F.size("emb"))).first()
-        design = linear.group_design(f.instances, f.keys, f.means, self.names, conditions)
-        wide = design.join(extra, ["key_condition", "key_time"]).withColumn("x", F.concat("x", "path", "emb")).drop("path", "emb")
-        self.rows = stage(wide.join(linear.targets_per_row(f.targets, "instance_id", self.target_names), "instance_id"), "arm-design", ["split"])
-        self.n_base, self.n_path, self.n_emb = len(base), sizes[0], sizes[1]
-        self.width = self.n_base + self.n_path + self.n_emb
-        self.mom = linear.moments(normalize.subset(self.rows, "train"), self.width)
-
-    def columns(self, arm):
-        keep = list(range(self.n_base))
-        if arm.pathway:
-            keep += range(self.n_base, self.n_base + self.n_path)
-        if arm.embedding:
-            keep += range(self.n_base + self.n_path, self.width)
-        return keep
-
-    def penalty(self, edges):
-        lap = graph.laplacian(graph.symmetric_weights(edges))
-        return GRAPH_WEIGHT * arms.laplacian_matrix(lap, self.names, self.width)
-
-    def _fit(self, arm, seeds, penalty):
-        """One fit serves every seed the arm does not depend on."""
-        keep = self.columns(arm)
-        fit = arms.arm_coefficients(self.mom, keep, self.width, ALPHA, penalty)
-        return fit.select(
-            "t", "coef", "intercept", F.lit(arm.name).alias("arm"), F.explode(F.array(*[F.lit(s).cast("bigint") for s in seeds])).alias("seed"),
-            F.lit((len(keep) + 1) * len(self.target_names)).cast("bigint").alias("n_parameters"),
-        )
 
-    def runs(self):
-        real = self.penalty(self.edges)
-        parts = []
-        for arm in map(arms.Arm, arms.ARMS):
-            if arm.randomized:
-                parts += [self._fit(arm, [s], self.penalty(graph.rewire(self.edges, s + 17))) for s in ARM_SEEDS]
-            else:
-                parts.append(self._fit(arm, ARM_SEEDS, real if arm.graph else None))
-        coefs = linear.named_targets(reduce(lambda a, b: a.unionByName(b), parts), self.target_names)
-        coefs = stage(coefs, "arm-coefficients")
-        labels = F.array(*[F.lit(t) for t in self.target_names])
-        cells = normalize.subset(self.rows, "val").select("instance_id", "x", F.explode(F.arrays_zip("t", "y")).alias("c")).select(
-            "instance_id", "x", F.element_at(labels, F.col("c.t") + 1).alias("feature"), F.col("c.y").alias("y_true")
-        )
-        scored = stage(arms.arm_predictions(cells, coefs), "arm-scored")
-        keys = ["arm", "seed", "n_parameters"]
-        pooled = evaluate.grouped_scores(scored, keys).select(*keys, "mse", "mae")
-        macro = evaluate.grouped_scores(scored, [*keys, "feature"]).groupBy(*keys).agg(F.avg("pcc").alias("pcc_macro"))
-        return pooled.join(macro, keys).withColumn("primary_value", F.col("pcc_macro"))
+
+def catalogue_prior(spark, sf, names):
+    """One vector per feature: the mean embedding of the label its position maps to."""
+    labels = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("d", "v")).groupBy("label", "d").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    mean = labels.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("e")).select("label", F.col("e.v").alias("embedding"))
+    index = spark.createDataFrame([(*n.split(":", 1), i % 10) for i, n in enumerate(names)], "modality string, feature string, label int")
+    return Prior(catalogue_edges(spark, sf), catalogue_pathways(spark, sf), mean.join(index, "label").drop("label"), 64)
 
 
 @query("arm_runs")
 def arm_runs(spark, sf):
     """Five prior arms x seeds on the order study: same split, evaluator and parameters."""
-    return _round(ArmStudy(spark, sf).runs(), "mse", "mae", "pcc_macro", "primary_value")
+    data = order_forecast(spark, sf)
+    runs = prior_arms(data, catalogue_prior(spark, sf, data.names), ARM_SEEDS)
+    return _round(runs, "mse", "mae", "pcc_macro", "primary_value")

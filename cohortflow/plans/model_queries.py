@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from cohortflow.functions.numeric import rounded
-from cohortflow.operators import evaluate, forecast, linear, normalize
-from cohortflow.plans.proxies import order_study
+from cohortflow.operators import evaluate, linear
+from cohortflow.plans.proxies import GROUP_MIN_TIME, event_forecast, order_forecast
 from cohortflow.plans.registry import query
+from cohortflow.plans.runs import LastValue, Ridge, TimeSpline, benchmark_predictions, tune
 from cohortflow.plans.sql import fragment, metric_sql, r6, with_query
-from cohortflow.plans.study_queries import event_forecast
-from cohortflow.session import stage
 
 ALPHA = 1.0
-INPUTS = ["protein", "rna"]
 M = metric_sql()
 
 
@@ -104,40 +100,6 @@ fragment(
 )
 
 
-class EventModel:
-    """Design, targets and moments of the event study, shared by the ridge queries."""
-
-    def __init__(self, spark, sf):
-        self.study, self.steps, self.instances = event_forecast(spark, sf)
-        cells = self.study.cells
-        self.names = linear.feature_names(cells, INPUTS)
-        self.conditions = linear.train_conditions(normalize.subset(self.study.observations, "train"))
-        fill = {
-            f"{r['modality']}:{r['feature']}": r["fill"] for r in normalize.imputer_fit(cells).collect() if r["fill"] is not None
-        }
-        design = linear.subject_design(self.instances, cells, self.names, self.conditions, fill)
-        targets = forecast.instance_targets(self.instances, self.study.target())
-        self.target_names = linear.target_names(self.study.target())
-        self.columns = linear.design_names(self.names, self.conditions)
-        packed = linear.targets_per_row(targets, "instance_id", self.target_names)
-        self.rows = stage(design.join(packed, "instance_id"), "event-design", ["split"])
-
-    def fit(self, alpha=ALPHA):
-        return linear.named_targets(linear.ridge_fit(self.moments(), alpha), self.target_names)
-
-    def moments(self):
-        return linear.moments(normalize.subset(self.rows, "train"), len(self.columns))
-
-    def cells(self):
-        """Observed target cells with the design vector of their instance."""
-        labels = F.array(*[F.lit(n) for n in self.target_names])
-        pairs = F.explode(F.arrays_zip("t", "y"))
-        return self.rows.select("split", "instance_id", "group_id", "condition", "x", pairs.alias("c")).select(
-            "split", "instance_id", "group_id", "condition", "x",
-            F.element_at(labels, F.col("c.t") + 1).alias("feature"), F.col("c.y").alias("y_true"),
-        )
-
-
 @query(
     "ridge_coef",
     with_query(
@@ -147,8 +109,7 @@ class EventModel:
     ),
 )
 def ridge_coef(spark, sf):
-    model = EventModel(spark, sf)
-    return _round(linear.coefficient_table(model.fit(), model.columns), "coefficient")
+    return _round(Ridge(event_forecast(spark, sf), ALPHA).explain(), "coefficient")
 
 
 SCORES = f"count(*) AS n_observed, count(*) AS n_valid, {r6(M['mse'], 'mse')}, {r6(M['mae'], 'mae')}, {r6('sqrt(' + M['mse'] + ')', 'rmse')}, {r6(M['pcc'], 'pcc')}, {r6(M['r2'], 'r2')}"
@@ -157,8 +118,7 @@ SCORE_NAMES = ["mse", "mae", "rmse", "pcc", "r2"]
 
 @query("ridge_scores", with_query(f"SELECT split, {SCORES} FROM (SELECT *, y_true AS t, y_pred AS p FROM rg_pred) GROUP BY split", "rg_pred"))
 def ridge_scores(spark, sf):
-    model = EventModel(spark, sf)
-    scored = linear.predict(model.cells(), model.fit())
+    scored = Ridge(event_forecast(spark, sf), ALPHA).predict()
     return _round(evaluate.grouped_scores(scored, ["split"]).drop("_defined"), *SCORE_NAMES)
 
 
@@ -181,12 +141,8 @@ fragment(
 
 @query("sweep_val", with_query(f"SELECT trial, {r6('alpha', 'alpha')}, {r6('mse', 'mse')}, {r6('mae', 'mae')}, n, (trial = (SELECT arg_min(trial, mse) FROM sweep_trials)) AS best FROM sweep_trials", "sweep_trials"))
 def sweep_val(spark, sf):
-    model = EventModel(spark, sf)
-    paths = linear.named_targets(linear.ridge_path(model.moments(), _ALPHAS), model.target_names)
-    trials = linear.sweep_scores(model.cells().where("split = 'val'"), paths, _ALPHAS).persist()
-    best = linear.best_trial(trials).select(F.col("trial").alias("best_trial"))
-    out = trials.join(best, how="left").withColumn("best", F.col("trial") == F.col("best_trial")).drop("best_trial")
-    return _round(out, "alpha", "mse", "mae")
+    trials, best = tune(event_forecast(spark, sf), "ridge", TRIALS, SWEEP_SEED)
+    return _round(trials.withColumn("best", F.col("alpha") == best["alpha"]), "alpha", "mse", "mae")
 
 
 SPLINE_DF = 4
@@ -240,55 +196,27 @@ fragment(
 )
 
 
-class EventSpline:
-    def __init__(self, spark, sf, df=SPLINE_DF):
-        self.study, _, self.instances = event_forecast(spark, sf)
-        target = self.study.target()
-        self.target_names = linear.target_names(target)
-        packed = linear.targets_per_row(normalize.subset(target, "train"), "observation_id", self.target_names, "scaled")
-        train = normalize.subset(self.study.observations, "train").join(packed, "observation_id")
-        rows = stage(train.select("observation_id", "condition", "time", "t", "y"), "spline-rows")
-        self.knots = linear.spline_knots(rows, df)
-        self.conditions = linear.train_conditions(rows)
-        self.columns = linear.spline_names(self.conditions, df)
-        self.mom = linear.moments(linear.spline_design(rows, "time", self.conditions, self.knots), len(self.columns))
-
-    def fit(self, alpha=ALPHA):
-        return linear.named_targets(linear.ridge_fit(self.mom, alpha, intercept=False), self.target_names)
-
-    def cells(self):
-        targets = forecast.instance_targets(self.instances, self.study.target())
-        return linear.spline_design(targets, "target_time", self.conditions, self.knots)
-
-
 @query(
     "spline_coef",
     with_query(f"SELECT t AS target, j AS position, {r6('coef', 'coefficient')} FROM sp_coef", "sp_coef"),
 )
 def spline_coef(spark, sf):
-    model = EventSpline(spark, sf)
-    out = model.fit().select(F.col("feature").alias("target"), F.posexplode("coef").alias("p", "coefficient"))
+    model = TimeSpline(event_forecast(spark, sf), SPLINE_DF, ALPHA)
+    out = model.coefs.select(F.col("feature").alias("target"), F.posexplode("coef").alias("p", "coefficient"))
     return _round(out.select("target", (F.col("p") + 1).cast("bigint").alias("position"), "coefficient"), "coefficient")
 
 
 @query("spline_scores", with_query(f"SELECT split, {SCORES} FROM (SELECT *, y_true AS t, y_pred AS p FROM sp_pred) GROUP BY split", "sp_pred"))
 def spline_scores(spark, sf):
-    model = EventSpline(spark, sf)
-    scored = linear.predict(model.cells(), model.fit())
+    scored = TimeSpline(event_forecast(spark, sf), SPLINE_DF, ALPHA).predict()
     return _round(evaluate.grouped_scores(scored, ["split"]).drop("_defined"), *SCORE_NAMES)
 
 
 @query("spline_sweep")
 def spline_sweep(spark, sf):
     """Validation error over spline widths and penalties."""
-    alphas = linear.log_uniform(1e-3, 1e2, 4, SWEEP_SEED)
-    parts = []
-    for df in (3, 4):
-        model = EventSpline(spark, sf, df)
-        paths = linear.named_targets(linear.ridge_path(model.mom, alphas, intercept=False), model.target_names)
-        scores = linear.sweep_scores(model.cells().where("split = 'val'"), paths, alphas)
-        parts.append(scores.withColumn("spline_df", F.lit(df).cast("bigint")))
-    return _round(reduce(lambda a, b: a.unionByName(b), parts), "alpha", "mse", "mae")
+    trials, _ = tune(event_forecast(spark, sf), "time_spline", 4, SWEEP_SEED)
+    return _round(trials, "alpha", "mse", "mae")
 
 
 @query(
@@ -303,20 +231,12 @@ def spline_sweep(spark, sf):
 )
 def benchmark_models(spark, sf):
     """Fit on train, predict validation, score every model in one grouped pass."""
-    model, spline = EventModel(spark, sf), EventSpline(spark, sf)
-    targets = forecast.instance_targets(model.instances, model.study.target()).where("split = 'val'")
-    keep = ["split", "instance_id", "feature", "y_true", "y_pred"]
-    parts = [
-        forecast.own_last_value(targets, model.study.target()).select(F.lit("last_value").alias("model"), *keep),
-        linear.predict(model.cells().where("split = 'val'"), model.fit()).select(F.lit("ridge").alias("model"), *keep),
-        linear.predict(spline.cells().where("split = 'val'"), spline.fit()).select(F.lit("time_spline").alias("model"), *keep),
-    ]
-    cells = reduce(lambda a, b: a.unionByName(b), parts)
+    models = {"last_value": {}, "ridge": {"alpha": ALPHA}, "time_spline": {"spline_df": SPLINE_DF, "alpha": ALPHA}}
+    cells = benchmark_predictions(event_forecast(spark, sf), models)
     return _round(evaluate.grouped_scores(cells, ["model", "split"]).drop("_defined"), *SCORE_NAMES)
 
 
 # Cross-sectional study: last values come from train condition x time means.
-GROUP_MIN_TIME = 1997.0
 fragment("p2_keys", "SELECT DISTINCT o.condition, o.time FROM p2_obs o JOIN p2_units u USING (unit) WHERE u.split = 'train'", "p2_obs", "p2_units")
 fragment(
     "p2_inst",
@@ -345,36 +265,24 @@ fragment(
 )
 
 
-class OrderForecast:
-    def __init__(self, spark, sf):
-        self.study = order_study(spark, sf)
-        obs = stage(self.study.observations, "order-observations", ["split"])
-        self.train_obs = normalize.subset(obs, "train")
-        self.instances = forecast.group_instances(obs, GROUP_MIN_TIME)
-        self.keys = stage(forecast.asof_keys(self.train_obs, self.instances), "asof-keys")
-        self.means = stage(forecast.condition_time_means(normalize.subset(self.study.cells, "train")), "group-means", ["modality"])
-        self.targets = forecast.instance_targets(self.instances, self.study.target())
-
-
 @query("group_instances", with_query("SELECT instance_id, group_id, condition, batch, split, target_time FROM p2_inst", "p2_inst"))
 def group_instances(spark, sf):
-    return OrderForecast(spark, sf).instances.select("instance_id", "group_id", "condition", "batch", "split", "target_time")
+    return order_forecast(spark, sf).instances.select("instance_id", "group_id", "condition", "batch", "split", "target_time")
 
 
 @query("asof_group_mean", with_query("SELECT * FROM p2_asof", "p2_asof"))
 def asof_group_mean(spark, sf):
-    return OrderForecast(spark, sf).keys
+    return order_forecast(spark, sf).keys
 
 
 @query("condition_time_means", with_query(f"SELECT condition, time, modality, feature, {r6('mean', 'mean')} FROM p2_means", "p2_means"))
 def condition_time_means(spark, sf):
-    return _round(OrderForecast(spark, sf).means, "mean")
+    return _round(order_forecast(spark, sf).means, "mean")
 
 
 @query("group_last_value_scores", with_query(f"SELECT split, {SCORES} FROM (SELECT *, y_true AS t, y_pred AS p FROM p2_lv) GROUP BY split", "p2_lv"))
 def group_last_value_scores(spark, sf):
-    f = OrderForecast(spark, sf)
-    cells = forecast.group_last_value(f.targets, f.keys, f.means.where("modality = 'protein'"))
+    cells = LastValue(order_forecast(spark, sf)).predict()
     return _round(evaluate.grouped_scores(cells, ["split"]).drop("_defined"), *SCORE_NAMES)
 
 
@@ -440,16 +348,5 @@ fragment(
     ),
 )
 def group_ridge_scores(spark, sf):
-    f = OrderForecast(spark, sf)
-    names = linear.feature_names(f.study.cells, INPUTS)
-    conditions = linear.train_conditions(f.train_obs)
-    targets = linear.target_names(f.study.target())
-    design = linear.group_design(f.instances, f.keys, f.means, names, conditions)
-    rows = stage(design.join(linear.targets_per_row(f.targets, "instance_id", targets), "instance_id"), "order-design", ["split"])
-    mom = linear.moments(normalize.subset(rows, "train"), len(linear.design_names(names, conditions)))
-    coefs = linear.named_targets(linear.ridge_fit(mom, ALPHA), targets)
-    labels = F.array(*[F.lit(t) for t in targets])
-    cells = rows.select("split", "x", F.explode(F.arrays_zip("t", "y")).alias("c")).select(
-        "split", "x", F.element_at(labels, F.col("c.t") + 1).alias("feature"), F.col("c.y").alias("y_true")
-    )
-    return _round(evaluate.grouped_scores(linear.predict(cells, coefs), ["split"]).drop("_defined"), *SCORE_NAMES)
+    cells = Ridge(order_forecast(spark, sf), ALPHA).predict()
+    return _round(evaluate.grouped_scores(cells, ["split"]).drop("_defined"), *SCORE_NAMES)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.operators.normalize import assay_configs, normalize_cells, scale_cells, scaler_fit
-from cohortflow.operators.split import assign_random, label_observations
-from cohortflow.session import stage
+from cohortflow.operators.normalize import assay_configs
+from cohortflow.operators.split import assign_random
+from cohortflow.plans.runs import Forecast, Study, Task, layer_study
 
 SEED = 7
 # Assay of each event type.
@@ -92,39 +90,33 @@ def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@dataclass
-class Layered:
-    """Labelled observations, layered cells and the fitted scaler of one study."""
-
-    observations: DataFrame
-    cells: DataFrame
-    scaler: DataFrame
-
-    def target(self, modality: str = "protein") -> DataFrame:
-        return self.cells.where(F.col("modality") == modality)
+CONFIGS = assay_configs(VALUE_TYPES)
 
 
-def _layer(raw: DataFrame, obs: DataFrame, units: DataFrame, columns: list[str], label: str) -> Layered:
-    configs = assay_configs(VALUE_TYPES)
-    labels = units.select(*columns, "split")
-    cells = raw.join(labels, columns, "left")
-    normalized = stage(normalize_cells(cells, configs), f"{label}-normalized", ["modality"])
-    scaler = stage(scaler_fit(normalized), f"{label}-scaler")
-    return Layered(label_observations(obs, units, columns), scale_cells(normalized, scaler, configs), scaler)
-
-
-def event_study(spark: SparkSession, sf_dir: str, seed: int = SEED) -> Layered:
+def event_study(spark: SparkSession, sf_dir: str, seed: int = SEED) -> Study:
     raw = event_cells(spark, sf_dir)
     obs = event_observations(raw)
     units = assign_random(obs, ["experimental_unit_id"], seed)
-    return _layer(raw, obs, units, ["experimental_unit_id"], "event-study")
+    return layer_study(raw, obs, units, ["experimental_unit_id"], CONFIGS, "event-study")
 
 
-def order_study(spark: SparkSession, sf_dir: str, seed: int = SEED) -> Layered:
+def order_study(spark: SparkSession, sf_dir: str, seed: int = SEED) -> Study:
     """Cross-sectional study split by order (batch blocking is shown by ``split_assignment``)."""
     raw = order_cells(spark, sf_dir)
     obs = raw.groupBy("observation_id", "experimental_unit_id", "time", "condition", "batch").agg(
         F.max(F.col("modality") == "rna").alias("has_rna"), F.max(F.col("modality") == "protein").alias("has_protein")
     ).withColumns({"subject_id": F.col("experimental_unit_id"), "biospecimen_id": F.col("observation_id")})
     units = assign_random(obs, ["experimental_unit_id"], seed)
-    return _layer(raw, obs, units, ["experimental_unit_id"], "order-study")
+    return layer_study(raw, obs, units, ["experimental_unit_id"], CONFIGS, "order-study")
+
+
+def event_forecast(spark: SparkSession, sf_dir: str) -> Forecast:
+    return Forecast(event_study(spark, sf_dir))
+
+
+GROUP_MIN_TIME = 1997.0
+
+
+def order_forecast(spark: SparkSession, sf_dir: str) -> Forecast:
+    """Cross-sectional forecasts: last values come from train condition x time means."""
+    return Forecast(order_study(spark, sf_dir), Task(kind="group_time_forecast", target_time_min=GROUP_MIN_TIME))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cohortflow.functions.numeric import rounded
 from cohortflow.operators import align, evaluate, forecast, idmap, normalize, qc, resample, split, validate
-from cohortflow.plans.proxies import SEED, event_cells, event_observations, event_sheet, event_study, order_cells, order_study, table
+from cohortflow.plans.proxies import SEED, event_cells, event_forecast, event_observations, event_sheet, event_study, order_cells, order_study, table
 from cohortflow.plans.registry import query
+from cohortflow.plans.runs import LastValue
 from cohortflow.plans.sql import fragment, metric_sql, r6, with_query
 from cohortflow.session import stage
 
@@ -474,17 +475,8 @@ def leakage_guard(spark, sf):
     return split.leakage(rows, ["subject", "batch"])
 
 
-def event_forecast(spark, sf):
-    """Study, steps and subject instances of the event proxy."""
-    study = event_study(spark, sf)
-    steps = forecast.unit_steps(study.observations, study.target())
-    return study, steps, forecast.subject_instances(steps)
-
-
 def last_value_cells(spark, sf):
-    study, _, instances = event_forecast(spark, sf)
-    targets = forecast.instance_targets(instances, study.target())
-    return study, instances, forecast.own_last_value(targets, study.target())
+    return LastValue(event_forecast(spark, sf)).predict()
 
 
 @query(
@@ -495,7 +487,7 @@ def last_value_cells(spark, sf):
     ),
 )
 def subject_instances(spark, sf):
-    return event_forecast(spark, sf)[2].drop("subject_id")
+    return event_forecast(spark, sf).instances.drop("subject_id")
 
 
 @query(
@@ -505,7 +497,7 @@ def subject_instances(spark, sf):
     ),
 )
 def sequence_gaps(spark, sf):
-    return forecast.sequence_steps(event_forecast(spark, sf)[1]).withColumnRenamed("experimental_unit_id", "unit")
+    return forecast.sequence_steps(event_forecast(spark, sf).steps).withColumnRenamed("experimental_unit_id", "unit")
 
 
 @query(
@@ -517,8 +509,8 @@ def sequence_gaps(spark, sf):
     ),
 )
 def sequence_index(spark, sf):
-    _, steps, instances = event_forecast(spark, sf)
-    return forecast.sequence_index(instances, steps)
+    data = event_forecast(spark, sf)
+    return forecast.sequence_index(data.instances, data.steps)
 
 
 @query(
@@ -530,8 +522,8 @@ def sequence_index(spark, sf):
     ),
 )
 def sequence_values(spark, sf):
-    study, steps, _ = event_forecast(spark, sf)
-    out = forecast.sequence_values(forecast.sequence_steps(steps), study.cells)
+    data = event_forecast(spark, sf)
+    out = forecast.sequence_values(forecast.sequence_steps(data.steps), data.study.cells)
     return _round(out, "value").withColumnRenamed("experimental_unit_id", "unit")
 
 
@@ -548,7 +540,7 @@ def sequence_values(spark, sf):
     ),
 )
 def last_value_scores(spark, sf):
-    _, _, cells = last_value_cells(spark, sf)
+    cells = last_value_cells(spark, sf)
     out = evaluate.grouped_scores(cells, ["split"]).drop("_defined")
     return _round(out, "mse", "mae", "rmse", "pcc", "r2")
 
@@ -578,7 +570,7 @@ SCORE_COLS = ["mse", "mae", "rmse", "pcc", "r2", "spearman"]
     with_query(f"SELECT split, feature, n_observed, n_valid, {_rounded_list(SCORE_COLS)} FROM ({scores_sql('p1_lv', 'split, feature')})", "p1_lv"),
 )
 def per_feature_metrics(spark, sf):
-    _, _, cells = last_value_cells(spark, sf)
+    cells = last_value_cells(spark, sf)
     return _round(evaluate.per_feature(stage(cells, "scored"), ["split"]), *SCORE_COLS)
 
 
@@ -587,7 +579,7 @@ def per_feature_metrics(spark, sf):
     with_query(f"SELECT split, instance_id, group_id, n_observed, n_valid, {_rounded_list([c for c in SCORE_COLS if c != 'r2'])}, {r6('r2', 'r2', 1)} FROM ({scores_sql('p1_lv', 'split, instance_id, group_id')})", "p1_lv"),
 )
 def per_sample_metrics(spark, sf):
-    _, _, cells = last_value_cells(spark, sf)
+    cells = last_value_cells(spark, sf)
     # Two nearly equal truths give an r2 of large magnitude, so it is kept to one digit here.
     out = evaluate.per_sample(stage(cells, "scored"), ["split"])
     return _round(out, *[c for c in SCORE_COLS if c != "r2"]).withColumn("r2", rounded(F.col("r2"), 1))
@@ -605,7 +597,7 @@ def per_sample_metrics(spark, sf):
     ),
 )
 def macro_metrics(spark, sf):
-    _, _, cells = last_value_cells(spark, sf)
+    cells = last_value_cells(spark, sf)
     out = evaluate.primary_value(evaluate.scalars(stage(cells, "scored"), ["split"]), "protein_macro_pcc")
     names = ["mse", "mae", "rmse", "pcc_pooled", "r2_pooled", "spearman_pooled", "pcc_macro", "spearman_macro", "r2_macro", "primary_value"]
     return _round(out, *names)
@@ -621,10 +613,9 @@ def macro_metrics(spark, sf):
     ),
 )
 def coverage(spark, sf):
-    study, _, instances = event_forecast(spark, sf)
-    targets = forecast.instance_targets(instances, study.target())
-    features = study.target().select("feature").distinct()
-    return _round(evaluate.coverage(targets, instances, features, ["split"]), "coverage")
+    data = event_forecast(spark, sf)
+    features = data.target_cells.select("feature").distinct()
+    return _round(evaluate.coverage(data.targets, data.instances, features, ["split"]), "coverage")
 
 
 BOOT = 20
@@ -665,6 +656,6 @@ fragment(
     ),
 )
 def bootstrap_ci(spark, sf):
-    _, _, cells = last_value_cells(spark, sf)
+    cells = last_value_cells(spark, sf)
     out = resample.bootstrap_ci(stage(cells, "scored"), ["split"], "group_id", BOOT, BOOT_SEED)
     return _round(out, "low", "high")
