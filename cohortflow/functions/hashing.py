@@ -18,7 +18,24 @@ def digest_int(digest: Column, start: int = 1, digits: int = 8) -> Column:
 
 
 def canonical_value(col: Column, dtype: str) -> Column:
-    """Text form of a value that does not depend on how an engine prints doubles."""
+    """Text form of a value that does not depend on how an engine prints doubles.
+
+    Doubles are written as whole millionths (half up), beyond 1e12 as a decimal. A length prefix
+    keeps neighbouring values apart; NULL has none.
+    """
     if dtype in ("double", "float"):
-        return F.coalesce(F.round(col.cast("double"), 6).cast("decimal(38,6)").cast("string"), F.lit("~"))
-    return F.coalesce(col.cast("string"), F.lit("~"))
+        x = col.cast("double")
+        small = F.floor(F.when(F.abs(x) < 1e12, x * 1e6 + 0.5)).cast("string")
+        text = F.coalesce(small, x.cast("decimal(38,6)").cast("string"))
+    else:
+        text = col.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+
+
+def digest_words(digest: Column) -> list[Column]:
+    """Twelve 20-bit words of a sha256 hex digest. Sums of them stay in a bigint for 8e12 rows."""
+    words = []
+    for start in (1, 16, 31, 46):
+        value = digest_int(digest, start, 15)
+        words += [F.shiftright(value, 40), F.shiftright(value, 20).bitwiseAND(F.lit(0xFFFFF)), value.bitwiseAND(F.lit(0xFFFFF))]
+    return words

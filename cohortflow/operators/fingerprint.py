@@ -8,27 +8,26 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.functions.hashing import canonical_value, digest_int
-
-PARTS = 8
+from cohortflow.functions.hashing import canonical_value, digest_words
 
 
 def fingerprint(df: DataFrame, name: str) -> DataFrame:
     """One row ``name, n_rows, digest`` that does not depend on row or column order.
 
-    Each row is hashed over its sorted columns; the eight 32-bit words of the row digests are
+    Each row is hashed over its sorted columns; the twelve 20-bit words of the row digests are
     summed, which keeps duplicates apart and merges map-side, so no rows are gathered.
     """
     kinds = dict(df.dtypes)
-    columns = sorted(c for c in df.columns)
-    text = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), canonical_value(F.col(c), kinds[c])) for c in columns])
+    columns = sorted(df.columns)
+    text = F.concat_ws("|", *[canonical_value(F.col(c), kinds[c]) for c in columns])
     row = df.select(F.sha2(text, 256).alias("h"))
-    words = [digest_int(F.col("h"), 1 + 8 * i, 8).cast("decimal(38,0)") for i in range(PARTS)]
-    sums = row.agg(F.count("*").alias("n_rows"), *[F.coalesce(F.sum(w), F.lit(0)).cast("string").alias(f"w{i}") for i, w in enumerate(words)])
+    words = row.select(*[w.alias(f"w{i}") for i, w in enumerate(digest_words(F.col("h")))])
+    names = words.columns
+    sums = words.agg(F.count("*").alias("n_rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
     head = F.lit(",".join(columns))
     return sums.select(
         F.lit(name).alias("name"), "n_rows",
-        F.sha2(F.concat_ws("|", head, F.col("n_rows").cast("string"), *[f"w{i}" for i in range(PARTS)]), 256).alias("digest"),
+        F.sha2(F.concat_ws("|", head, F.col("n_rows").cast("string"), *[F.col(c).cast("string") for c in names]), 256).alias("digest"),
     )
 
 

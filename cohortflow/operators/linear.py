@@ -20,6 +20,7 @@ from cohortflow.operators.scan import exact_quantiles
 from cohortflow.session import stage
 
 MAX_DESIGN = 2048  # p x p doubles on the driver: 32 MB
+NARROW = 128  # inputs laid out by one hash aggregation
 MAX_TARGETS = 200_000  # target names are a matrix header; their coefficients stay distributed
 
 
@@ -48,13 +49,27 @@ def train_conditions(train_obs: DataFrame) -> list[str]:
     return sorted(r["condition"] for r in rows)
 
 
-def input_entries(cells: DataFrame, names: list[str], key: list[str], value: str) -> DataFrame:
-    """Observed inputs per key as parallel arrays of positions and values (at most p entries)."""
+def input_vectors(cells: DataFrame, names: list[str], key: list[str], value: str, out: str = "inputs") -> DataFrame:
+    """One array per key with its observed inputs in the order of ``names``, gaps as NULL.
+
+    Up to ``NARROW`` inputs this is one hash aggregation; wider ones are packed as positions and
+    values and laid out in Arrow batches.
+    """
     spark = cells.sparkSession
-    index = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, at int")
-    named = cells.where(F.col(value).isNotNull()).withColumn("name", F.concat_ws(":", "modality", "feature"))
-    packed = named.join(F.broadcast(index), "name").groupBy(*key).agg(F.collect_list(F.struct("at", F.col(value).alias("v"))).alias("e"))
-    return packed.select(*key, F.col("e.at").alias("at"), F.col("e.v").alias("v"))
+    known = cells.where(F.col(value).isNotNull()).withColumn("_name", F.concat_ws(":", "modality", "feature"))
+    if len(names) <= NARROW:
+        slots = [F.max(F.when(F.col("_name") == n, F.col(value))).alias(f"_{i}") for i, n in enumerate(names)]
+        wide = known.groupBy(*key).agg(*slots)
+        return wide.select(*key, F.array(*[F.col(f"_{i}") for i in range(len(names))]).alias(out))
+    index = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, at int")
+    packed = known.join(F.broadcast(index), "_name").groupBy(*key).agg(F.collect_list(F.struct("at", F.col(value).alias("v"))).alias("e"))
+    return densify(packed.select(*key, F.col("e.at").alias("at"), F.col("e.v").alias("v")), len(names), out)
+
+
+def filled(vector: str, fill: list[float]):
+    """The vector with gaps replaced; a missing vector is all fill values."""
+    base = F.array(*[F.lit(float(v)) for v in fill])
+    return F.zip_with(F.coalesce(vector, base), base, lambda a, b: F.coalesce(a, b))
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,41 +80,36 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(col)), lengths), np.asarray(col.flatten())
 
 
-def densify(df: DataFrame, width: int, fill: list[float], out: str = "x") -> DataFrame:
-    """Replace ``at, v`` by a dense array of ``width`` doubles; gaps take the fill values."""
-    base = np.asarray(fill, dtype=float)
+def densify(df: DataFrame, width: int, out: str) -> DataFrame:
+    """Replace ``at, v`` by an array of ``width`` doubles with NULL in the gaps."""
     keep = [c for c in df.columns if c not in ("at", "v")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            dense = np.tile(base, (batch.num_rows, 1))
-            rows, at = _flat(table.column("at"))
-            _, v = _flat(table.column("v"))
-            if len(rows):
-                dense[rows, at] = v
-            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * width
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(dense.ravel()))
-            cols = [table.column(c).combine_chunks() for c in keep]
-            cols = [c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) for c in cols]
-            yield pa.RecordBatch.from_arrays([*cols, lists], names=[*keep, out])
+            dense = np.full((batch.num_rows, width), np.nan)
+            rows, at = _flat(batch.column("at"))
+            _, v = _flat(batch.column("v"))
+            dense[rows, at] = v
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(dense.ravel(), mask=np.isnan(dense.ravel())))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], names=[*keep, out])
 
     return df.mapInArrow(run, f"{schema}, `{out}` array<double>")
 
 
 def subject_design(instances: DataFrame, cells: DataFrame, names: list[str], conditions: list[str], fill: dict[str, float], value: str = "scaled") -> DataFrame:
     """Instance rows with ``x`` = last inputs, target time, Δt and the full one-hot condition."""
-    entries = input_entries(cells, names, ["observation_id"], value).withColumnRenamed("observation_id", "history_observation")
-    rows = instances.join(entries, "history_observation", "left")
-    dense = densify(rows, len(names), [fill.get(n, 0.0) for n in names], "inputs")
-    return dense.withColumn("x", F.concat("inputs", *_covariates(conditions))).drop("inputs")
+    vectors = input_vectors(cells, names, ["observation_id"], value).withColumnRenamed("observation_id", "history_observation")
+    rows = instances.join(vectors, "history_observation", "left")
+    inputs = filled("inputs", [fill.get(n, 0.0) for n in names])
+    return rows.withColumn("x", F.concat(inputs, *_covariates(conditions))).drop("inputs")
 
 
 def group_design(instances: DataFrame, keys: DataFrame, means: DataFrame, names: list[str], conditions: list[str]) -> DataFrame:
     """As ``subject_design`` with the as-of train means as inputs; a missing mean is 0."""
-    entries = input_entries(means, names, ["condition", "time"], "mean").withColumnsRenamed({"condition": "key_condition", "time": "key_time"})
-    per_key = densify(keys.join(entries, ["key_condition", "key_time"], "left"), len(names), [0.0] * len(names), "inputs")
+    vectors = input_vectors(means, names, ["condition", "time"], "mean").withColumnsRenamed({"condition": "key_condition", "time": "key_time"})
+    per_key = keys.join(vectors, ["key_condition", "key_time"], "left").withColumn("inputs", filled("inputs", [0.0] * len(names)))
     rows = instances.drop("delta_t").join(per_key, ["condition", "target_time"]).withColumn("delta_t", F.col("target_time") - F.col("key_time"))
     return rows.withColumn("x", F.concat("inputs", *_covariates(conditions))).drop("inputs")
 

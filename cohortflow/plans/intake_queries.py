@@ -411,13 +411,14 @@ def lit_landed_hits(spark, sf):
 def fingerprint_sql(name: str, source: str, columns: dict[str, str]) -> str:
     """``columns`` maps each column to its canonical text expression."""
     ordered = sorted(columns)
-    text = " || '|' || ".join(f"'{c}=' || coalesce({columns[c]}, '~')" for c in ordered)
-    sums = [f"coalesce(sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT), 0)::VARCHAR" for i in range(8)]
+    text = " || '|' || ".join(f"coalesce(length({columns[c]})::VARCHAR || ':' || {columns[c]}, '~')" for c in ordered)
+    words = [f"('0x' || substr(h, {start}, 15))::BIGINT" for start in (1, 16, 31, 46)]
+    sums = [f"coalesce(sum({w}), 0)::VARCHAR" for v in words for w in (f"({v} >> 40)", f"(({v} >> 20) & 1048575)", f"({v} & 1048575)")]
     return f"""SELECT '{name}' AS name, count(*) AS n_rows, sha256(concat_ws('|', '{','.join(ordered)}', count(*)::VARCHAR, {', '.join(sums)})) AS digest
       FROM (SELECT sha256({text}) AS h FROM {source})"""
 
 
-_DEC = "round({c}, 6)::DECIMAL(38,6)::VARCHAR"
+_DEC = "floor({c} * 1e6 + 0.5)::BIGINT::VARCHAR"
 FP_COLUMNS = {
     "customer": {"c_custkey": "c_custkey::VARCHAR", "c_name": "c_name", "c_nationkey": "c_nationkey::VARCHAR", "c_acctbal": _DEC.format(c="c_acctbal"), "c_mktsegment": "c_mktsegment"},
     "lineitem": {

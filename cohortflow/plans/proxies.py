@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortflow.operators.normalize import assay_configs
 from cohortflow.operators.split import assign_random
 from cohortflow.plans.runs import Forecast, Study, Task, layer_study
+from cohortflow.session import stage
 
 SEED = 7
 # Assay of each event type.
@@ -94,18 +95,19 @@ CONFIGS = assay_configs(VALUE_TYPES)
 
 
 def event_study(spark: SparkSession, sf_dir: str, seed: int = SEED) -> Study:
-    raw = event_cells(spark, sf_dir)
-    obs = event_observations(raw)
+    raw = stage(event_cells(spark, sf_dir), "event-cells")
+    obs = stage(event_observations(raw), "event-observations")
     units = assign_random(obs, ["experimental_unit_id"], seed)
     return layer_study(raw, obs, units, ["experimental_unit_id"], CONFIGS, "event-study")
 
 
 def order_study(spark: SparkSession, sf_dir: str, seed: int = SEED) -> Study:
     """Cross-sectional study split by order (batch blocking is shown by ``split_assignment``)."""
-    raw = order_cells(spark, sf_dir)
+    raw = stage(order_cells(spark, sf_dir), "order-cells")
     obs = raw.groupBy("observation_id", "experimental_unit_id", "time", "condition", "batch").agg(
         F.max(F.col("modality") == "rna").alias("has_rna"), F.max(F.col("modality") == "protein").alias("has_protein")
     ).withColumns({"subject_id": F.col("experimental_unit_id"), "biospecimen_id": F.col("observation_id")})
+    obs = stage(obs, "order-observations")
     units = assign_random(obs, ["experimental_unit_id"], seed)
     return layer_study(raw, obs, units, ["experimental_unit_id"], CONFIGS, "order-study")
 

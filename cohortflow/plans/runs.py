@@ -72,10 +72,12 @@ class Study:
 def layer_study(raw: DataFrame, obs: DataFrame, units: DataFrame, columns: list[str], configs: dict[str, normalize.AssayConfig], label: str = "study") -> Study:
     """Attach the split to cells and observations, normalise, fit on train, scale.
 
-    The normalised cells are written once by modality; the scaler is a small table of features.
+    The normalised cells are written once; each file holds one normalisation branch, so row-group
+    statistics prune by modality without a sort. The scaler is a small table of features.
     """
+    units = stage(units, f"{label}-units")
     cells = raw.join(units.select(*columns, "split"), columns, "left")
-    normalized = stage(normalize.normalize_cells(cells, configs), f"{label}-normalized", ["modality"])
+    normalized = stage(normalize.normalize_cells(cells, configs), f"{label}-normalized")
     scaler = stage(normalize.scaler_fit(normalized), f"{label}-scaler")
     return Study(split.label_observations(obs, units, columns), normalize.scale_cells(normalized, scaler, configs), scaler, configs)
 
@@ -103,7 +105,7 @@ def preprocess(
     configs = normalize.assay_configs(value_types, overrides)
     for name, violations in sheet_checks(sheet, list(value_types), design).items():
         require_empty(name, violations)
-    obs = align.observations(sheet, sorted(value_types))
+    obs = stage(align.observations(sheet, sorted(value_types)), "observations")
     require_empty("time_batch_confound", split.time_batch_confound(obs).where("confounded"))
     columns = split.group_columns(list(group_by), design == "repeated_cross_sectional", block_batch)
     if assignment is None:
@@ -116,6 +118,7 @@ def preprocess(
     require_empty("split_leakage", split.leakage(labelled, list(dict.fromkeys([*columns, *also_block]))))
     keys = obs.select("observation_id", "experimental_unit_id", "time", "condition", "batch", *[c for c in columns if c not in ("experimental_unit_id", "time", "condition", "batch")])
     raw = align.aligned_cells(sheet, cells).where("feature IS NOT NULL").join(keys, "observation_id")
+    raw = stage(raw, "aligned-cells")
     of_kind = {k: [m for m, c in configs.items() if c.strategy == k] for k in (normalize.COUNTS, normalize.INTENSITY, normalize.LOG_LIKE)}
     require_empty("assay_values", validate.assay_value_violations(raw, of_kind[normalize.COUNTS], of_kind[normalize.INTENSITY], of_kind[normalize.LOG_LIKE]))
     return layer_study(raw, obs, units, columns, configs)
@@ -168,7 +171,7 @@ class Forecast:
 
     @cached_property
     def means(self) -> DataFrame:
-        return stage(forecast.condition_time_means(normalize.subset(self.study.cells, "train")), "condition-time-means", ["modality"])
+        return stage(forecast.condition_time_means(normalize.subset(self.study.cells, "train")), "condition-time-means")
 
     @cached_property
     def targets(self) -> DataFrame:
