@@ -44,9 +44,7 @@ def dense_spine(obs: DataFrame, cells: DataFrame) -> DataFrame:
     )
     headers = header.agg(F.collect_list(F.struct("modality", "features")).alias("headers"))
     spine = (
-        obs.select("observation_id")
-        .join(headers, how="left")
-        .select("observation_id", F.explode("headers").alias("h"))
+        obs.select("observation_id", F.explode(headers.scalar()).alias("h"))
         .select("observation_id", F.col("h.modality").alias("modality"), F.explode("h.features").alias("feature"))
     )
     return spine.join(cells, ["observation_id", "modality", "feature"], "left")

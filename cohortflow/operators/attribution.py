@@ -139,11 +139,11 @@ def fold_means(units: DataFrame, n_folds: int) -> DataFrame:
     """Mean attribution over contiguous folds of the sorted units; early folds take the remainder."""
     ids = range_buckets(units.select("group_id").distinct(), ["group_id"], "fold-units")
     placed = prefix_scan(ids, [], ["group_id"], sums={"position": F.lit(1).cast("bigint")})
-    total = ids.agg(F.count("*").alias("_n"))
+    total = ids.agg(F.count("*")).scalar()
     k = F.least(F.lit(n_folds), F.greatest(F.lit(2), F.col("_n"))).cast("bigint")
     q, r, p = F.floor(F.col("_n") / k), F.col("_n") % k, F.col("position") - 1
     fold = F.when(p < r * (q + 1), F.floor(p / (q + 1))).otherwise(r + F.floor((p - r * (q + 1)) / q))
-    folds = placed.join(total, how="left").select("group_id", fold.cast("bigint").alias("fold"))
+    folds = placed.withColumn("_n", total).select("group_id", fold.cast("bigint").alias("fold"))
     return units.join(folds, "group_id").groupBy("fold", "source", "target").agg((F.sum("s") / F.sum("n")).alias("value"))
 
 

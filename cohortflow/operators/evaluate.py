@@ -138,10 +138,10 @@ def per_sample(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 def coverage(cells: DataFrame, instances: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
     """Observed over possible target cells; possible = instances x declared target features."""
-    n_features = features.agg(F.count("*").alias("n_features"))
+    n_features = features.agg(F.count("*")).scalar()
     observed = cells.groupBy(*keys).agg(F.count("y_true").alias("n_observed"))
     return (
-        instances.groupBy(*keys).agg(F.count("*").alias("n_instances")).join(n_features, how="left")
+        instances.groupBy(*keys).agg(F.count("*").alias("n_instances")).withColumn("n_features", n_features)
         .join(observed, keys, "left")
         .withColumn("n_observed", F.coalesce("n_observed", F.lit(0)))
         .withColumn("n_possible", F.col("n_instances") * F.col("n_features"))

@@ -130,7 +130,7 @@ def match_corpus(corpus: DataFrame, candidates: DataFrame, top_n: int, order: li
     top = candidates.orderBy(*order).limit(top_n)
     fields = ["candidate_id", "source_id", "target_id", "predicted_direction"]
     packed = top.agg(F.collect_list(F.struct(*fields)).alias("_c"))
-    rows = corpus.withColumn("_text", hit_text()).join(packed, how="left")
+    rows = corpus.withColumns({"_text": hit_text(), "_c": packed.scalar()})
     hit = F.filter("_c", lambda c: F.contains(F.col("_text"), F.lower(c["source_id"])) & F.contains(F.col("_text"), F.lower(c["target_id"])))
     return rows.withColumn("_m", F.explode(hit)).select(*[c for c in corpus.columns], "_m.*")
 

@@ -92,7 +92,7 @@ def normalization_record(obs: DataFrame, cells: DataFrame, configs: dict[str, As
     An observation with no cell at all counts as an empty library, as an empty sum is zero.
     """
     counts, intensity = _modalities(configs, COUNTS), _modalities(configs, INTENSITY)
-    n_obs = obs.agg(F.count("*").alias("_n"))
+    n_obs = obs.agg(F.count("*")).scalar()
     live = (
         cells.where(F.col("modality").isin(counts))
         .groupBy("modality", "observation_id").agg((F.sum("raw") > 0).alias("ok"))
@@ -104,7 +104,7 @@ def normalization_record(obs: DataFrame, cells: DataFrame, configs: dict[str, As
     for modality, config in sorted(configs.items()):
         strategy = F.when(F.col("modality") == modality, config.strategy).otherwise(strategy)
     return (
-        names.join(live, "modality", "left").join(zeros, "modality", "left").join(n_obs, how="left")
+        names.join(live, "modality", "left").join(zeros, "modality", "left").withColumn("_n", n_obs)
         .select(
             "modality",
             strategy.alias("strategy"),
@@ -132,11 +132,11 @@ def scaler_fit(normalized: DataFrame) -> DataFrame:
 
 def scaler_record(scaler: DataFrame, obs: DataFrame) -> DataFrame:
     """Provenance of the fitted scalers, one row per modality, always fitted on train."""
-    rows = obs.where("split = 'train'").agg(F.count("*").alias("n_fit_samples"))
+    rows = obs.where("split = 'train'").agg(F.count("*")).scalar()
     return (
         scaler.groupBy("modality")
         .agg(F.count("*").alias("n_features"), F.count_if("zero_variance").alias("n_zero_variance"))
-        .join(rows, how="left")
+        .withColumn("n_fit_samples", rows)
         .withColumn("transformer_name", F.concat("modality", F.lit("_standard_scaler")))
         .withColumn("fit_split", F.lit("train"))
     )

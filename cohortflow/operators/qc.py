@@ -23,8 +23,7 @@ def per_sample_qc(obs: DataFrame, layered: DataFrame) -> DataFrame:
     """
     sizes = feature_counts(layered).agg(F.collect_list(F.struct("modality", "n_features")).alias("sizes"))
     spine = (
-        obs.select("observation_id").join(sizes, how="left")
-        .select("observation_id", F.explode("sizes").alias("s")).select("observation_id", "s.*")
+        obs.select("observation_id", F.explode(sizes.scalar()).alias("s")).select("observation_id", "s.*")
     )
     seen = F.when(F.col("normalized").isNotNull(), F.col("raw"))
     stats = layered.groupBy("observation_id", "modality").agg(
@@ -42,9 +41,9 @@ def per_feature_qc(obs: DataFrame, layered: DataFrame) -> DataFrame:
     stats = layered.groupBy("modality", "feature").agg(
         F.count("normalized").alias("n_observed"), F.avg(seen).alias("mean"), F.stddev_pop(seen).alias("std")
     )
-    total = obs.agg(F.count("*").alias("_n"))
+    total = obs.agg(F.count("*")).scalar()
     flat = (F.col("n_observed") > 0) & (F.col("std") < ZERO_VARIANCE)
-    return stats.join(total, how="left").select(
+    return stats.withColumn("_n", total).select(
         "modality", "feature", "n_observed", (1 - F.col("n_observed") / F.col("_n")).alias("pct_missing"),
         "mean", "std", F.coalesce(flat, F.lit(False)).alias("zero_variance"),
     )

@@ -27,8 +27,11 @@ def draws(index: DataFrame, keys: list[str], replicates: int, seed: int) -> Data
     Slot ``s`` of replicate ``r`` picks unit ``hash(seed, r, s) mod n``. Each unit row generates
     its own slot for every replicate, so the slots are spread like the units.
     """
-    n = index.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else index.agg(F.count("*").alias("_n"))
-    slots = (index.join(n, keys) if keys else index.join(n, how="left")).select(
+    if keys:
+        sized = index.join(index.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    else:
+        sized = index.withColumn("_n", index.agg(F.count("*")).scalar())
+    slots = sized.select(
         *keys, F.col("unit_index").alias("_slot"), "_n",
         F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
     )

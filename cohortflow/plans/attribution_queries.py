@@ -143,7 +143,7 @@ def event_prior(spark, sf):
     counts = events.join(following, "event_id").where("event_type <> next_type").groupBy("event_type", "next_type").agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n").alias("top"))
     assay = lambda c: F.coalesce(*[F.when(F.col(c) == k, v) for k, v in EVENT_ASSAY.items()])
-    edges = counts.join(top, how="left").where(F.col("n") / F.col("top") >= 0.95).select(
+    edges = counts.withColumn("top", top.scalar()).where(F.col("n") / F.col("top") >= 0.95).select(
         assay("event_type").alias("source_modality"), F.col("event_type").alias("source_id"), assay("next_type").alias("target_modality"), F.col("next_type").alias("target_id"),
         F.lit("functional_association").alias("edge_type"), F.lit(False).alias("directed"), (F.col("n") / F.col("top")).alias("score"),
     )
@@ -172,7 +172,7 @@ def prior_flags(spark, sf):
     cells = event_cells(spark, sf)
     sources = cells.select(F.concat_ws(":", "modality", "feature").alias("source")).distinct()
     targets = cells.where("modality = 'protein'").agg(F.array_sort(F.collect_set(F.concat_ws(":", "modality", "feature"))).alias("t"))
-    candidates = sources.join(targets, how="left").select("source", F.explode("t").alias("target"))
+    candidates = sources.select("source", F.explode(targets.scalar()).alias("target"))
     return attribution.prior_flags(candidates, prior.edges, prior.pathways, prior.embeddings)
 
 

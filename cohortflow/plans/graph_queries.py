@@ -193,7 +193,7 @@ fragment("c_kept", f"SELECT p_brand, p_type, score FROM c_pairs WHERE score >= {
 def catalogue_pairs(spark, sf):
     counts = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n").alias("top"))
-    return counts.join(top, how="left").select("p_brand", "p_type", (F.col("n") / F.col("top")).alias("score")).where(F.col("score") >= KEEP_SCORE)
+    return counts.select("p_brand", "p_type", (F.col("n") / top.scalar()).alias("score")).where(F.col("score") >= KEEP_SCORE)
 
 
 def catalogue_edges(spark, sf):
