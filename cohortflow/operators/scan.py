@@ -21,6 +21,11 @@ def digest_buckets(df: DataFrame, digest: str, digits: int = 3) -> DataFrame:
     return df.withColumn(BUCKET, digest_int(F.col(digest), 1, digits).cast("int"))
 
 
+def hash_buckets(df: DataFrame, value: str) -> DataFrame:
+    """Buckets for rows ordered by a 64-bit hash: its leading twelve bits are uniform and ordered."""
+    return df.withColumn(BUCKET, F.shiftright(F.col(value), 52).cast("int"))
+
+
 def range_buckets(df: DataFrame, order: list[str], label: str) -> DataFrame:
     """Equal-sized ordered buckets from a range partitioning, written once so they stay fixed."""
     ranged = df.repartitionByRange(*[F.col(c) for c in order])

@@ -159,16 +159,17 @@ def val_edges(spark, sf):
 
 @query(
     "val_embeddings",
-    """SELECT 'vec' AS modality, p_partkey::VARCHAR AS feature, 'no_vector' AS reason FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)
-    UNION ALL SELECT 'vec', vec_id::VARCHAR, 'unknown_feature' FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part)
-    UNION ALL SELECT 'vec', vec_id::VARCHAR, 'wrong_length' FROM embeddings WHERE label = 3""",
+    """SELECT 'half' || (p_partkey % 2)::VARCHAR AS modality, p_partkey::VARCHAR AS feature, 'no_vector' AS reason FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)
+    UNION ALL SELECT 'half' || (vec_id % 2)::VARCHAR, vec_id::VARCHAR, 'unknown_feature' FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part)
+    UNION ALL SELECT 'half' || (vec_id % 2)::VARCHAR, vec_id::VARCHAR, 'wrong_length' FROM embeddings WHERE label = 3""",
 )
 def val_embeddings(spark, sf):
+    half = lambda c: F.concat(F.lit("half"), (F.col(c) % 2).cast("string")).alias("modality")
     vectors = table(spark, sf, "embeddings").select(
-        F.lit("vec").alias("modality"), F.col("vec_id").cast("string").alias("feature"),
+        half("vec_id"), F.col("vec_id").cast("string").alias("feature"),
         F.when(F.col("label") == 3, F.slice("embedding", 1, 8)).otherwise(F.col("embedding")).alias("embedding"),
     )
-    features = table(spark, sf, "part").select(F.lit("vec").alias("modality"), F.col("p_partkey").cast("string").alias("feature"))
+    features = table(spark, sf, "part").select(half("p_partkey"), F.col("p_partkey").cast("string").alias("feature"))
     return validate.embedding_violations(vectors, features, 64)
 
 
