@@ -229,7 +229,7 @@ def catalogue_pathways(spark, sf):
     ),
 )
 def pathway_activity(spark, sf):
-    cells = stage(order_cells(spark, sf).where("modality = 'rna'").select("observation_id", "modality", "feature", "raw"), "pathway-cells")
+    cells = stage(order_cells(spark, sf, ("rna",)).select("observation_id", "modality", "feature", "raw"), "pathway-cells")
     return _round(graph.pathway_activity(cells, catalogue_pathways(spark, sf), ["observation_id"], "raw"), "activity")
 
 

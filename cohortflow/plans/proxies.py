@@ -61,8 +61,12 @@ def event_sheet(cells: DataFrame) -> DataFrame:
     )
 
 
-def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-sectional cells: an order is a unit seen once; counts by brand, intensities by type."""
+def order_cells(spark: SparkSession, sf_dir: str, modalities: tuple[str, ...] = ("rna", "protein")) -> DataFrame:
+    """Cross-sectional cells: an order is a unit seen once; counts by brand, intensities by type.
+
+    Lines meet their order before they are summed, so one shuffle by order serves both the join and
+    the aggregation, and only the asked assays are spread out.
+    """
     t = {n: table(spark, sf_dir, n) for n in ("orders", "lineitem", "part", "customer", "nation", "region")}
     lines = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
     meta = (
@@ -74,19 +78,17 @@ def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_mktsegment").alias("condition"), F.col("r_name").alias("batch"),
         )
     )
-    # Both assays from one pass over the lines: each line feeds its brand and its type.
-    assay = F.explode(
-        F.array(
-            F.struct(F.lit("rna").alias("modality"), F.col("p_brand").alias("feature"), F.col("l_quantity").alias("v")),
-            F.struct(F.lit("protein").alias("modality"), F.col("p_type").alias("feature"), F.col("l_extendedprice").alias("v")),
-        )
+    assays = {"rna": ("p_brand", "l_quantity"), "protein": ("p_type", "l_extendedprice")}
+    spread = F.explode(
+        F.array(*[F.struct(F.lit(m).alias("modality"), F.col(assays[m][0]).alias("feature"), F.col(assays[m][1]).alias("v")) for m in modalities])
     )
+    about = ["o_orderkey", "time", "condition", "batch"]
     cells = (
-        lines.select("l_orderkey", assay.alias("a")).groupBy("l_orderkey", "a.modality", "a.feature")
-        .agg(F.sum("a.v").alias("raw"))
+        lines.join(meta, F.col("l_orderkey") == F.col("o_orderkey")).select(*about, spread.alias("a"))
+        .groupBy(*about, "a.modality", "a.feature").agg(F.sum("a.v").alias("raw"))
     )
     unit = F.col("o_orderkey").cast("string")
-    return cells.join(meta, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return cells.select(
         unit.alias("observation_id"), unit.alias("experimental_unit_id"), "time", "condition", "batch", "modality", "feature", "raw"
     )
 

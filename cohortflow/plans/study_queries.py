@@ -307,7 +307,7 @@ def json_path_values(spark, sf):
     with_query(f"SELECT observation_id, feature, {r6('normalized', 'normalized')} FROM p2_norm WHERE modality = 'rna'", "p2_norm"),
 )
 def cpm_log1p(spark, sf):
-    cells = order_cells(spark, sf).where("modality = 'rna'")
+    cells = order_cells(spark, sf, ("rna",))
     out = normalize.normalize_cells(cells, normalize.assay_configs({"rna": "raw_counts"}))
     return _round(out.select("observation_id", "feature", "normalized"), "normalized")
 
@@ -317,7 +317,7 @@ def cpm_log1p(spark, sf):
     with_query(f"SELECT observation_id, feature, {r6('normalized', 'normalized')} FROM p2_norm WHERE modality = 'protein'", "p2_norm"),
 )
 def intensity_log2(spark, sf):
-    cells = order_cells(spark, sf).where("modality = 'protein'")
+    cells = order_cells(spark, sf, ("protein",))
     out = normalize.normalize_cells(cells, normalize.assay_configs({"protein": "intensity"}))
     return _round(out.select("observation_id", "feature", "normalized"), "normalized")
 
