@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import regex
+import tiktoken
 
 #: Entries of a piece cache and of the pair memo of one Python worker, and the longest piece kept.
 CACHE = 300_000
@@ -298,3 +299,14 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The encoder of a tokenizer file, built once per Python worker."""
     return Encoder(path)
+
+
+@functools.lru_cache(maxsize=4)
+def library(path: str) -> tiktoken.Encoding:
+    """The library's encoding of a byte-level tokenizer file: the same ids, for operators that only need them."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    letters = byte_letters()
+    ranks = {bytes(map(letters.__getitem__, token)): i for token, i in spec["model"]["vocab"].items()}
+    pattern = BYTE_WORDS.replace(r"[^\p{White_Space}]", r"\S").replace(r"\p{White_Space}", r"\s")
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})

@@ -15,7 +15,7 @@ from cohortflow.session import stage
 
 #: Hash buckets of token ids, dimensions of the projection, and bits of a coordinate.
 HASHED, DIMS, DEPTH = 8_192, 4, 12
-#: Rows read into one batch of pieces.
+#: Pieces returned at a time.
 OUT = 4_096
 
 
@@ -83,11 +83,18 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, doc_
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, matrix = bpe.encoder(path), projection(seed)
+        library, matrix = bpe.library(path), projection(seed)
+
+        def tokens(value: str) -> np.ndarray:
+            try:
+                return np.array(library.encode(value, allowed_special="all"), "<u4")
+            except ValueError:  # its pattern engine gives up on very long runs of white space
+                return bpe.encoder(path).encode(value)
+
         for batch in batches:
             keys, packed = [], []
             for x in batch.column(1):
-                ids = coder.encode(x.as_py() or "")
+                ids = tokens(x.as_py() or "")
                 keys.append(hilbert(cell(ids, matrix)))
                 packed.append(_narrow(np.append(ids, end_id)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0), pa.array(packed, pa.binary())], names=["key", "doc_id", "ids"])

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import ann, knn, packing, simhash, tokens
+from cohortflow.llm import ann, knn, lm, packing, pii, secrets, simhash, spans, tokens, toxicity
+from cohortflow.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +59,31 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    counts = [spans.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans.label(F.col("base"), pii.KINDS), 256).alias("base_sha256"), spans.label(F.col("found"), pii.KINDS).alias("spans"))
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds, further = [r.name for r in secrets.BASE], [r.name for r in secrets.FURTHER]
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"].isin(kinds))
+    counts = [spans.count(F.col("found"), kind).alias(f"n_{kind}") for kind in kinds]
+    return found.select("doc_id", *counts, F.sha2(spans.label(base, kinds), 256).alias("base_sha256"), spans.label(F.col("found"), kinds + further).alias("spans"))
+
+
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), ~lm.held_out())

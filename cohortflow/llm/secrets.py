@@ -167,7 +167,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + FURTHER, doc_id: str
     for rule in rules:
         kept = spans.matches(F.col("text"), rule.pattern, F.array_contains("rules", rule.name) if rule in indexed else None)
         if rule.keep:
-            kept = F.filter(kept, lambda m, keep=rule.keep: m["text"].rlike(keep))
+            kept = spans.fitting(kept, rule.keep)
         found.append(spans.named(kept, rule.name))
     return met.select("doc_id", F.concat(*found).alias("found"))
 

@@ -77,3 +77,13 @@ def label(spans: Column, kinds: list[str]) -> Column:
 def named(found: Column, kind: str) -> Column:
     """Spans (kind, start, end) of matches."""
     return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+
+
+def fitting(found: Column, pattern: str) -> Column:
+    """Matches whose text holds the pattern."""
+    return F.filter(found, lambda m: m["text"].rlike(pattern))
+
+
+def count(found: Column, kind: str) -> Column:
+    """Number of spans of a kind."""
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("bigint")
