@@ -19,6 +19,11 @@ SAMPLE_DOCS, WORDS, MIN_DOCS = 8_000, 192, 5
 #: Longest text, in bytes, that is learnt from; it bounds the sample. Every text is scored whole.
 SAMPLE_BYTES = 1 << 17
 FOLDS, RIDGE, STEPS = 4, 1e-2, 8
+#: Least likelihood ratio statistic of a marker: far beyond what the best of all words reaches by chance.
+LEAST_GAIN = 30.0
+
+#: Lengths of the word beginnings that count as words of their own, written with a star.
+STEMS = (4, 5, 6, 7)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -33,7 +38,13 @@ class Chain:
 
 
 def _counts(text: str, number: dict[str, int]) -> Counter:
-    return Counter(number[w] for w in _WORD.findall(text.lower()) if w in number)
+    """Times that each numbered word, or a word with a numbered beginning, occurs."""
+    out: Counter = Counter()
+    for word, n in Counter(_WORD.findall(text.lower())).items():
+        for name in (word, *(word[:k] + "*" for k in STEMS if len(word) > k)):
+            if name in number:
+                out[number[name]] += n
+    return out
 
 
 def _row(counts: dict[int, int], n: int) -> np.ndarray:
@@ -43,16 +54,55 @@ def _row(counts: dict[int, int], n: int) -> np.ndarray:
     return x
 
 
-def select_words(sample: DataFrame, target: str, words: int = WORDS, min_docs: int = MIN_DOCS) -> list[str]:
-    """Words whose share of documents differs most between the two classes, by the z value of the log odds."""
-    held = sample.select(F.col(target).cast("int").alias("y"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
+def candidate_words(sample: DataFrame, target: str, words: int = WORDS, min_docs: int = MIN_DOCS) -> list[str]:
+    """Words and word beginnings likelier in documents that carry the target, by the likelihood ratio of their document counts."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    stems = [F.transform(F.filter(found, _longer(k)), _stem(k)) for k in STEMS]
+    held = sample.select(F.col(target).cast("int").alias("y"), F.explode(F.array_distinct(F.concat(found, *stems))).alias("word"))
     by_word = held.groupBy("word").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    size = sample.agg(F.sum(F.col(target)).alias("a"), F.count("*").alias("n")).first()
-    if not size["n"] or not size["a"]:
+    size = sample.agg(F.coalesce(F.sum(target), F.lit(0)).alias("a"), F.count("*").alias("n")).first()
+    if not 0 < size["a"] < size["n"]:
         return []
-    a, b, na, nb = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5, F.lit(size["a"] + 1.0), F.lit(size["n"] - size["a"] + 1.0)
-    z = F.abs(F.log(a / na) - F.log(b / nb)) / F.sqrt(1 / a + 1 / b)
-    return [r["word"] for r in by_word.orderBy(F.desc(z), "word").limit(words).collect()]
+    rate = size["a"] / size["n"]
+    a, b = F.col("a"), F.col("n") - F.col("a")
+    gain = a * F.log(a / F.col("n") / rate) + F.when(b > 0, b * F.log(b / F.col("n") / (1 - rate))).otherwise(0.0)
+    likelier = by_word.where(a > F.col("n") * rate)
+    return [r["word"] for r in likelier.orderBy(F.desc(F.round(gain, 6)), "word").limit(words).collect()]
+
+
+def _longer(k: int):
+    return lambda w: F.length(w) > k
+
+
+def _stem(k: int):
+    return lambda w: F.concat(F.left(w, F.lit(k)), F.lit("*"))
+
+
+def cover(held: np.ndarray, y: np.ndarray, least: float = LEAST_GAIN) -> list[int]:
+    """Words (columns of ``held``) chosen one after another, each by what the documents without any earlier one show.
+
+    A word that only copies of one document share goes with the first real marker in them. The gain is
+    the likelihood ratio statistic; a round ends when the best is below ``least``. Further rounds find
+    the markers that the documents of others hid; they end when a round's best is a fifth of the first's.
+    """
+    chosen: list[int] = []
+    first = 0.0
+    while True:
+        live, begun = np.ones(len(held), bool), len(chosen)
+        while live.any() and 0 < y[live].mean() < 1:
+            n, a, rate = held[live].sum(axis=0), held[live & (y > 0)].sum(axis=0), y[live].mean()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = 2 * (a * np.log(a / n / rate) + np.where(n > a, (n - a) * np.log((n - a) / n / (1 - rate)), 0))
+            gain = np.where((n > 0) & (a > n * rate), gain, 0)
+            gain[chosen] = 0
+            best = int(np.argmax(gain))
+            if gain[best] < max(least, first / 5 if len(chosen) == begun else 0):
+                break
+            first = first or gain[best]
+            chosen.append(best)
+            live &= ~held[:, best]
+        if len(chosen) == begun:
+            return chosen
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -107,8 +157,7 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Chain:
     """A chain of three categories from labelled documents: ``target``, repeated, severe.
 
-    Labels name only the first. Markers are the selected words that make a document likelier to carry
-    it; "repeated" documents carry it and hold two markers or more, "severe" ones carry it and hold
+    Labels name only the first. Markers are the words that ``cover`` selects; "repeated" documents carry it and hold two markers or more, "severe" ones carry it and hold
     more markers a word than the median document that does. About ``sample_docs`` labelled documents
     are learnt from, chosen by a hash of their id. Rows without a label, id or text are left out; an id
     labelled more than once counts by its largest label. Without both classes nothing is ever flagged.
@@ -118,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", doc_id: str =
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).groupBy("doc_id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
     sample = stage(texts.join(known, "doc_id"), "labelled")
-    words = select_words(sample, "y")
+    words = candidate_words(sample, "y")
     if not words:
         return Chain((), (), (1.01, 1.01, 1.01))
     number = {w: i for i, w in enumerate(words)}
@@ -137,12 +186,14 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", doc_id: str =
     x, y = np.array([_row(h, len(words)) for h in held]), np.array([r["y"] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return Chain((), (), (1.01, 1.01, 1.01))
-    markers = set(np.flatnonzero(logistic(x, y)[:-1] > 1).tolist())
-    marked = np.array([sum(n for i, n in h.items() if i in markers) for h in held])
+    markers = cover(x > 0, y)
+    if not markers:
+        return Chain((), (), (1.01, 1.01, 1.01))
+    marked = np.array([sum(h.get(i, 0) for i in markers) for h in held])
     rate = marked / np.maximum(1, [r["total"] for r in rows])
     targets = np.c_[y, y * (marked >= 2), y * (rate > np.median(rate[y > 0]))]
-    weights, thresholds = fit_chain(x, targets, np.array([r["fold"] for r in rows]))
-    return Chain(tuple(words), tuple(weights), tuple(thresholds))
+    weights, thresholds = fit_chain(x[:, markers], targets, np.array([r["fold"] for r in rows]))
+    return Chain(tuple(words[i] for i in markers), tuple(weights), tuple(thresholds))
 
 
 def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
