@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortflow.session import stage
 
@@ -196,15 +197,12 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", doc_id: str =
     return Chain(tuple(words[i] for i in markers), tuple(weights), tuple(thresholds))
 
 
-def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """(doc_id, toxic, p_toxic, p_repeated, p_severe) of every row, over its whole text.
+def judged(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
+    """(row, toxic, p_toxic, p_repeated, p_severe): every row as a struct, with what the chain says of its whole text.
 
-    A null text is an empty one; repeated rows are scored each; other columns are ignored, or with
-    ``keep`` those named are carried along instead of the id.
+    A null text is an empty one; repeated rows are judged each.
     """
-    names = (doc_id,) if keep is None else keep
-    added = ["toxic", "p_toxic", "p_repeated", "p_severe"]
-    rows = docs.select(F.col(text).alias("_text"), F.struct(*[F.col(n) for n in names]).alias("_kept"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # WORDS words and three weights for each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,15 +211,19 @@ def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "te
         for batch in batches:
             p = np.zeros((3, batch.num_rows))
             if words:
-                for i, value in enumerate(batch.column(0)):
+                for i, value in enumerate(batch.column(1)):
                     x = _row(_counts(value.as_py() or "", number), len(words))
                     for c, w in enumerate(weights):
                         p[c, i] = sigmoid(x @ w[:-1] + w[-1])
                         x = np.append(x, p[c, i])
             toxic = pa.array(p[0] >= shared.value.thresholds[0])
-            yield pa.RecordBatch.from_arrays([batch.column(1), toxic, *map(pa.array, p)], names=["_kept", *added])
+            yield pa.RecordBatch.from_arrays([batch.column(0), toxic, *map(pa.array, p)], names=["row", "toxic", "p_toxic", "p_repeated", "p_severe"])
 
-    kept = rows.schema["_kept"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"_kept {kept}, toxic boolean, p_toxic double, p_repeated double, p_severe double")
-    first = [F.col("_kept")[n].alias("doc_id" if keep is None else n) for n in names]
-    return out.select(*first, *[a for a in added if a not in (keep or ())])
+    schema = T.StructType([rows.schema["row"], T.StructField("toxic", T.BooleanType()), *[T.StructField(n, T.DoubleType()) for n in ("p_toxic", "p_repeated", "p_severe")]])
+    return rows.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, toxic, p_toxic, p_repeated, p_severe) of every row; see ``judged``. Other columns are ignored."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return judged(rows, chain).select("row.doc_id", "toxic", "p_toxic", "p_repeated", "p_severe")
