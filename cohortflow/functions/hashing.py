@@ -18,18 +18,29 @@ def digest_int(digest: Column, start: int = 1, digits: int = 8) -> Column:
 
 
 def canonical_value(col: Column, dtype: str) -> Column:
-    """Text form of a value that does not depend on how an engine prints doubles.
+    """Text form of a value, the same in any engine.
 
-    Doubles are written as whole millionths (half up), beyond 1e12 as a decimal. A length prefix
-    keeps neighbouring values apart; NULL has none.
+    Doubles keep ten significant digits with their power of ten; NaN, the infinities and NULL have
+    marks of their own, and minus zero is zero. Times are whole microseconds. A length prefix keeps
+    neighbouring values apart; NULL has none.
     """
+    text = _plain(col, dtype)
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+
+
+def _plain(col: Column, dtype: str) -> Column:
     if dtype in ("double", "float"):
         x = col.cast("double")
-        small = F.floor(F.when(F.abs(x) < 1e12, x * 1e6 + 0.5)).cast("string")
-        text = F.coalesce(small, x.cast("decimal(38,6)").cast("string"))
-    else:
-        text = col.cast("string")
-    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
+        return (
+            F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+            .when(x.isNotNull(), F.format_string("%.9e", F.when(x == 0, 0.0).otherwise(x)))
+        )
+    if dtype in ("timestamp", "timestamp_ntz"):
+        return F.unix_micros(col.cast("timestamp")).cast("string")
+    if dtype.startswith("array<"):
+        inner = dtype.removeprefix("array<").removesuffix(">")
+        return F.concat(F.lit("["), F.array_join(F.transform(col, lambda v: F.coalesce(_plain(v, inner), F.lit("~"))), ","), F.lit("]"))
+    return col.cast("string")
 
 
 def digest_words(digest: Column) -> list[Column]:

@@ -35,7 +35,7 @@ def draws(index: DataFrame, keys: list[str], replicates: int, seed: int) -> Data
         *keys, F.col("unit_index").alias("_slot"), "_n",
         F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
     )
-    pick = digest_int(seeded_digest(seed, F.col("replicate").cast("string"), F.col("_slot").cast("string"))) % F.col("_n")
+    pick = digest_int(seeded_digest(seed, F.col("replicate").cast("string"), F.col("_slot").cast("string")), 1, 15) % F.col("_n")
     return slots.groupBy(*keys, pick.alias("unit_index"), "replicate").agg(F.count("*").alias("times"))
 
 

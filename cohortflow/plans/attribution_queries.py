@@ -87,7 +87,7 @@ fragment("st_units", "SELECT group_id, row_number() OVER (ORDER BY md5(group_id)
 fragment(
     "st_boot",
     f"""SELECT d.replicate, a.source, a.target, avg(a.value) AS value FROM (
-      SELECT r.replicate, u.group_id FROM (SELECT r.replicate, ('0x' || substr(md5('{STABILITY_SEED}:' || r.replicate::VARCHAR || ':' || idx::VARCHAR), 1, 8))::BIGINT % n AS pick
+      SELECT r.replicate, u.group_id FROM (SELECT r.replicate, ('0x' || substr(md5('{STABILITY_SEED}:' || r.replicate::VARCHAR || ':' || idx::VARCHAR), 1, 15))::BIGINT % n AS pick
         FROM st_units, (SELECT unnest(range({CONFIG.n_bootstrap})) AS replicate) r) r JOIN st_units u ON u.idx = r.pick) d
     JOIN ex_attr a USING (group_id) GROUP BY ALL""",
     "st_units", "ex_attr",
@@ -143,7 +143,7 @@ def event_prior(spark, sf):
     counts = events.join(following, "event_id").where("event_type <> next_type").groupBy("event_type", "next_type").agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n").alias("top"))
     assay = lambda c: F.coalesce(*[F.when(F.col(c) == k, v) for k, v in EVENT_ASSAY.items()])
-    edges = counts.withColumn("top", top.scalar()).where(F.col("n") / F.col("top") >= 0.95).select(
+    edges = counts.withColumn("top", top.scalar()).select(
         assay("event_type").alias("source_modality"), F.col("event_type").alias("source_id"), assay("next_type").alias("target_modality"), F.col("next_type").alias("target_id"),
         F.lit("functional_association").alias("edge_type"), F.lit(False).alias("directed"), (F.col("n") / F.col("top")).alias("score"),
     )
@@ -160,7 +160,7 @@ def event_prior(spark, sf):
 
 FLAGS_SQL = """WITH n AS (SELECT DISTINCT CASE WHEN event_type IN ('purchase','error') THEN 'protein:' ELSE 'rna:' END || event_type AS node, event_type FROM events),
       e AS (SELECT a.event_type AS s, b.event_type AS t, count(*)::DOUBLE / max(count(*)) OVER () AS score FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.event_type <> b.event_type GROUP BY ALL),
-      k AS (SELECT s, t FROM e WHERE score >= 0.95),
+      k AS (SELECT s, t FROM e),
       c AS (SELECT a.node AS source, b.node AS target, a.event_type AS s, b.event_type AS t FROM n a CROSS JOIN n b WHERE b.event_type IN ('purchase', 'error')),
       f AS (SELECT *, EXISTS (SELECT 1 FROM k WHERE (k.s = c.s AND k.t = c.t) OR (k.s = c.t AND k.t = c.s)) OR (c.s IN ('click','view','purchase') AND c.t IN ('click','view','purchase')) AS edge FROM c)
     SELECT source, target, edge AS prior_edge_used, NOT edge AS de_novo_model_edge, s <> 'signup' AND t <> 'signup' AS embedding_supported FROM f"""

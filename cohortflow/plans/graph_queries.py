@@ -13,8 +13,6 @@ from cohortflow.plans.runs import Prior, prior_arms
 from cohortflow.plans.sql import fragment, r6, with_query
 from cohortflow.session import stage
 
-KEEP_SCORE = 0.7
-
 
 def _round(df, *names):
     return df.withColumns({n: rounded(F.col(n)) for n in names})
@@ -98,9 +96,27 @@ def rewired_degree(spark, sf):
     return graph.incidence_degree(graph.rewire(supply_edges(spark, sf), seed=24))
 
 
-@query("rewired_edges")
+@query(
+    "rewired_edges",
+    with_query(
+        f"""SELECT edge_type, directed, count(*) AS n_edges, {r6('sum(score)', 'score')}, {r6('max(score)', 'top')}, 0::BIGINT AS loops, true AS moved FROM
+        (SELECT edge_type, directed, score FROM g_edges UNION ALL SELECT edge_type, directed, score FROM g_edges WHERE s::BIGINT % 3 = 0) GROUP BY ALL""",
+        "g_edges",
+    ),
+)
 def rewired_edges(spark, sf):
-    return graph.rewire(supply_edges(spark, sf), seed=24)
+    """Rows, scores, loops and moved edges of a rewired graph with parallel edges."""
+    edges = supply_edges(spark, sf)
+    edges = edges.unionByName(edges.where(F.col("source_id").cast("bigint") % 3 == 0))
+    ends = ["source_modality", "source_id", "target_modality", "target_id", "edge_type", "directed"]
+    new = graph.rewire(edges, seed=24)
+    old = edges.select(*ends).distinct().withColumn("old", F.lit(1))
+    loop = (F.col("source_modality") == F.col("target_modality")) & (F.col("source_id") == F.col("target_id"))
+    grouped = new.join(old, ends, "left").groupBy("edge_type", "directed").agg(
+        F.count("*").alias("n_edges"), F.sum("score").alias("score"), F.max("score").alias("top"), F.count_if(loop).alias("loops"),
+        (F.count("old") < F.count("*")).alias("moved"),
+    )
+    return _round(grouped, "score", "top")
 
 
 @query(
@@ -188,13 +204,13 @@ def feature_embeddings(spark, sf):
 
 # Catalogue graph: brand -> type edges, neighbouring kept brands of a type, one pathway per type.
 fragment("c_pairs", "SELECT p_brand, p_type, n::DOUBLE / max(n) OVER () AS score FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL)")
-fragment("c_kept", f"SELECT p_brand, p_type, score FROM c_pairs WHERE score >= {KEEP_SCORE}", "c_pairs")
+fragment("c_kept", "SELECT p_brand, p_type, score FROM c_pairs", "c_pairs")
 
 
 def catalogue_pairs(spark, sf):
     counts = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n").alias("top"))
-    return counts.select("p_brand", "p_type", (F.col("n") / top.scalar()).alias("score")).where(F.col("score") >= KEEP_SCORE)
+    return counts.select("p_brand", "p_type", (F.col("n") / top.scalar()).alias("score"))
 
 
 def catalogue_edges(spark, sf):

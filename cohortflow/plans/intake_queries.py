@@ -212,17 +212,20 @@ def download_plan(spark, sf):
 
 @query(
     "apply_receipts",
-    """SELECT 'f' || p_partkey::VARCHAR AS filename, CASE WHEN p_partkey % 5 = 0 THEN 'landed/' || p_partkey::VARCHAR WHEN p_partkey % 2 = 0 THEN 'raw/file' END AS path,
-      CASE WHEN p_partkey % 5 = 0 THEN 'h' || p_partkey::VARCHAR WHEN p_partkey % 4 = 0 THEN 'abc' END AS sha256, CASE WHEN p_partkey % 5 = 0 THEN p_partkey * 2 ELSE p_partkey END AS size_bytes FROM part""",
+    """WITH i AS (SELECT p_brand AS dataset_id, 'f' || (p_partkey % 50)::VARCHAR AS filename, CASE WHEN p_partkey % 2 = 0 THEN 'raw/file' END AS path, CASE WHEN p_partkey % 4 = 0 THEN 'abc' END AS sha256, p_partkey AS size_bytes FROM part),
+    r AS (SELECT p_brand AS dataset_id, 'f' || (p_partkey % 50)::VARCHAR AS filename, arg_max(p_partkey, 'landed/' || p_partkey::VARCHAR) AS k FROM part WHERE p_partkey % 5 = 0 GROUP BY 1, 2)
+    SELECT i.dataset_id, i.filename, coalesce('landed/' || k::VARCHAR, path) AS path, coalesce('h' || k::VARCHAR, sha256) AS sha256, coalesce(k * 2, size_bytes) AS size_bytes FROM i LEFT JOIN r ON i.dataset_id = r.dataset_id AND i.filename = r.filename""",
 )
 def apply_receipts(spark, sf):
+    """Data sets share file names, and a file may have several receipts."""
     part = table(spark, sf, "part")
-    inventory = page_inventory(spark, sf).withColumn("filename", F.concat(F.lit("f"), F.col("size_bytes").cast("string")))
+    name = lambda key: F.concat(F.lit("f"), (F.col(key) % 50).cast("string")).alias("filename")
+    inventory = page_inventory(spark, sf).withColumn("filename", name("size_bytes"))
     text = F.col("p_partkey").cast("string")
     receipts = part.where("p_partkey % 5 = 0").select(
-        F.concat(F.lit("f"), text).alias("filename"), F.concat(F.lit("landed/"), text).alias("dest"), F.concat(F.lit("h"), text).alias("sha256"), (F.col("p_partkey") * 2).alias("bytes_written")
+        F.col("p_brand").alias("dataset_id"), name("p_partkey"), F.concat(F.lit("landed/"), text).alias("dest"), F.concat(F.lit("h"), text).alias("sha256"), (F.col("p_partkey") * 2).alias("bytes_written")
     )
-    return files.apply_receipts(inventory, receipts).select("filename", "path", "sha256", "size_bytes")
+    return files.apply_receipts(inventory, receipts).select("dataset_id", "filename", "path", "sha256", "size_bytes")
 
 
 @query("landed_files")
@@ -418,21 +421,36 @@ def fingerprint_sql(name: str, source: str, columns: dict[str, str]) -> str:
       FROM (SELECT sha256({text}) AS h FROM {source})"""
 
 
-_DEC = "floor({c} * 1e6 + 0.5)::BIGINT::VARCHAR"
-FP_COLUMNS = {
-    "customer": {"c_custkey": "c_custkey::VARCHAR", "c_name": "c_name", "c_nationkey": "c_nationkey::VARCHAR", "c_acctbal": _DEC.format(c="c_acctbal"), "c_mktsegment": "c_mktsegment"},
+_TEXT, _INT = "{c}", "{c}::VARCHAR"
+_NUM = "CASE WHEN isnan({c}) THEN 'nan' WHEN isinf({c}) THEN CASE WHEN {c} > 0 THEN 'inf' ELSE '-inf' END ELSE printf('%.9e', CASE WHEN {c} = 0 THEN 0.0 ELSE {c}::DOUBLE END) END"
+_TIME = "epoch_us({c})::VARCHAR"
+_VECTOR = "'[' || array_to_string(list_transform({c}, lambda v: printf('%.9e', CASE WHEN v = 0 THEN 0.0 ELSE v::DOUBLE END)), ',') || ']'"
+# All columns of the tables, with the form of their text.
+FP_KINDS = {
+    "region": {"r_regionkey": _INT, "r_name": _TEXT},
+    "nation": {"n_nationkey": _INT, "n_name": _TEXT, "n_regionkey": _INT},
+    "customer": {"c_custkey": _INT, "c_name": _TEXT, "c_nationkey": _INT, "c_acctbal": _NUM, "c_mktsegment": _TEXT},
+    "supplier": {"s_suppkey": _INT, "s_name": _TEXT, "s_nationkey": _INT, "s_acctbal": _NUM},
+    "part": {"p_partkey": _INT, "p_name": _TEXT, "p_brand": _TEXT, "p_type": _TEXT, "p_size": _INT, "p_retailprice": _NUM},
+    "orders": {"o_orderkey": _INT, "o_custkey": _INT, "o_orderstatus": _TEXT, "o_totalprice": _NUM, "o_orderdate": _TIME, "o_orderpriority": _TEXT},
     "lineitem": {
-        **{c: f"{c}::VARCHAR" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")},
-        **{c: _DEC.format(c=c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}, "l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus",
+        "l_orderkey": _INT, "l_partkey": _INT, "l_suppkey": _INT, "l_linenumber": _INT, "l_quantity": _NUM, "l_extendedprice": _NUM,
+        "l_discount": _NUM, "l_tax": _NUM, "l_returnflag": _TEXT, "l_linestatus": _TEXT, "l_shipdate": _TIME,
     },
-    "documents": {"doc_id": "doc_id::VARCHAR", "text": "text", "lang": "lang", "source": "source", "n_chars": "n_chars::VARCHAR"},
-    "pages": {"page_id": "page_id::VARCHAR", "url": "url", "html": "html"},
+    "events": {"event_id": _INT, "ts": _TIME, "user_id": _INT, "event_type": _TEXT, "value": _NUM, "props": _TEXT},
+    "documents": {"doc_id": _INT, "text": _TEXT, "lang": _TEXT, "source": _TEXT, "n_chars": _INT},
+    "embeddings": {"vec_id": _INT, "embedding": _VECTOR, "label": _INT},
+    "pages": {"page_id": _INT, "url": _TEXT, "html": _TEXT},
+    "benchmark": {"item_id": _INT, "text": _TEXT},
+    "labels": {"doc_id": _INT, "quality": _INT, "toxic": _INT},
+    "conversations": {"conv_id": _INT, "turn": _INT, "role": _TEXT, "text": _TEXT},
 }
+FP_COLUMNS = {name: {c: form.format(c=c) for c, form in columns.items()} for name, columns in FP_KINDS.items()}
 FP_SQL = " UNION ALL ".join(fingerprint_sql(n, n, c) for n, c in FP_COLUMNS.items())
 
 
 def _fingerprints(spark, sf):
-    parts = [fingerprint.fingerprint(table(spark, sf, n).select(*c), n) for n, c in FP_COLUMNS.items()]
+    parts = [fingerprint.fingerprint(table(spark, sf, n), n) for n in FP_COLUMNS]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -443,15 +461,16 @@ def table_fingerprint(spark, sf):
 
 @query(
     "fingerprint_diff",
-    "SELECT * FROM (VALUES ('customer', 'changed'), ('documents', 'missing'), ('regions', 'extra')) t(name, status)",
+    """SELECT 'customer' AS name, 'changed' AS status FROM customer WHERE c_custkey = 3 AND c_name <> 'x' UNION ALL SELECT 'lineitem', 'changed' FROM (SELECT 1 FROM lineitem WHERE l_linenumber = 2 LIMIT 1)
+    UNION ALL SELECT * FROM (VALUES ('documents', 'missing'), ('regions', 'extra')) t(name, status)""",
 )
 def fingerprint_diff(spark, sf):
-    """The frozen tables against ones with a changed row, a missing table and an extra one."""
+    """The frozen tables against ones with a changed name, changed dates, a missing table and an extra one."""
     frozen = _fingerprints(spark, sf)
-    changed = table(spark, sf, "customer").select(*FP_COLUMNS["customer"]).withColumn("c_name", F.when(F.col("c_custkey") == 3, "x").otherwise(F.col("c_name")))
-    current = frozen.where("name IN ('lineitem', 'pages')").unionByName(fingerprint.fingerprint(changed, "customer")).unionByName(
-        fingerprint.fingerprint(table(spark, sf, "region"), "regions")
-    )
+    later = table(spark, sf, "lineitem").withColumn("l_shipdate", F.when(F.col("l_linenumber") == 2, F.col("l_shipdate") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("l_shipdate")))
+    changed = table(spark, sf, "customer").withColumn("c_name", F.when(F.col("c_custkey") == 3, "x").otherwise(F.col("c_name")))
+    same = frozen.where("name NOT IN ('lineitem', 'customer', 'documents')")
+    current = reduce(lambda a, b: a.unionByName(b), [same, fingerprint.fingerprint(changed, "customer"), fingerprint.fingerprint(later, "lineitem"), fingerprint.fingerprint(table(spark, sf, "region"), "regions")])
     return fingerprint.fingerprint_diff(frozen, current)
 
 

@@ -630,7 +630,7 @@ fragment(
 fragment(
     "boot_draws",
     f"""SELECT u.split, s.replicate, u.unit, u.n_units FROM
-      (SELECT split, r.replicate, ('0x' || substr(md5('{BOOT_SEED}:' || r.replicate::VARCHAR || ':' || idx::VARCHAR), 1, 8))::BIGINT % n_units AS pick
+      (SELECT split, r.replicate, ('0x' || substr(md5('{BOOT_SEED}:' || r.replicate::VARCHAR || ':' || idx::VARCHAR), 1, 15))::BIGINT % n_units AS pick
        FROM boot_units, (SELECT unnest(range({BOOT})) AS replicate) r) s
       JOIN boot_units u ON u.split = s.split AND u.idx = s.pick""",
     "boot_units",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,17 +25,21 @@ def build_session(app_name: str = "cohortflow", master: str | None = None, **con
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only in local mode with nothing set."""
+    """The shared folder of the cluster; in local mode with nothing set, a folder beside the warehouse tables."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
-    root = tempfile.mkdtemp(prefix="cohortflow-checkpoint-")
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def _staged_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once under the shared checkpoint folder and read it back.
 
@@ -44,9 +47,15 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     executor costs a re-read, not a re-run.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    path = f"{_staged_folder(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has staged. Frames that read it can't be used afterwards."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

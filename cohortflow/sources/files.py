@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,20 +112,41 @@ def plan_counts(inventory: DataFrame, key: str = "dataset_id") -> DataFrame:
 
 
 def apply_receipts(inventory: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Landed path, digest and size by file name; files without a receipt keep what they had."""
-    r = receipts.select("filename", F.col("dest").alias("_p"), F.col("sha256").alias("_h"), F.col("bytes_written").alias("_b"))
-    return inventory.join(r, "filename", "left").withColumns(
+    """Landed path, digest and size by data set and file name; files without a receipt keep what they had.
+
+    Of several receipts for one file the one with the greatest path counts.
+    """
+    key = ["dataset_id", "filename"]
+    r = receipts.groupBy(*key).agg(F.max(F.struct(F.col("dest").alias("p"), F.col("sha256").alias("h"), F.col("bytes_written").alias("b"))).alias("r"))
+    r = r.select(*key, F.col("r.p").alias("_p"), F.col("r.h").alias("_h"), F.col("r.b").alias("_b"))
+    return inventory.join(r, key, "left").withColumns(
         {"path": F.coalesce("_p", "path"), "sha256": F.coalesce("_h", "sha256"), "size_bytes": F.coalesce("_b", "size_bytes")}
     ).drop("_p", "_h", "_b")
 
 
-def landed_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """Size, sha256 and md5 of every landed file. The source reads files below 2 GB."""
+#: Files up to this size are read by the binary source; longer ones are hashed piece by piece in a task.
+WHOLE_FILE = 1 << 28
+
+
+def landed_digests(spark: SparkSession, folder: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """Size, sha256 and md5 of every landed file, of any size."""
     files = spark.read.format("binaryFile").load(folder)
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"),
-    )
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("filename")
+    small = files.where(F.col("length") <= whole).select(name, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
+    paths = files.where(F.col("length") > whole).select("path", name, F.col("length").alias("size_bytes")).repartition("path")
+    return small.unionByName(paths.mapInPandas(_digest_files, "filename string, size_bytes bigint, sha256 string, md5 string"))
+
+
+def _digest_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples():
+            store, path = FileSystem.from_uri(quote(row.path, safe=":/%"))
+            sha, md5 = hashlib.sha256(), hashlib.md5()
+            with store.open_input_stream(path) as stream:
+                while piece := stream.read(1 << 22):
+                    sha.update(piece)
+                    md5.update(piece)
+            yield pd.DataFrame({"filename": [row.filename], "size_bytes": [row.size_bytes], "sha256": [sha.hexdigest()], "md5": [md5.hexdigest()]})
 
 
 def verify_landed(expected: DataFrame, landed: DataFrame, max_bytes: int) -> DataFrame:
@@ -140,6 +167,7 @@ def verify_landed(expected: DataFrame, landed: DataFrame, max_bytes: int) -> Dat
     )
 
 
+# Content kinds that are never taken as data.
 FORBIDDEN_KINDS = ["script", "executable", "shell"]
 
 

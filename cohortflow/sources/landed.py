@@ -5,10 +5,13 @@ Each parser takes one response per row and explodes it; nothing leaves the row i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.functions.text import doi_from_text, year_prefix
+from cohortflow.session import stage
 from cohortflow.sources.files import file_role
 
 # Categories of raw proteomics files, and the public file endpoint.
@@ -61,20 +64,36 @@ def project_files(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     )
 
 
-def _children(node: Column) -> Column:
-    as_map = F.map_values(F.from_json(node, "map<string,string>"))
-    children = F.when(_is_list(node), _items(node)).otherwise(as_map)
-    return F.coalesce(F.filter(children, lambda c: c.rlike(r"^\s*[\[{]")), F.array().cast("array<string>"))
-
-
-def json_nodes(df: DataFrame, payload: str, keep: list[str], depth: int = 8) -> DataFrame:
-    """Every object of a nested response down to ``depth`` levels, one row each, in level order."""
-    level = F.array(F.col(payload))
-    levels = df.select(*keep, level.alias("l0"))
-    for d in range(depth):
-        levels = levels.withColumn(f"l{d + 1}", F.flatten(F.transform(f"l{d}", _children)))
-    everything = F.concat(*[f"l{d}" for d in range(depth + 1)])
-    nodes = levels.select(*keep, F.posexplode(everything).alias("node_order", "node"))
+#: Levels walked in one pass over the responses; deeper nodes take another pass.
+LEVELS = 8
+
+
+def _children(parent: Column) -> Column:
+    """Containers directly inside a node, each with the path of positions that leads to it."""
+    as_map = F.map_values(F.from_json(parent["node"], "map<string,string>"))
+    inner = F.when(_is_list(parent["node"]), _items(parent["node"])).otherwise(as_map)
+    placed = F.transform(inner, lambda c, i: F.struct(F.concat(parent["path"], F.array(i)).alias("path"), c.alias("node")))
+    return F.coalesce(F.filter(placed, lambda c: c["node"].rlike(r"^\s*[\[{]")), F.array().cast("array<struct<path:array<int>,node:string>>"))
+
+
+def json_nodes(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
+    """Every object of a nested response, at any depth, one row each.
+
+    ``node_order`` is the path of positions from the root; paths sort in document order, an object
+    before what it holds. Eight levels are walked within the row; only if some response goes deeper is
+    what is left below them written and walked on.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("path"), F.col(payload).alias("node"))
+    rows, parts = df.select(*keep, F.array(start).alias("l0")), []
+    while True:
+        for d in range(LEVELS):
+            rows = rows.withColumn(f"l{d + 1}", F.flatten(F.transform(f"l{d}", _children)))
+        parts.append(rows.select(*keep, F.explode(F.concat(*[f"l{d}" for d in range(LEVELS)])).alias("n")))
+        deeper = rows.where(F.size(f"l{LEVELS}") > 0)
+        if deeper.isEmpty():
+            break
+        rows = stage(deeper.select(*keep, F.col(f"l{LEVELS}").alias("l0")), "json-nodes")
+    nodes = reduce(lambda a, b: a.unionByName(b), parts).select(*keep, F.col("n.path").alias("node_order"), F.col("n.node").alias("node"))
     return nodes.where(F.col("node").rlike(r"^\s*\{"))
 
 
