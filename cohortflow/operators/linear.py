@@ -11,7 +11,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,10 @@ from cohortflow.operators.scan import exact_quantiles
 from cohortflow.session import stage
 
 MAX_DESIGN = 2048  # p x p doubles on the driver: 32 MB
-NARROW = 128  # inputs laid out by one hash aggregation
+TILE = 64  # targets whose cross products travel and are solved together
+GRAM_ROWS = 16  # Gram rows that travel together
+HELD_BYTES = 1 << 28  # target blocks a task holds before it passes them on
+SALTS = 32  # partial sums of one block, so that no task gathers it from all others
 MAX_TARGETS = 200_000  # target names are a matrix header; their coefficients stay distributed
 
 
@@ -52,15 +57,11 @@ def train_conditions(train_obs: DataFrame) -> list[str]:
 def input_vectors(cells: DataFrame, names: list[str], key: list[str], value: str, out: str = "inputs") -> DataFrame:
     """One array per key with its observed inputs in the order of ``names``, gaps as NULL.
 
-    Up to ``NARROW`` inputs this is one hash aggregation; wider ones are packed as positions and
-    values and laid out in Arrow batches.
+    Inputs are packed as positions and values and laid out in Arrow batches. Of a repeated cell the
+    largest value counts.
     """
     spark = cells.sparkSession
     known = cells.where(F.col(value).isNotNull()).withColumn("_name", F.concat_ws(":", "modality", "feature"))
-    if len(names) <= NARROW:
-        slots = [F.max(F.when(F.col("_name") == n, F.col(value))).alias(f"_{i}") for i, n in enumerate(names)]
-        wide = known.groupBy(*key).agg(*slots)
-        return wide.select(*key, F.array(*[F.col(f"_{i}") for i in range(len(names))]).alias(out))
     index = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, at int")
     packed = known.join(F.broadcast(index), "_name").groupBy(*key).agg(F.collect_list(F.struct("at", F.col(value).alias("v"))).alias("e"))
     return densify(packed.select(*key, F.col("e.at").alias("at"), F.col("e.v").alias("v")), len(names), out)
@@ -90,7 +91,7 @@ def densify(df: DataFrame, width: int, out: str) -> DataFrame:
             dense = np.full((batch.num_rows, width), np.nan)
             rows, at = _flat(batch.column("at"))
             _, v = _flat(batch.column("v"))
-            dense[rows, at] = v
+            np.fmax.at(dense, (rows, at), v)
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
             lists = pa.ListArray.from_arrays(offsets, pa.array(dense.ravel(), mask=np.isnan(dense.ravel())))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], names=[*keep, out])
@@ -154,65 +155,78 @@ class Moments:
 def moments(rows: DataFrame, p: int) -> Moments:
     """One pass over ``x, t, y`` rows.
 
-    Block rows per task: one per design column (a Gram row with the column sum at the end) and two
-    per target (sums of x·y and of x over observed rows).
+    A task multiplies its design rows with tiles of targets (and with their masks), so a tile takes two
+    matrix products however many cells it has. Blocks of the Gram matrix and of target tiles are
+    summed over salted tasks first.
     """
     check_width(p + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((p + 1, p + 1))
-        blocks: dict[int, np.ndarray] = {}
+        tiles: dict[int, np.ndarray] = {}
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            x = np.asarray(table.column("x").combine_chunks().flatten(), dtype=float).reshape(batch.num_rows, p)
+            x = np.asarray(batch.column("x").flatten(), dtype=float).reshape(batch.num_rows, p)
             z = np.hstack([x, np.ones((batch.num_rows, 1))])
             gram += z.T @ z
-            at, t = _flat(table.column("t"))
-            _, y = _flat(table.column("y"))
-            for k in np.unique(t):
-                hit = t == k
-                zk, yk = z[at[hit]], y[hit]
-                block = blocks.setdefault(int(k), np.zeros((2, p + 1)))
-                block[0] += zk.T @ yk
-                block[1] += zk.sum(axis=0)
-        kinds, ids, vecs = ["g"] * (p + 1), list(range(p + 1)), list(gram)
-        for k, block in blocks.items():
-            kinds += ["y", "m"]
-            ids += [k, k]
-            vecs += [block[0], block[1]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kinds), pa.array(ids, pa.int32()), pa.array([v.tolist() for v in vecs], pa.list_(pa.float64()))],
-            names=["kind", "id", "vec"],
-        )
-
-    partial = rows.select("x", "t", "y").mapInArrow(run, "kind string, id int, vec array<double>")
-    summed = stage(
-        partial.select("kind", "id", F.posexplode("vec").alias("pos", "v"))
-        .groupBy("kind", "id", "pos").agg(F.sum("v").alias("v"))
-        .groupBy("kind", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("e"))
-        .select("kind", "id", F.col("e.v").alias("vec")),
-        "moments",
-        ["kind"],
-    )
+            at, t = _flat(batch.column("t"))
+            _, y = _flat(batch.column("y"))
+            order = np.argsort(t // TILE, kind="stable")
+            at, t, y = at[order], t[order], y[order]
+            names, starts = np.unique(t // TILE, return_index=True)
+            for k, lo, hi in zip(names, starts, [*starts[1:], len(t)]):
+                dense = np.zeros((2, batch.num_rows, TILE))
+                np.add.at(dense[0], (at[lo:hi], t[lo:hi] % TILE), y[lo:hi])
+                np.add.at(dense[1], (at[lo:hi], t[lo:hi] % TILE), 1.0)
+                block = tiles.setdefault(int(k), np.zeros((2, p + 1, TILE)))
+                block[0] += z.T @ dense[0]
+                block[1] += z.T @ dense[1]
+            if len(tiles) * 16 * (p + 1) * TILE > HELD_BYTES:
+                yield _blocks("t", tiles)
+                tiles.clear()
+        yield _blocks("g", {i: gram[i : i + GRAM_ROWS] for i in range(0, p + 1, GRAM_ROWS)})
+        yield _blocks("t", tiles)
+
+    partial = rows.select("x", "t", "y").mapInArrow(run, "kind string, id int, salt int, block binary")
+    salted = partial.groupBy("kind", "id", "salt").applyInArrow(_sum_blocks, "kind string, id int, salt int, block binary")
+    summed = stage(salted.groupBy("kind", "id").applyInArrow(_sum_blocks, "kind string, id int, salt int, block binary"), "moments", ["kind"])
     full = np.zeros((p + 1, p + 1))
-    for row in summed.where("kind = 'g'").collect():
-        full[row["id"]] = row["vec"]
-    y = summed.where("kind = 'y'").select(F.col("id").alias("t"), F.col("vec").alias("xy"))
-    m = summed.where("kind = 'm'").select(F.col("id").alias("t"), F.col("vec").alias("xm"))
-    return Moments(full[:p, :p], full[p, :p].copy(), float(full[p, p]), y.join(m, "t"), p)
+    for row in summed.where("kind = 'g'").select("id", "block").collect():
+        part = np.frombuffer(row["block"]).reshape(-1, p + 1)
+        full[row["id"] : row["id"] + len(part)] = part
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                xy, xm = np.frombuffer(raw).reshape(2, p + 1, TILE)
+                some = np.flatnonzero(xm[p] > 0)
+                lists = [pa.array(m[:, some].T.tolist(), pa.list_(pa.float64())) for m in (xy, xm)]
+                yield pa.RecordBatch.from_arrays([pa.array(tile * TILE + some, pa.int32()), *lists], names=["t", "xy", "xm"])
+
+    targets = summed.where("kind = 't'").select("id", "block").mapInArrow(spread, "t int, xy array<double>, xm array<double>")
+    return Moments(full[:p, :p], full[p, :p].copy(), float(full[p, p]), targets, p)
+
+
+def _blocks(kind: str, blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
+    salt = TaskContext.get().partitionId() % SALTS
+    columns = [pa.array([kind] * len(blocks), pa.string()), pa.array(list(blocks), pa.int32()), pa.array([salt] * len(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks.values()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "id", "salt", "block"])
+
+
+def _sum_blocks(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(b.as_py()) for b in table["block"])
+    return pa.table({"kind": table["kind"][:1], "id": table["id"][:1], "salt": table["salt"][:1], "block": pa.array([total.tobytes()], pa.binary())})
 
 
 def _solve(mom: Moments, betas, spec: str) -> DataFrame:
-    """Apply ``betas(xy, xm) -> rows`` to every target block inside tasks."""
+    """Apply ``betas(xy, xm, sy, n) -> columns`` to the target rows of a batch at once, inside tasks."""
     p = mom.p
+    names = [c.split()[0] for c in spec.split(", ")]
 
     def run(frames):
         for pdf in frames:
-            out = []
-            for t, xy, xm in zip(pdf["t"], pdf["xy"], pdf["xm"]):
-                xy, xm = np.asarray(xy), np.asarray(xm)
-                out.append((int(t), *betas(xy[:p], xm[:p], xy[p], xm[p])))
-            yield type(pdf)(out, columns=[c.split()[0] for c in spec.split(", ")])
+            if len(pdf):
+                xy, xm = np.stack(pdf["xy"]), np.stack(pdf["xm"])
+                yield pd.DataFrame(dict(zip(names, [pdf["t"], *betas(xy[:, :p], xm[:, :p], xy[:, p], xm[:, p])])))
 
     return mom.targets.mapInPandas(run, spec)
 
@@ -227,13 +241,14 @@ def ridge_fit(mom: Moments, alpha: float, penalty: np.ndarray | None = None, int
     mean = mom.sums / mom.n
     gram = mom.gram - mom.n * np.outer(mean, mean) if intercept else mom.gram
     left = gram + alpha * np.eye(mom.p) + (0 if penalty is None else penalty)
-    sums = mom.sums
+    shared = mom.targets.sparkSession.sparkContext.broadcast((left, mom.sums))  # p is checked
 
     def betas(xy, xm, sy, n):
-        y_mean = sy / n
+        left, sums = shared.value
+        y_mean = (sy / n)[:, None]
         right = xy - y_mean * xm if intercept else xy + y_mean * (sums - xm)
-        coef = np.linalg.solve(left, right)
-        return coef.tolist(), float(y_mean - mean @ coef) if intercept else 0.0
+        coef = np.linalg.solve(left, right.T).T  # one factorisation for all targets of the batch
+        return coef.tolist(), (y_mean[:, 0] - coef @ mean if intercept else np.zeros(len(coef))).tolist()
 
     return _solve(mom, betas, "t int, coef array<double>, intercept double")
 
@@ -243,14 +258,16 @@ def ridge_path(mom: Moments, alphas: list[float], intercept: bool = True) -> Dat
     mean = mom.sums / mom.n
     gram = mom.gram - mom.n * np.outer(mean, mean) if intercept else mom.gram
     lam, vec = np.linalg.eigh(gram)
-    sums, grid = mom.sums, np.asarray(alphas)
+    grid = np.asarray(alphas)
+    shared = mom.targets.sparkSession.sparkContext.broadcast((lam, vec, mom.sums))  # p is checked
 
     def betas(xy, xm, sy, n):
-        y_mean = sy / n
+        lam, vec, sums = shared.value
+        y_mean = (sy / n)[:, None]
         right = xy - y_mean * xm if intercept else xy + y_mean * (sums - xm)
-        coefs = vec @ ((vec.T @ right)[:, None] / (lam[:, None] + grid[None, :]))
-        shift = y_mean - mean @ coefs if intercept else np.zeros(len(grid))
-        return coefs.T.tolist(), shift.tolist()
+        coefs = ((right @ vec)[:, None, :] / (lam + grid[:, None])) @ vec.T  # target x alpha x column
+        shift = y_mean - coefs @ mean if intercept else np.zeros(coefs.shape[:2])
+        return coefs.tolist(), shift.tolist()
 
     return _solve(mom, betas, "t int, coefs array<array<double>>, intercepts array<double>")
 
@@ -331,11 +348,11 @@ def spline_basis(time: Column, low: float, inner: list[float], high: float, degr
 def spline_design(df: DataFrame, time: str, conditions: list[str], knots: tuple[float, list[float], float]) -> DataFrame:
     """``x`` = intercept, treatment-coded condition, basis, and their interaction.
 
-    Rows outside the train time range are left out; list them with ``outside_range``.
+    The basis is zero outside the train time range; ``outside_range`` lists such rows, which callers refuse.
     """
     low, inner, high = knots
     basis = spline_basis(F.col(time), low, inner, high)
-    staged = df.where(F.col(time).between(low, high)).withColumn("_b", F.array(*basis))
+    staged = df.withColumn("_b", F.array(*basis))
     cols = [F.lit(1.0)]
     hot = [F.when(F.col("condition") == c, 1.0).otherwise(0.0) for c in conditions[1:]]
     cols += hot

@@ -199,8 +199,9 @@ class Forecast:
         require_empty("unseen_condition", unknown)
         if self.by_group:
             return linear.group_design(self.instances, self.keys, self.means, self.names, self.conditions)
-        fill = normalize.imputer_fit(self.study.cells).where("fill IS NOT NULL")
-        known = {f"{r['modality']}:{r['feature']}": r["fill"] for r in fill.limit(linear.MAX_DESIGN + 1).collect()}
+        inputs = self.study.cells.where(F.col("modality").isin(list(self.task.input_modalities)))
+        fill = normalize.imputer_fit(inputs).where("fill IS NOT NULL")
+        known = {f"{r['modality']}:{r['feature']}": r["fill"] for r in fill.collect()} if self.names else {}  # one row an input; names are checked
         return linear.subject_design(self.instances, self.study.cells, self.names, self.conditions, known)
 
     @cached_property
@@ -275,13 +276,12 @@ class TimeSpline:
         self.coefs = linear.named_targets(linear.ridge_fit(self.mom, alpha, intercept=False), data.target_names)
 
     def cells(self, split_name: str | None = None) -> DataFrame:
+        """Targets with their design row. A target time outside the train range, or a condition not in train, is refused."""
         targets = normalize.subset(self.data.targets, split_name) if split_name else self.data.targets
+        require_empty("outside_time_range", linear.outside_range(targets, "target_time", self.knots))
+        require_empty("unseen_condition", targets.where(~F.col("condition").isin(self.conditions)))
         return linear.spline_design(targets, "target_time", self.conditions, self.knots)
 
-    def outside(self) -> DataFrame:
-        """Instances outside the train time range, which have no prediction."""
-        return linear.outside_range(self.data.instances, "target_time", self.knots)
-
     def predict(self, split_name: str | None = None) -> DataFrame:
         return linear.predict(self.cells(split_name), self.coefs).select(*SCORED)
 

@@ -53,14 +53,24 @@ def test_path_equals_single_fits(spark):
             assert np.allclose(path.coefs[t][k], one.coef[t]) and path.intercepts[t][k] == pytest.approx(one.intercept[t])
 
 
-def test_narrow_and_wide_layouts_agree(spark, monkeypatch):
-    cells = spark.createDataFrame([("o1", "rna", "b", 2.0), ("o1", "protein", "a", 1.0), ("o2", "rna", "c", None), ("o2", "rna", "b", 4.0)], "observation_id string, modality string, feature string, scaled double")
+def test_inputs_are_laid_out_in_name_order(spark):
+    cells = spark.createDataFrame(
+        [("o1", "rna", "b", 2.0), ("o1", "rna", "b", 1.5), ("o1", "protein", "a", 1.0), ("o2", "rna", "c", None), ("o2", "rna", "b", 4.0)],
+        "observation_id string, modality string, feature string, scaled double",
+    )
     names = linear.feature_names(cells, ["rna", "protein"])
     assert names == ["protein:a", "rna:b", "rna:c"]
-    narrow = {r.observation_id: r.inputs for r in linear.input_vectors(cells, names, ["observation_id"], "scaled").collect()}
-    monkeypatch.setattr(linear, "NARROW", 0)
-    wide = {r.observation_id: r.inputs for r in linear.input_vectors(cells, names, ["observation_id"], "scaled").collect()}
-    assert narrow == wide == {"o1": [1.0, 2.0, None], "o2": [None, 4.0, None]}
+    got = {r.observation_id: r.inputs for r in linear.input_vectors(cells, names, ["observation_id"], "scaled").collect()}
+    assert got == {"o1": [1.0, 2.0, None], "o2": [None, 4.0, None]}
+
+
+def test_many_targets_in_several_tiles(spark, monkeypatch):
+    monkeypatch.setattr(linear, "HELD_BYTES", 1)  # every batch is passed on
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(80, 5)), rng.normal(size=(80, 150))
+    rows = [(x[i].tolist(), list(range(150)), y[i].tolist()) for i in range(80)]
+    fit = linear.ridge_fit(linear.moments(spark.createDataFrame(rows, "x array<double>, t array<int>, y array<double>").repartition(3), 5), 0.7).toPandas().sort_values("t")
+    assert list(fit.t) == list(range(150)) and np.allclose(np.stack(fit.coef).T, closed_form(x, y, 0.7)[0])
 
 
 def test_width_is_checked():
@@ -85,9 +95,9 @@ def test_spline_names_follow_the_design(spark):
     df = spark.createDataFrame([(1.0, "a"), (7.0, "b"), (9.0, "b")], "time double, condition string")
     knots = (0.0, [4.0], 8.0)
     rows = linear.spline_design(df, "time", ["a", "b"], knots).orderBy("time").collect()
-    assert len(rows) == 2 and linear.outside_range(df, "time", knots).count() == 1
+    assert len(rows) == 3 and linear.outside_range(df, "time", knots).count() == 1
     assert len(rows[0].x) == len(linear.spline_names(["a", "b"], 4)) == 10
-    assert rows[0].x[1] == 0.0 and rows[0].x[6:] == [0.0] * 4 and rows[1].x[2:6] == rows[1].x[6:]
+    assert rows[0].x[1] == 0.0 and rows[0].x[6:] == [0.0] * 4 and rows[1].x[2:6] == rows[1].x[6:] and rows[2].x[2:6] == [0.0] * 4
 
 
 def test_log_uniform_is_seeded():
