@@ -50,12 +50,6 @@ def dense_spine(obs: DataFrame, cells: DataFrame) -> DataFrame:
     return spine.join(cells, ["observation_id", "modality", "feature"], "left")
 
 
-def attach_split(obs: DataFrame, splits: DataFrame, unit: str = "experimental_unit_id") -> DataFrame:
-    """Split label by unit. Use ``split_problems`` to list conflicting or unassigned units."""
-    labels = splits.groupBy(unit).agg(F.min("split").alias("split"))
-    return obs.join(labels, unit, "left")
-
-
 def split_problems(obs: DataFrame, splits: DataFrame, unit: str = "experimental_unit_id") -> DataFrame:
     conflicting = (
         splits.groupBy(unit)
@@ -68,19 +62,3 @@ def split_problems(obs: DataFrame, splits: DataFrame, unit: str = "experimental_
         .select(unit, F.lit("unassigned").alias("problem"))
     )
     return conflicting.unionByName(unassigned)
-
-
-def latest_row(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key: the one with the greatest ``order`` value."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
-
-
-def first_ranked(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """First row per key under ``order`` by a mergeable minimum, not a sort of the group."""
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-        .select(*keys, "_r.*")
-    )

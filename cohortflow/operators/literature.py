@@ -74,6 +74,16 @@ def grade(hits: DataFrame, words: CueWords = CueWords(), organism=None, tissue=N
     return rows.drop("_text", *flags)
 
 
+# The sources in order of trust; others follow by name.
+SOURCES = ["pubmed_eutils", "europepmc"]
+
+
+def source_rank(name: Column) -> Column:
+    """Sorts a hit's source: the trusted ones first, in their order."""
+    at = F.array_position(F.array(*map(F.lit, SOURCES)), name)
+    return F.struct(F.when(at > 0, at).otherwise(len(SOURCES) + 1).alias("rank"), name.alias("name"))
+
+
 def first_hits(hits: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First hit per id: PMID, else DOI, else source and title. The smallest ``order`` wins."""
     present = lambda c: F.when(F.col(c) != "", F.col(c))

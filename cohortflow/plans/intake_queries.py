@@ -379,8 +379,8 @@ def lit_evidence(spark, sf):
     """Match, cap per source, dedupe, verify against a bibliography, grade, and fail closed."""
     cands = stage(corpus_candidates(spark, sf), "literature-candidates")
     hits = literature.match_corpus(corpus(spark, sf), cands, TOP_N, ["rk"])
-    capped = literature.capped_hits(hits, ["candidate_id", "source_name"], ["doc_id"], MAX_HITS)
-    unique = literature.first_hits(capped, ["candidate_id"], ["source_name", "doc_id"])
+    capped = literature.capped_hits(hits, ["candidate_id", "source_name"], ["doc_id"], MAX_HITS).withColumn("source_rank", literature.source_rank(F.col("source_name")))
+    unique = literature.first_hits(capped, ["candidate_id"], ["source_rank", "doc_id"])
     docs = corpus(spark, sf)
     trusted = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct()
     bibliography = docs.join(trusted, "doc_id").select("pmid", "title", "doi")

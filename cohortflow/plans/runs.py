@@ -12,9 +12,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.operators import align, arms, attribution, evaluate, forecast, graph, linear, normalize, resample, split, validate
+from cohortflow.operators import align, arms, attribution, evaluate, forecast, graph, idmap, linear, normalize, qc, resample, split, validate
 from cohortflow.operators.fingerprint import config_hash, fingerprint, fingerprint_diff, run_hashes
 from cohortflow.session import stage
+from cohortflow.sources import sinks
 
 
 class CheckFailed(ValueError):
@@ -22,7 +23,7 @@ class CheckFailed(ValueError):
 
     def __init__(self, name: str, violations: DataFrame):
         self.violations = violations
-        sample = [r.asDict() for r in violations.limit(8).collect()]
+        sample = [r.asDict() for r in split.sample_offenders(violations, violations.columns, 8).collect()]
         super().__init__(f"{name}: {sample}")
 
 
@@ -50,12 +51,15 @@ def sheet_checks(sheet: DataFrame, modalities: list[str], design: str) -> dict[s
 
 @dataclass
 class Study:
-    """Labelled observations, layered cells and the fitted scaler."""
+    """Labelled observations, layered cells and the fitted scaler; the design and the feature id map, where known."""
 
     observations: DataFrame
     cells: DataFrame
     scaler: DataFrame
     configs: dict[str, normalize.AssayConfig]
+    design: str | None = None
+    pairing_level: str | None = None
+    feature_map: DataFrame | None = None
 
     def target(self, modality: str = "protein") -> DataFrame:
         return self.cells.where(F.col("modality") == modality)
@@ -94,11 +98,23 @@ def preprocess(
     block_batch: bool | None = None,
     also_block: tuple[str, ...] = (),
     overrides: dict[str, normalize.AssayConfig] | None = None,
+    id_table: DataFrame | None = None,
+    manifest: DataFrame | None = None,
+    pairing_level: str | None = None,
 ) -> Study:
     """Check the sheet, align, split by independent group, guard, normalise and scale.
 
-    ``cells``: ``sample_id, modality, feature, value``. Raises ``CheckFailed`` on any violation.
+    ``cells``: ``sample_id, modality, feature, value``. With an ``id_table`` (see ``idmap.map_features``)
+    every feature is mapped, and a feature with several targets blocks the run. With a ``manifest``
+    its review state and design have to be in order. Raises ``CheckFailed`` on any violation.
     """
+    if manifest is not None:
+        require_empty("manifest_review", validate.review_violations(manifest))
+        require_empty("manifest_design", validate.design_violations(manifest))
+    feature_map = None
+    if id_table is not None:
+        feature_map = stage(idmap.map_features(cells.select("modality", F.col("feature").alias("source_id")).distinct(), id_table), "feature-map")
+        require_empty("one_to_many_ids", idmap.blocking_sources(feature_map))
     missing = validate.missing_columns(sheet)
     if missing:
         raise ValueError(f"The sample sheet lacks {missing}.")
@@ -121,7 +137,19 @@ def preprocess(
     raw = stage(raw, "aligned-cells")
     of_kind = {k: [m for m, c in configs.items() if c.strategy == k] for k in (normalize.COUNTS, normalize.INTENSITY, normalize.LOG_LIKE)}
     require_empty("assay_values", validate.assay_value_violations(raw, of_kind[normalize.COUNTS], of_kind[normalize.INTENSITY], of_kind[normalize.LOG_LIKE]))
-    return layer_study(raw, obs, units, columns, configs)
+    study = layer_study(raw, obs, units, columns, configs)
+    study.design, study.pairing_level, study.feature_map = design, pairing_level, feature_map
+    return study
+
+
+def write_study(study: Study, path: str) -> None:
+    """The layered cells, QC, provenance, feature map and locked split, and the observations in order of their id."""
+    samples, features = qc.per_sample_qc(study.observations, study.cells), qc.per_feature_qc(study.observations, study.cells)
+    sinks.write_layered(study.cells, samples, features, study.provenance(), path)
+    sinks.write_observations(study.observations, f"{path}/observations")
+    sinks.write_split(study.observations, f"{path}/split")
+    if study.feature_map is not None:
+        sinks.write_report({"feature_map": study.feature_map, "feature_map_summary": idmap.map_summary(study.feature_map)}, path)
 
 
 @dataclass(frozen=True)
@@ -141,6 +169,17 @@ class Forecast:
     study: Study
     task: Task = field(default_factory=Task)
 
+    def __post_init__(self) -> None:
+        """Refuse a task that the study's design, where it is known, cannot support."""
+        if self.study.design is None:
+            return
+        row = (
+            self.task.kind, self.task.target_modality, list(self.task.input_modalities), sorted(self.study.configs), self.study.design,
+            self.study.pairing_level or "specimen", self.task.target_time_min,
+        )
+        schema = "kind string, target_modality string, input_modalities array<string>, modalities array<string>, sampling_design string, pairing_level string, target_time_min double"
+        require_empty("task", validate.task_violations(self.study.cells.sparkSession.createDataFrame([row], schema)))
+
     @cached_property
     def observations(self) -> DataFrame:
         return stage(self.study.observations, "observations", ["split"])
@@ -309,14 +348,18 @@ def report(cells: DataFrame, data: Forecast, keys: list[str], replicates: int, s
         "per_feature": evaluate.per_feature(cells, keys),
         "per_sample": evaluate.per_sample(cells, keys),
         "bootstrap": resample.bootstrap_ci(cells, keys, "group_id", replicates, seed),
-        "coverage": evaluate.coverage(cells.groupBy("split", "instance_id", "feature").agg(F.first("y_true").alias("y_true")), data.instances, features, ["split"]),
+        "coverage": evaluate.coverage(cells, data.instances.join(cells.select(*keys).distinct(), "split"), features, keys),
     }
 
 
 def benchmark(data: Forecast, models: dict[str, dict], replicates: int = 200, seed: int = 0, unlock_test: bool = False) -> dict[str, DataFrame]:
     """Fit on train, predict validation, score every model in one grouped pass."""
     require_empty("fitted_off_train", validate.fitted_off_train(data.study.provenance()))
-    return report(benchmark_predictions(data, models, unlock_test), data, ["model", "split"], replicates, seed)
+    cells = stage(benchmark_predictions(data, models, unlock_test), "predictions")
+    expected = data.targets.where(F.col("y_true").isNotNull()).join(cells.select("split").distinct(), "split")
+    for name in models:
+        require_empty("prediction_keys", evaluate.prediction_mismatch(cells.where((F.col("model") == name) & F.col("y_true").isNotNull()), expected))
+    return report(cells, data, ["model", "split"], replicates, seed)
 
 
 # Search space of each tunable model.
@@ -330,6 +373,8 @@ def tune(data: Forecast, model: str, trials: int, seed: int, metric: str = "mse"
     read. Returns every trial and the parameters of the best one."""
     if model == "ridge":
         alphas = linear.log_uniform(*RIDGE_ALPHA, trials, seed)
+        seen = normalize.subset(data.rows, "train").select("split").union(data.cells("val").select("split"))
+        require_empty("objective_leaks", validate.objective_leaks(seen))
         paths = linear.named_targets(linear.ridge_path(data.moments(), alphas), data.target_names)
         table = stage(linear.sweep_scores(data.cells("val"), paths, alphas), "trials")
         best = linear.best_trial(table, metric).first()

@@ -14,6 +14,11 @@ def write_split(labelled: DataFrame, path: str) -> None:
     locked_split(labelled).write.mode("errorifexists").partitionBy("split").parquet(path)
 
 
+def write_observations(observations: DataFrame, path: str) -> None:
+    """Observations in order of their id: files hold ranges of it, rows are sorted within."""
+    observations.repartitionByRange("observation_id").sortWithinPartitions("observation_id").write.mode("errorifexists").parquet(path)
+
+
 def write_layered(cells: DataFrame, sample_qc: DataFrame, feature_qc: DataFrame, provenance: DataFrame, path: str) -> None:
     """Cells with their layers by modality and split, and the QC and provenance tables beside them."""
     cells.write.mode("errorifexists").partitionBy("modality", "split").parquet(f"{path}/cells")

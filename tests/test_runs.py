@@ -72,7 +72,8 @@ def test_benchmark_report(data, tmp_path):
     assert set(scalars) == {"last_value", "ridge", "time_spline"} and all(r.split == "val" for r in scalars.values())
     assert scalars["ridge"].mse < scalars["last_value"].mse
     assert out["bootstrap"].count() == 15 and out["per_feature"].count() == 9
-    assert out["coverage"].where("split = 'val'").first().n_instances == 16
+    coverage = {r.model: r for r in out["coverage"].collect()}
+    assert set(coverage) == {"last_value", "ridge", "time_spline"} and all(r.split == "val" and r.n_instances == 16 and r.coverage > 0.7 for r in coverage.values())
     sinks.write_report(out, str(tmp_path / "report"))
     sinks.write_split(data.study.observations, str(tmp_path / "split"))
     spark = data.study.cells.sparkSession
@@ -128,6 +129,28 @@ def test_group_forecast_never_reads_another_unit(inputs):
     assert runs.Ridge(data).predict("val").count() == scored.where("split = 'val'").count()
 
 
+def test_written_study_id_map_and_guards(spark, inputs, data, tmp_path):
+    kinds = "modality string, source_id string, target_id string, target_id_type string"
+    good = [("rna", g, f"E{g}", "ensembl") for g in RNA]
+    study = runs.preprocess(*inputs, TYPES, "longitudinal", seed=4, id_table=spark.createDataFrame(good, kinds))
+    runs.write_study(study, str(tmp_path / "study"))
+    ids = [r.observation_id for r in spark.read.parquet(str(tmp_path / "study/observations")).collect()]
+    assert sorted(ids) == sorted(set(ids)) and len(ids) == 100
+    assert spark.read.parquet(str(tmp_path / "study/cells")).count() == study.cells.count()
+    assert {r.modality: r.n_mapped for r in spark.read.parquet(str(tmp_path / "study/feature_map_summary")).collect()} == {"rna": 4, "protein": 3}
+    with pytest.raises(runs.CheckFailed, match="one_to_many_ids"):
+        runs.preprocess(*inputs, TYPES, "longitudinal", seed=4, id_table=spark.createDataFrame([*good, ("rna", "G0", "other", "ensembl")], kinds))
+    review = "status string, n_unresolved int, taxon_id int, sampling_design string, pairing_level string, longitudinal boolean, unit_of_independence string, paired_modalities boolean"
+    with pytest.raises(runs.CheckFailed, match="manifest_review"):
+        runs.preprocess(*inputs, TYPES, "longitudinal", seed=4, manifest=spark.createDataFrame([("required", 2, 9606, "longitudinal", "specimen", True, "donor", True)], review))
+    with pytest.raises(runs.CheckFailed, match="unknown_modality"):
+        runs.Forecast(data.study, runs.Task(target_modality="lipid"))
+    late = runs.TimeSpline(data, 3)
+    late.knots = (0.0, late.knots[1], 1.0)
+    with pytest.raises(runs.CheckFailed, match="outside_time_range"):
+        late.predict("val")
+
+
 def test_bad_sheets_are_refused(inputs):
     sheet, cells = inputs
     with pytest.raises(ValueError, match="lacks"):
