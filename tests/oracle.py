@@ -57,7 +57,7 @@ def compare(got: pd.DataFrame, want: pd.DataFrame) -> str:
 
 def main(sf_dir: str, names: list[str]) -> int:
     import __spark_entry__ as entry
-    from cohortflow.session import build_session
+    from cohortflow.session import build_session, clean
 
     spark = build_session("oracle", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="12g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
@@ -82,6 +82,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         failed += bool(problem)
         print(f"{'FAIL' if problem else 'ok  '} {name}: {len(got)} rows, spark {t1 - t0:.1f}s, sql {time.time() - t1:.1f}s {problem}", flush=True)
     print("failed:", failed)
+    clean(spark)
     return failed
 
 
