@@ -422,9 +422,9 @@ def fingerprint_sql(name: str, source: str, columns: dict[str, str]) -> str:
 
 
 _TEXT, _INT = "{c}", "{c}::VARCHAR"
-_NUM = "CASE WHEN isnan({c}) THEN 'nan' WHEN isinf({c}) THEN CASE WHEN {c} > 0 THEN 'inf' ELSE '-inf' END ELSE printf('%.9e', CASE WHEN {c} = 0 THEN 0.0 ELSE {c}::DOUBLE END) END"
+_NUM = "CASE WHEN isnan({c}) THEN 'nan' WHEN isinf({c}) THEN CASE WHEN {c} > 0 THEN 'inf' ELSE '-inf' END ELSE printf('%.9e', CASE WHEN {c} = 0 THEN 0.0 ELSE {c}::DOUBLE * (1 + pow(2, -40)) END) END"
 _TIME = "epoch_us({c})::VARCHAR"
-_VECTOR = "'[' || array_to_string(list_transform({c}, lambda v: printf('%.9e', CASE WHEN v = 0 THEN 0.0 ELSE v::DOUBLE END)), ',') || ']'"
+_VECTOR = "'[' || array_to_string(list_transform({c}, lambda v: printf('%.9e', CASE WHEN v = 0 THEN 0.0 ELSE v::DOUBLE * (1 + pow(2, -40)) END)), ',') || ']'"
 # All columns of the tables, with the form of their text.
 FP_KINDS = {
     "region": {"r_regionkey": _INT, "r_name": _TEXT},
