@@ -18,6 +18,8 @@ ROWS, QUERIES, STRIP = 16_384, 2_048, 64
 WIDTH = 3.0
 #: Candidate pairs reranked at a time.
 PAIRS = 1 << 18
+#: Best estimates, as a multiple of k, that are computed exactly to set a query's threshold.
+FIRST = 8
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -56,8 +58,8 @@ def search(indexed: DataFrame, queries: Column, k: int = 20, seed: int = 7) -> D
     """(query_id, rank, vec_id, score): the k largest inner products found for the index rows where ``queries`` holds.
 
     Rows and queries meet in blocks of bounded size. In a block the packed bits and the two scalars
-    give every inner product with its error bound; the k best estimates are computed exactly, and so
-    is every row whose upper bound reaches the k-th of these. Scores are sums of double products in
+    give every inner product with its error bound; the best estimates are computed exactly, and so is
+    every row whose upper bound reaches the k-th of these. Scores are sums of double products in
     component order. A query's candidates are all rows with another id; a query with fewer than k has
     them all. Repeated rows are candidates, and queries, as often as they occur with different vectors.
     """
@@ -87,7 +89,7 @@ def _block(rows: pa.Table, wanted: pa.Table, k: int, seed: int) -> pa.Table:
         scale = (norm / (align * np.sqrt(bits))).astype(np.float32)
         signs = np.where(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), 1.0, -1.0)
         by_part, xt = np.ascontiguousarray(codes.T), np.ascontiguousarray(x.T)
-        keep = min(k + 1, len(ids))
+        keep = min(FIRST * k + 1, len(ids))
         for at in range(0, len(q), STRIP):
             strip, own = q[at : at + STRIP], query_ids[at : at + STRIP]
             size = np.sqrt((strip * strip).sum(axis=1))
@@ -104,6 +106,8 @@ def _block(rows: pa.Table, wanted: pa.Table, k: int, seed: int) -> pa.Table:
             upper = found + (size[:, None] * (norm * spread)).astype(np.float32)
             qi, xi = np.nonzero((upper >= least[:, None] * (1 - 1e-6 * np.sign(least[:, None]))) & (found > -np.inf))
             score = _products(strip.T, xt, qi, xi)
+            high = score >= least[qi]  # only these can be among the k best
+            qi, xi, score = qi[high], xi[high], score[high]
             best = vectors.top(qi, ids[xi], score, k)
             qi, xi = qi[best], xi[best]
             number = np.array([hash_of(v) for v in strip])
