@@ -55,8 +55,9 @@ def test_stages_on_awkward_rows(spark):
     kept = stage(corpus_pipeline.drop_toxic(spark, docs, SF), "kept")
     assert kept.columns == docs.columns and kept.count() == docs.count()
     single = stage(corpus_pipeline.drop_near_duplicates(spark, kept, SF), "single").collect()
-    # null, empty and blank texts are one class, the seven words another; rows without an id stay
-    assert sorted((r["doc_id"] for r in single), key=repr) == sorted([1, 2, 7, 9, 9, 20, None, None], key=repr)
+    # Null, empty and blank texts are one class, the seven words another; the long text repeats the seven words
+    # so often that its fingerprint is theirs. Rows without an id stay.
+    assert sorted((r["doc_id"] for r in single), key=repr) == sorted([1, 2, 9, 9, 20, None, None], key=repr)
     clean = corpus_pipeline.redact_personal_data(spark, docs, SF)
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert clean.columns == docs.columns and texts[20] == "mail [EMAIL] now" and texts[2] is None
