@@ -52,7 +52,8 @@ def search(df: DataFrame, queries: Column, k: int = 10, factor: int = 1024, vec_
     count, radius, norm = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
     for s in summary:
         count[s["cell"]], radius[s["cell"]], norm[s["cell"]] = s["n"], s["radius"], s["norm"]
-    asked = whole.where(queries).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query")).distinct()
+    mine = whole.where(queries).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"))
+    asked = stage(mine.distinct().join(mine.groupBy("query_id").agg(F.count("*").alias("own")), "query_id"), "asked")
     query_blocks = max(1, -(-asked.count() // QUERIES))
     chunks = np.maximum(1, -(-count // ROWS))
     known = spark.sparkContext.broadcast((pivots, pivot_ids, pivot_rows, count, radius, norm, chunks))  # PIVOTS rows at most
@@ -99,6 +100,7 @@ def _route(batches: Iterator[pa.RecordBatch], known: tuple, k: int) -> Iterator[
         if not batch.num_rows:
             continue
         q, ids = vectors.unpacked(batch.column(1), "<i8").astype(np.float64), batch.column(0).to_numpy()
+        own = batch.column(2).to_numpy()
         size = np.linalg.norm(q, axis=1)
         middle, reach = q @ pivots.T, size[:, None] * radius
         slack = SLACK * (size[:, None] * norm + 1)
@@ -107,7 +109,7 @@ def _route(batches: Iterator[pa.RecordBatch], known: tuple, k: int) -> Iterator[
         least = np.full(len(q), -np.inf)
         order = np.argsort(-lower, axis=1)
         held = np.cumsum(np.where(count[order] > 0, count[order], 0), axis=1)
-        enough = held >= k + 1  # one may be the query's own row
+        enough = held >= k + own[:, None]  # all rows of the query's id may be among them
         at = enough.argmax(axis=1)
         some = enough.any(axis=1)
         least[some] = np.take_along_axis(lower, order, axis=1)[np.arange(len(q)), at][some]

@@ -76,3 +76,13 @@ def test_few_rows_no_rows_and_repeated_rows(spark, search):
     assert search(table(spark, [(2, [1.0, 2.0])])).collect() == []
     got = search(table(spark, [(2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0, 0.0]), (5, [1.0, 0.0]), (3, [1.0, 0.0])])).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(2, 1, 3), (2, 2, 3), (2, 3, 5)]
+
+
+def test_many_rows_of_the_query_in_one_tight_cell(spark):
+    query = spark.range(1200).orderBy(F.xxhash64("id")).first()["id"]  # its rows are pivots
+    others = np.random.default_rng(7).normal(size=(1200, 6)).astype(np.float32)
+    rows = [(query, [50.0] * 6)] * 12 + [(i, v.tolist()) for i, v in enumerate(others) if i != query]
+    got = knn.search(table(spark, rows), F.col("vec_id") == query, k=10).collect()
+    score = np.floor(1024 * others.astype(np.float64)).astype(np.int64) @ np.full(6, 50 * 1024)
+    best = sorted((i for i in range(1200) if i != query), key=lambda i: (-score[i], i))[:10]
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(i, score[i]) for i in best]
