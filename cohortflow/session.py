@@ -52,10 +52,22 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete what ``stage`` wrote for these frames, once nothing that is still to run reads it."""
+    for df in staged:
+        _delete(df.sparkSession, df._staged_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def clean(spark: SparkSession) -> None:
     """Delete all that this application has staged. Frames that read it can't be used afterwards."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_folder(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, _staged_folder(spark))
