@@ -44,15 +44,19 @@ def _positions(x: Column) -> Column:
     return F.when(F.size(hits) > 0, bind(running(sizes), at)).otherwise(F.array().cast(MATCHES))
 
 
-def running(numbers: Column) -> Column:
-    """Running totals of an array of integers, by blocks of WIDTH."""
+def _total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda a, b: a + b)
+
+
+def running(numbers: Column, fold: Callable[[Column], Column] = _total, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Running totals (or another fold, 0 for nothing) of an array of whole numbers, 0 or more, by blocks of WIDTH."""
 
     def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, b: a + b)
+        return F.coalesce(fold(part), F.lit(0))
 
     def ends(x: Column) -> Column:
         values = x["values"]
-        return F.transform(values, lambda _, i: F.get(x["before"], (i / WIDTH).cast("int")) + total(F.slice(values, (i / WIDTH).cast("int") * WIDTH + 1, i % WIDTH + 1)))
+        return F.transform(values, lambda _, i: join(F.get(x["before"], (i / WIDTH).cast("int")), total(F.slice(values, (i / WIDTH).cast("int") * WIDTH + 1, i % WIDTH + 1))))
 
     def with_before(values: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), (F.size(values) / WIDTH).cast("int")), lambda b: total(F.slice(values, b * WIDTH + 1, WIDTH)))
@@ -62,6 +66,35 @@ def running(numbers: Column) -> Column:
     return bind(bind(numbers, with_before), ends)
 
 
+#: Spans of a page, and pages of a book.
+PAGE = 64
+
+
+def _cut(items: Column) -> Column:
+    whole = F.transform(F.sequence(F.lit(0), F.greatest(((F.size(items) - 1) / PAGE).cast("int"), F.lit(0))), lambda b: F.slice(items, b * PAGE + 1, PAGE))
+    return F.filter(whole, lambda part: F.size(part) > 0)
+
+
+def paged(ordered: Column) -> Column:
+    """Spans, in order and without overlaps, as books of pages, for ``overlaps``."""
+    return bind(bind(ordered, _cut), _cut)
+
+
+def overlaps(books: Column, c: Column) -> Column:
+    """Whether a span overlaps one of the paged spans; only books and pages that reach into it are opened."""
+
+    def meets(first: Column, last: Column) -> Column:
+        return (first["start"] < c["end"]) & (c["start"] < last["end"])
+
+    def on_page(page: Column) -> Column:
+        return meets(F.get(page, F.lit(0)), F.element_at(page, -1)) & F.exists(page, lambda s: meets(s, s))
+
+    def in_book(book: Column) -> Column:
+        return meets(F.get(F.get(book, F.lit(0)), F.lit(0)), F.element_at(F.element_at(book, -1), -1)) & F.exists(book, on_page)
+
+    return F.exists(books, in_book)
+
+
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` applied to a value that is computed once, however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -74,6 +74,32 @@ def test_very_long_runs_take_linear_time(spark):
     assert {r["doc_id"]: [s["kind"] for s in r["found"]] for r in secrets.scan(docs, secrets.BASE).collect()} == {0: [], 1: ["hex"], 2: [], 3: [], 4: [], 5: ["assign"], 6: ["hex"]}
 
 
+def test_long_texts_with_trees_take_linear_time(spark):
+    """Every expression, the loose ones included, over very long runs, and very many spans, through a model that has trees."""
+    model = pii.Model(((2, 3.0, 1.0, -1.0),), (1.0,), dict.fromkeys(pii.KINDS, 0.5))  # few digits: selected
+    n = 300_000
+    rows = [(0, "a@" + "b." * n + "c"), (1, "a@b" + " (dot) c" * n), (2, "1" * n), (3, "1 (" * n), (4, "a." * n + "(at) b.c"), (5, "x@y.zz " * 100_000), (6, "x (at) y.zz or 1.2.3.4 or a@b.c_d " * 20_000)]
+    out = pii.find(documents(spark, rows), model)
+    sizes = {r["doc_id"]: (r["base"], r["found"]) for r in out.select("doc_id", F.size("base").alias("base"), F.size("found").alias("found")).collect()}
+    assert sizes == {0: (1, 1), 1: (0, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0), 5: (100_000, 100_000), 6: (40_000, 60_000)}
+    clean = pii.redacted(documents(spark, rows), model).where("doc_id > 4").orderBy("doc_id").collect()
+    assert clean[0]["text"] == "[EMAIL] " * 100_000 and clean[1]["text"] == "[EMAIL] or [IP] or [EMAIL]_d " * 20_000
+
+
+def test_paged_overlaps_and_running_extremes(spark):
+    rng = random.Random(3)
+    at, taken = 0, []
+    for _ in range(9000):
+        at += rng.randrange(1, 6)
+        taken.append((at, at := at + rng.randrange(1, 5)))
+    asked = [(a, a + rng.randrange(1, 4)) for a in rng.choices(range(at + 9), k=400)]
+    spot = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame([(taken, asked), ([], asked)], f"t {spot}, c {spot}")
+    got = df.select(F.transform("c", lambda c: spans.bind(spans.paged(F.col("t")), lambda p: spans.overlaps(p, c))).alias("x"), spans.running(F.transform("t", lambda s: s["end"] % 1000), F.array_max, F.greatest).alias("m")).collect()
+    assert got[0]["x"] == [any(s < b and a < e for s, e in taken) for a, b in asked] and not any(got[1]["x"])
+    assert got[0]["m"] == [max(e % 1000 for _, e in taken[: i + 1]) for i in range(0, 9000)] and got[1]["m"] == []
+
+
 def test_further_secrets_are_added_to_the_base(spark):
     rows = [(1, "ghp_" + "a1B2" * 9), (2, "xoxb-1234567890-abc and password=hunter22"), (3, "-----BEGIN RSA PRIVATE KEY-----"), (4, "sk_live_0123456789abcdef AIza" + "x" * 35)]
     found = {r["doc_id"]: [s["kind"] for s in r["found"]] for r in secrets.scan(documents(spark, rows)).collect()}
