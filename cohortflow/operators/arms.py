@@ -5,12 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.functions.numeric import dot
-from cohortflow.operators.linear import Moments, ridge_fit
+from cohortflow.operators.linear import Header, Moments, WideRows, ridge_fit, spread
 
 # Arm order and switches.
 ARMS = ["no_prior", "graph_only", "embedding_only", "combined", "random_graph"]
@@ -40,38 +38,19 @@ class Arm:
         return self.name == "random_graph"
 
 
-def laplacian_matrix(laplacian: DataFrame, names: list[str], width: int) -> np.ndarray:
-    """The Laplacian over the input features of a design of ``width`` columns (p x p, p checked)."""
-    at = {n: i for i, n in enumerate(names)}
-    out = np.zeros((width, width))
-    known = laplacian.where(F.col("i").isin(names) & F.col("j").isin(names))
-    for row in known.collect():
-        out[at[row["i"]], at[row["j"]]] = row["value"]
-    return out
+def penalty_entries(laplacian: DataFrame, names: Header, weight: float) -> DataFrame:
+    """The Laplacian's entries (i, j, value) over the input columns of a design, times a weight; it stays an edge table."""
+    at = names.table.select("name", "at")
+    rows = laplacian.join(at.select(F.col("name").alias("i"), F.col("at").alias("_i")), "i").join(at.select(F.col("name").alias("j"), F.col("at").alias("_j")), "j")
+    return rows.select(F.col("_i").alias("i"), F.col("_j").alias("j"), (F.col("value") * weight).alias("value"))
 
 
-def column_subset(mom: Moments, keep: list[int]) -> Moments:
-    """Moments of a sub-design; every arm reuses the one pass over the full design."""
-    at = F.array(*[F.lit(k + 1) for k in [*keep, mom.p]])
+def arm_coefficients(mom: Moments | WideRows, ranges: list[tuple[int, int]], width: int, alpha: float, penalty: DataFrame | None) -> DataFrame:
+    """Ridge coefficients of one arm, which has the columns in ``ranges``, padded with zeros to the full design.
 
-    def pick(c: str):
-        return F.transform(at, lambda i: F.element_at(c, i)).alias(c)
-
-    return Moments(mom.gram[np.ix_(keep, keep)], mom.sums[keep], mom.n, mom.targets.select("t", pick("xy"), pick("xm")), len(keep))
-
-
-def arm_coefficients(mom: Moments, keep: list[int], width: int, alpha: float, penalty: np.ndarray | None) -> DataFrame:
-    """Ridge coefficients of one arm, padded with zeros to the full design width."""
-    sub = None if penalty is None else penalty[np.ix_(keep, keep)]
-    fit = ridge_fit(column_subset(mom, keep), alpha, sub)
-    place = {k: n + 1 for n, k in enumerate(keep)}
-    full = F.array(*[F.element_at("coef", place[j]) if j in place else F.lit(0.0) for j in range(width)])
-    return fit.select("t", full.alias("coef"), "intercept")
-
-
-def arm_predictions(cells: DataFrame, coefs: DataFrame) -> DataFrame:
-    """Predictions of all arms and seeds in one pass; ``coefs`` has a row per arm, seed, feature."""
-    return cells.join(coefs, "feature").withColumn("y_pred", dot(F.col("x"), F.col("coef")) + F.col("intercept")).drop("coef", "intercept", "x")
+    The penalty is on the input columns, which every arm has first.
+    """
+    return spread(ridge_fit(mom.part(ranges), alpha, penalty), ranges, width)
 
 
 def mean_ci(value: str, prefix: str) -> list:

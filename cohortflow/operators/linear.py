@@ -1,13 +1,14 @@
-"""Ridge and spline regression from one distributed Gram pass.
+"""Ridge and spline regression of any width from cross products.
 
-Tasks reduce their rows to small cross-product blocks with numpy; Spark sums the blocks. Only the
-p x p Gram matrix, whose size is checked first, reaches the driver. Targets stay distributed.
+Tasks reduce their rows to small cross-product blocks with numpy and Spark sums the blocks. A system of at most
+DIRECT columns, or of at most DIRECT rows in its dual form, is solved at once; a larger one
+stays in tiles and is eliminated tile by tile (``tiles``). Names, targets and coefficients stay distributed.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,61 +17,69 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortflow.functions.numeric import dot
+from cohortflow.operators import tiles
 from cohortflow.operators.scan import exact_quantiles
 from cohortflow.session import stage
 
-MAX_DESIGN = 2048  # p x p doubles on the driver: 32 MB
+DIRECT = 2048  # side of a system that is solved at once: 32 MB
 TILE = 64  # targets whose cross products travel and are solved together
 GRAM_ROWS = 16  # Gram rows that travel together
 HELD_BYTES = 1 << 28  # target blocks a task holds before it passes them on
 SALTS = 32  # partial sums of one block, so that no task gathers it from all others
-MAX_TARGETS = 200_000  # target names are a matrix header; their coefficients stay distributed
+SHARED_BYTES = 1 << 25  # coefficients that go to every task; more meet the rows block by block
 
 
-class DesignTooWide(ValueError):
-    """The design has more columns than one p x p solve may hold."""
+@dataclass
+class Header:
+    """Names with their places 0..n-1 in alphabetical order: ``table`` has name and at. Only n is on the driver."""
+
+    table: DataFrame
+    n: int
+
+
+def header(df: DataFrame, column: Column) -> Header:
+    """The distinct values of a column, numbered without bringing them together."""
+    placed, n = tiles.numbered(df.select(column.alias("name")).where("name IS NOT NULL").distinct().orderBy("name"), "at", "header")
+    return Header(placed, n)
+
+
+def feature_header(cells: DataFrame, modalities: list[str]) -> Header:
+    """``modality:feature`` names of the inputs."""
+    return header(cells.where(F.col("modality").isin(modalities)).select("modality", "feature").distinct(), F.concat_ws(":", "modality", "feature"))
+
+
+def condition_header(train_obs: DataFrame) -> Header:
+    return header(train_obs, F.col("condition"))
 
 
-def check_width(p: int) -> None:
-    if p > MAX_DESIGN:
-        raise DesignTooWide(f"{p} design columns exceed {MAX_DESIGN}; use graph or embedding features to reduce them.")
+def target_header(targets: DataFrame) -> Header:
+    return header(targets, F.col("feature"))
 
 
-def feature_names(cells: DataFrame, modalities: list[str]) -> list[str]:
-    """Sorted ``modality:feature`` names of the inputs; a matrix header, checked against the limit."""
-    names = (
-        cells.where(F.col("modality").isin(modalities)).select("modality", "feature").distinct()
-        .limit(MAX_DESIGN + 1).collect()
-    )
-    check_width(len(names))
-    return sorted(f"{r['modality']}:{r['feature']}" for r in names)
+def design_header(names: Header, conditions: Header) -> Header:
+    """Design columns: inputs, target time, Δt, one column per condition."""
+    spark, p = names.table.sparkSession, names.n
+    times = spark.createDataFrame([("target_time", p), ("delta_t", p + 1)], "name string, at int")
+    hot = conditions.table.select(F.concat(F.lit("condition_"), "name").alias("name"), (F.col("at") + p + 2).cast("int").alias("at"))
+    return Header(names.table.unionByName(times).unionByName(hot), p + 2 + conditions.n)
 
 
-def train_conditions(train_obs: DataFrame) -> list[str]:
-    rows = train_obs.select("condition").distinct().limit(MAX_DESIGN + 1).collect()
-    check_width(len(rows))
-    return sorted(r["condition"] for r in rows)
+def input_entries(cells: DataFrame, names: Header, key: list[str], value: str) -> DataFrame:
+    """Per key the observed inputs as parallel arrays ``at`` and ``v``."""
+    known = cells.where(F.col(value).isNotNull()).withColumn("name", F.concat_ws(":", "modality", "feature"))
+    packed = known.join(names.table, "name").groupBy(*key).agg(F.collect_list(F.struct("at", F.col(value).cast("double").alias("v"))).alias("e"))
+    return packed.select(*key, F.col("e.at").alias("at"), F.col("e.v").alias("v"))
 
 
-def input_vectors(cells: DataFrame, names: list[str], key: list[str], value: str, out: str = "inputs") -> DataFrame:
+def input_vectors(cells: DataFrame, names: Header, key: list[str], value: str, out: str = "inputs") -> DataFrame:
     """One array per key with its observed inputs in the order of ``names``, gaps as NULL.
 
     Inputs are packed as positions and values and laid out in Arrow batches. Of a repeated cell the
     largest value counts.
     """
-    spark = cells.sparkSession
-    known = cells.where(F.col(value).isNotNull()).withColumn("_name", F.concat_ws(":", "modality", "feature"))
-    index = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "_name string, at int")
-    packed = known.join(F.broadcast(index), "_name").groupBy(*key).agg(F.collect_list(F.struct("at", F.col(value).alias("v"))).alias("e"))
-    return densify(packed.select(*key, F.col("e.at").alias("at"), F.col("e.v").alias("v")), len(names), out)
-
-
-def filled(vector: str, fill: list[float]):
-    """The vector with gaps replaced; a missing vector is all fill values."""
-    base = F.array(*[F.lit(float(v)) for v in fill])
-    return F.zip_with(F.coalesce(vector, base), base, lambda a, b: F.coalesce(a, b))
+    return densify(input_entries(cells, names, key, value), names.n, out)
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,93 +90,160 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(col)), lengths), np.asarray(col.flatten())
 
 
-def densify(df: DataFrame, width: int, out: str) -> DataFrame:
-    """Replace ``at, v`` by an array of ``width`` doubles with NULL in the gaps."""
+def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about SHARED_BYTES when a row has ``width`` numbers."""
+    most = max(1, SHARED_BYTES // (8 * max(1, width)))
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
+def _matrix(column: pa.Array, p: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), dtype=float).reshape(len(column), p)
+
+
+def _lists(values: np.ndarray, gaps: bool = False) -> pa.Array:
+    """The rows of a matrix as lists."""
+    offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+    flat = values.ravel()
+    return pa.ListArray.from_arrays(offsets, pa.array(flat, mask=np.isnan(flat) if gaps else None))
+
+
+def densify(df: DataFrame, width: int, out: str, fill: np.ndarray | None = None) -> DataFrame:
+    """Replace ``at, v`` by an array of ``width`` doubles, with ``fill`` (one value a column) or NULL in the gaps."""
     keep = [c for c in df.columns if c not in ("at", "v")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
+    schema = T.StructType([*[f for f in df.schema.fields if f.name in keep], T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, width):
             dense = np.full((batch.num_rows, width), np.nan)
             rows, at = _flat(batch.column("at"))
             _, v = _flat(batch.column("v"))
             np.fmax.at(dense, (rows, at), v)
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
-            lists = pa.ListArray.from_arrays(offsets, pa.array(dense.ravel(), mask=np.isnan(dense.ravel())))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], names=[*keep, out])
+            if fill is not None:
+                dense = np.where(np.isnan(dense), fill, dense)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], _lists(dense, fill is None)], names=[*keep, out])
 
-    return df.mapInArrow(run, f"{schema}, `{out}` array<double>")
+    return df.mapInArrow(run, schema)
 
 
-def subject_design(instances: DataFrame, cells: DataFrame, names: list[str], conditions: list[str], fill: dict[str, float], value: str = "scaled") -> DataFrame:
-    """Instance rows with ``x`` = last inputs, target time, Δt and the full one-hot condition."""
-    vectors = input_vectors(cells, names, ["observation_id"], value).withColumnRenamed("observation_id", "history_observation")
-    rows = instances.join(vectors, "history_observation", "left")
-    inputs = filled("inputs", [fill.get(n, 0.0) for n in names])
-    return rows.withColumn("x", F.concat(inputs, *_covariates(conditions))).drop("inputs")
+def column_values(names: Header, width: int, values: DataFrame | None, value: str = "value") -> np.ndarray:
+    """One value for each design column (as long as a design row), from rows of name and value; 0 where there is none."""
+    out = np.zeros(width)
+    if values is not None:
+        found = values.join(names.table, "name").select("at", F.col(value).cast("double").alias("v")).toArrow()  # one row a column
+        out[found["at"].to_numpy()] = found["v"].to_numpy(zero_copy_only=False)
+    return out
 
 
-def group_design(instances: DataFrame, keys: DataFrame, means: DataFrame, names: list[str], conditions: list[str]) -> DataFrame:
-    """As ``subject_design`` with the as-of train means as inputs; a missing mean is 0."""
-    vectors = input_vectors(means, names, ["condition", "time"], "mean").withColumnsRenamed({"condition": "key_condition", "time": "key_time"})
-    per_key = keys.join(vectors, ["key_condition", "key_time"], "left").withColumn("inputs", filled("inputs", [0.0] * len(names)))
-    rows = instances.drop("delta_t").join(per_key, ["condition", "target_time"]).withColumn("delta_t", F.col("target_time") - F.col("key_time"))
-    return rows.withColumn("x", F.concat("inputs", *_covariates(conditions))).drop("inputs")
+def _with_covariates(rows: DataFrame, names: Header, conditions: Header, fill: DataFrame | None, width: int) -> DataFrame:
+    """``x`` from the input entries, target time, Δt and the full one-hot condition."""
+    p = names.n
+    met = rows.join(conditions.table.select(F.col("name").alias("condition"), F.col("at").alias("_c")), "condition", "left")
+    hot = F.filter(F.array((F.col("_c") + p + 2).cast("int")), lambda c: c.isNotNull())
+    at = F.concat(F.coalesce("at", F.array().cast("array<int>")), F.array(F.lit(p), F.lit(p + 1)), hot)
+    v = F.concat(F.coalesce("v", F.array().cast("array<double>")), F.array(F.col("target_time").cast("double"), F.coalesce(F.col("delta_t").cast("double"), F.lit(0.0))), F.transform(hot, lambda _: F.lit(1.0)))
+    return densify(met.withColumns({"at": at, "v": v}).drop("_c"), width, "x", column_values(names, width, fill, "fill"))
 
 
-def _covariates(conditions: list[str]) -> list[Column]:
-    hot = [F.when(F.col("condition") == c, 1.0).otherwise(0.0) for c in conditions]
-    return [F.array(F.col("target_time"), F.coalesce("delta_t", F.lit(0.0)), *hot)]
+def subject_design(instances: DataFrame, cells: DataFrame, names: Header, conditions: Header, fill: DataFrame | None, value: str = "scaled") -> DataFrame:
+    """Instance rows with ``x`` = last inputs, target time, Δt and the full one-hot condition.
+
+    ``fill`` has name and fill, what stands for an input that is not observed (0 without an entry).
+    """
+    entries = input_entries(cells, names, ["observation_id"], value).withColumnRenamed("observation_id", "history_observation")
+    return _with_covariates(instances.join(entries, "history_observation", "left"), names, conditions, fill, names.n + 2 + conditions.n)
 
 
-def design_names(names: list[str], conditions: list[str]) -> list[str]:
-    return [*names, "target_time", "delta_t", *[f"condition_{c}" for c in conditions]]
+def group_design(instances: DataFrame, keys: DataFrame, means: DataFrame, names: Header, conditions: Header) -> DataFrame:
+    """As ``subject_design`` with the as-of train means as inputs; a missing mean is 0."""
+    entries = input_entries(means, names, ["condition", "time"], "mean").withColumnsRenamed({"condition": "key_condition", "time": "key_time"})
+    per_key = keys.join(entries, ["key_condition", "key_time"], "left")
+    rows = instances.drop("delta_t").join(per_key, ["condition", "target_time"]).withColumn("delta_t", F.col("target_time") - F.col("key_time"))
+    return _with_covariates(rows, names, conditions, None, names.n + 2 + conditions.n)
 
 
-def targets_per_row(targets: DataFrame, key: str, target_names: list[str], value: str = "y_true") -> DataFrame:
+def targets_per_row(targets: DataFrame, key: str, names: Header, value: str = "y_true") -> DataFrame:
     """Observed targets per row as parallel arrays; rows without any are absent."""
-    spark = targets.sparkSession
-    index = spark.createDataFrame([(n, i) for i, n in enumerate(target_names)], "feature string, t int")
-    packed = targets.where(F.col(value).isNotNull()).join(F.broadcast(index), "feature").groupBy(key).agg(
-        F.collect_list(F.struct("t", F.col(value).alias("y"))).alias("e")
-    )
+    index = names.table.select(F.col("name").alias("feature"), F.col("at").alias("t"))
+    packed = targets.where(F.col(value).isNotNull()).join(index, "feature").groupBy(key).agg(F.collect_list(F.struct("t", F.col(value).alias("y"))).alias("e"))
     return packed.select(key, F.col("e.t").alias("t"), F.col("e.y").alias("y"))
 
 
-def target_names(targets: DataFrame) -> list[str]:
-    rows = targets.select("feature").distinct().limit(MAX_TARGETS + 1).collect()
-    if len(rows) > MAX_TARGETS:
-        raise DesignTooWide(f"more than {MAX_TARGETS} targets")
-    return sorted(r["feature"] for r in rows)
+def named_targets(rows: DataFrame, names: Header) -> DataFrame:
+    return rows.join(names.table.select(F.col("at").alias("t"), F.col("name").alias("feature")), "t").drop("t")
 
 
 @dataclass
 class Moments:
-    """Cross products of a design: the Gram matrix on the driver, target blocks as a DataFrame."""
+    """Cross products of a design of at most DIRECT columns: the Gram matrix on the driver, target blocks as a DataFrame."""
 
     gram: np.ndarray
     sums: np.ndarray
     n: float
-    targets: DataFrame  # t, xy array<double>, xm array<double>, sy, n
+    targets: DataFrame  # t, xy array<double>, xm array<double>, of p + 1 values each
     p: int
 
+    def part(self, ranges: list[tuple[int, int]]) -> Moments:
+        """Of the columns in some ranges [from, to)."""
+        keep = np.r_[tuple(np.arange(a, b) for a, b in ranges)]
+        pick = lambda c: F.concat(*[F.slice(c, a + 1, b - a) for a, b in [*ranges, (self.p, self.p + 1)]]).alias(c)
+        return Moments(self.gram[np.ix_(keep, keep)], self.sums[keep], self.n, self.targets.select("t", pick("xy"), pick("xm")), len(keep))
+
+
+@dataclass
+class WideRows:
+    """A design with more than DIRECT columns: its train rows ``x, t, y``, to be cut into tiles."""
+
+    rows: DataFrame
+    p: int
+
+    def part(self, ranges: list[tuple[int, int]]) -> WideRows:
+        return WideRows(self.rows.withColumn("x", F.concat(*[F.slice("x", a + 1, b - a) for a, b in ranges])), sum(b - a for a, b in ranges))
+
 
-def moments(rows: DataFrame, p: int) -> Moments:
+def spread(coefs: DataFrame, ranges: list[tuple[int, int]], width: int) -> DataFrame:
+    """Coefficients of some column ranges as those of the full design, 0 elsewhere."""
+    parts, at, done = [], 0, 0
+    for a, b in [*ranges, (width, width)]:
+        parts += [F.array_repeat(F.lit(0.0), a - at), F.slice("coef", done + 1, b - a)]
+        at, done = b, done + b - a
+    return coefs.withColumn("coef", F.concat(*parts))
+
+
+def moments(rows: DataFrame, p: int) -> Moments | WideRows:
     """One pass over ``x, t, y`` rows.
 
     A task multiplies its design rows with tiles of targets (and with their masks), so a tile takes two
     matrix products however many cells it has. Blocks of the Gram matrix and of target tiles are
-    summed over salted tasks first.
+    summed over salted tasks first. Wider designs than DIRECT are kept as rows.
+    """
+    if p + 1 > DIRECT:
+        return WideRows(stage(rows.select("x", "t", "y"), "wide-rows"), p)
+    summed = cross_products(rows, p, lambda x: np.hstack([x, np.ones((len(x), 1))]), None, True)
+    full = np.zeros((p + 1, p + 1))
+    for row in summed.where("kind = 'g'").select("id", "block").collect():  # (p + 1) x (p + 1) numbers
+        part = np.frombuffer(row["block"]).reshape(-1, p + 1)
+        full[row["id"] : row["id"] + len(part)] = part
+    return Moments(full[:p, :p], full[p, :p].copy(), float(full[p, p]), target_rows(summed, p + 1, ("xy", "xm")), p)
+
+
+def cross_products(rows: DataFrame, p: int, left: Callable[[np.ndarray], np.ndarray], masked: Callable[[np.ndarray], np.ndarray] | None, gram: bool) -> DataFrame:
+    """Summed blocks of ``left(x)' y`` and ``masked(x)' m`` per tile of targets, m marking the observed ones, and of ``left(x)' left(x)``.
+
+    The last row of the second product counts the observed targets: its left side has a column of ones at the end.
     """
-    check_width(p + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = np.zeros((p + 1, p + 1))
-        tiles: dict[int, np.ndarray] = {}
-        for batch in batches:
-            x = np.asarray(batch.column("x").flatten(), dtype=float).reshape(batch.num_rows, p)
-            z = np.hstack([x, np.ones((batch.num_rows, 1))])
-            gram += z.T @ z
+        square, held = None, {}
+        for batch in _pieces(batches, p):
+            x = _matrix(batch.column("x"), p)
+            z = left(x)
+            z2 = z if masked is None else masked(x)
+            if gram:
+                square = z.T @ z + (0 if square is None else square)
             at, t = _flat(batch.column("t"))
             _, y = _flat(batch.column("y"))
             order = np.argsort(t // TILE, kind="stable")
@@ -177,38 +253,37 @@ def moments(rows: DataFrame, p: int) -> Moments:
                 dense = np.zeros((2, batch.num_rows, TILE))
                 np.add.at(dense[0], (at[lo:hi], t[lo:hi] % TILE), y[lo:hi])
                 np.add.at(dense[1], (at[lo:hi], t[lo:hi] % TILE), 1.0)
-                block = tiles.setdefault(int(k), np.zeros((2, p + 1, TILE)))
+                block = held.setdefault(int(k), np.zeros((2, z.shape[1], TILE)))
                 block[0] += z.T @ dense[0]
-                block[1] += z.T @ dense[1]
-            if len(tiles) * 16 * (p + 1) * TILE > HELD_BYTES:
-                yield _blocks("t", tiles)
-                tiles.clear()
-        yield _blocks("g", {i: gram[i : i + GRAM_ROWS] for i in range(0, p + 1, GRAM_ROWS)})
-        yield _blocks("t", tiles)
+                block[1] += z2.T @ dense[1]
+                if len(held) * block.nbytes > HELD_BYTES:
+                    yield _blocks("t", held)
+                    held = {}
+        if square is not None:
+            yield _blocks("g", {i: square[i : i + GRAM_ROWS] for i in range(0, len(square), GRAM_ROWS)})
+        yield _blocks("t", held)
 
     partial = rows.select("x", "t", "y").mapInArrow(run, "kind string, id int, salt int, block binary")
     salted = partial.groupBy("kind", "id", "salt").applyInArrow(_sum_blocks, "kind string, id int, salt int, block binary")
-    summed = stage(salted.groupBy("kind", "id").applyInArrow(_sum_blocks, "kind string, id int, salt int, block binary"), "moments", ["kind"])
-    full = np.zeros((p + 1, p + 1))
-    for row in summed.where("kind = 'g'").select("id", "block").collect():
-        part = np.frombuffer(row["block"]).reshape(-1, p + 1)
-        full[row["id"] : row["id"] + len(part)] = part
+    return stage(salted.groupBy("kind", "id").applyInArrow(_sum_blocks, "kind string, id int, salt int, block binary"), "moments", ["kind"])
+
+
+def target_rows(summed: DataFrame, p: int, names: tuple[str, str]) -> DataFrame:
+    """One row per observed target from the blocks of ``cross_products``: t and its two columns of p numbers."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tile, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                xy, xm = np.frombuffer(raw).reshape(2, p + 1, TILE)
-                some = np.flatnonzero(xm[p] > 0)
-                lists = [pa.array(m[:, some].T.tolist(), pa.list_(pa.float64())) for m in (xy, xm)]
-                yield pa.RecordBatch.from_arrays([pa.array(tile * TILE + some, pa.int32()), *lists], names=["t", "xy", "xm"])
+                first, second = np.frombuffer(raw).reshape(2, p, TILE)
+                some = np.flatnonzero(second[-1] > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(tile * TILE + some, pa.int32()), _lists(first[:, some].T), _lists(second[:, some].T)], names=["t", *names])
 
-    targets = summed.where("kind = 't'").select("id", "block").mapInArrow(spread, "t int, xy array<double>, xm array<double>")
-    return Moments(full[:p, :p], full[p, :p].copy(), float(full[p, p]), targets, p)
+    return summed.where("kind = 't'").select("id", "block").mapInArrow(run, f"t int, {names[0]} array<double>, {names[1]} array<double>")
 
 
 def _blocks(kind: str, blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
     salt = TaskContext.get().partitionId() % SALTS
-    columns = [pa.array([kind] * len(blocks), pa.string()), pa.array(list(blocks), pa.int32()), pa.array([salt] * len(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks.values()], pa.binary())]
+    columns = [pa.array([kind] * len(blocks), pa.string()), pa.array(list(blocks), pa.int32()), pa.array([salt] * len(blocks), pa.int32()), pa.array([np.ascontiguousarray(b).tobytes() for b in blocks.values()], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["kind", "id", "salt", "block"])
 
 
@@ -231,17 +306,30 @@ def _solve(mom: Moments, betas, spec: str) -> DataFrame:
     return mom.targets.mapInPandas(run, spec)
 
 
-def ridge_fit(mom: Moments, alpha: float, penalty: np.ndarray | None = None, intercept: bool = True) -> DataFrame:
+def penalty_matrix(penalty: DataFrame | None, p: int) -> np.ndarray:
+    """A sparse penalty (i, j, value) as the dense p x p addition to a system that is solved at once, p <= DIRECT."""
+    out = np.zeros((p, p))
+    if penalty is not None:
+        for row in tiles.from_entries(penalty).collect():  # (p / BLOCK)^2 tiles
+            block = tiles.unpack(row["block"], tiles.BLOCK)
+            a, b = row["i"] * tiles.BLOCK, row["j"] * tiles.BLOCK
+            out[a : a + tiles.BLOCK, b : b + tiles.BLOCK] = block[: p - a, : p - b]
+    return out
+
+
+def ridge_fit(mom: Moments | WideRows, alpha: float, penalty: DataFrame | None = None, intercept: bool = True) -> DataFrame:
     """Coefficients per target: ``t, coef array<double>, intercept``.
 
     With an intercept the data are centred and the intercept is not penalised. A missing target
     takes the mean of the observed ones, which adds nothing to the centred cross product.
-    ``penalty`` adds a p x p matrix (a graph Laplacian) to ``alpha * I``.
+    ``penalty`` has the entries (i, j, value) of a matrix, such as a graph Laplacian over the columns, that is added to ``alpha * I``.
     """
+    if isinstance(mom, WideRows):
+        return tiles.ridge(mom.rows, mom.p, [alpha], penalty, intercept, DIRECT).select("t", F.get("coefs", F.lit(0)).alias("coef"), F.get("intercepts", F.lit(0)).alias("intercept"))
     mean = mom.sums / mom.n
     gram = mom.gram - mom.n * np.outer(mean, mean) if intercept else mom.gram
-    left = gram + alpha * np.eye(mom.p) + (0 if penalty is None else penalty)
-    shared = mom.targets.sparkSession.sparkContext.broadcast((left, mom.sums))  # p is checked
+    left = gram + alpha * np.eye(mom.p) + penalty_matrix(penalty, mom.p)
+    shared = mom.targets.sparkSession.sparkContext.broadcast((left, mom.sums))  # p is at most DIRECT
 
     def betas(xy, xm, sy, n):
         left, sums = shared.value
@@ -253,13 +341,15 @@ def ridge_fit(mom: Moments, alpha: float, penalty: np.ndarray | None = None, int
     return _solve(mom, betas, "t int, coef array<double>, intercept double")
 
 
-def ridge_path(mom: Moments, alphas: list[float], intercept: bool = True) -> DataFrame:
-    """Coefficients for many penalties from one eigendecomposition of the shared Gram matrix."""
+def ridge_path(mom: Moments | WideRows, alphas: list[float], intercept: bool = True) -> DataFrame:
+    """Coefficients for many penalties: ``t, coefs, intercepts``; a narrow design needs one eigendecomposition of its Gram matrix."""
+    if isinstance(mom, WideRows):
+        return tiles.ridge(mom.rows, mom.p, alphas, None, intercept, DIRECT)
     mean = mom.sums / mom.n
     gram = mom.gram - mom.n * np.outer(mean, mean) if intercept else mom.gram
     lam, vec = np.linalg.eigh(gram)
     grid = np.asarray(alphas)
-    shared = mom.targets.sparkSession.sparkContext.broadcast((lam, vec, mom.sums))  # p is checked
+    shared = mom.targets.sparkSession.sparkContext.broadcast((lam, vec, mom.sums))  # p is at most DIRECT
 
     def betas(xy, xm, sy, n):
         lam, vec, sums = shared.value
@@ -272,25 +362,78 @@ def ridge_path(mom: Moments, alphas: list[float], intercept: bool = True) -> Dat
     return _solve(mom, betas, "t int, coefs array<array<double>>, intercepts array<double>")
 
 
-def named_targets(coefs: DataFrame, names: list[str]) -> DataFrame:
-    index = coefs.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "t int, feature string")
-    return coefs.join(F.broadcast(index), "t").drop("t")
-
-
-def coefficient_table(coefs: DataFrame, columns: list[str], with_intercept: bool = True) -> DataFrame:
+def coefficient_table(coefs: DataFrame, targets: Header, columns: Header, with_intercept: bool = True) -> DataFrame:
     """Long table ``target, feature, coefficient``."""
-    labels = F.array(*[F.lit(c) for c in columns])
-    long = coefs.select(F.col("feature").alias("target"), F.posexplode("coef").alias("pos", "coefficient")).select(
-        "target", F.element_at(labels, F.col("pos") + 1).alias("feature"), "coefficient"
-    )
+    named = named_targets(coefs, targets)
+    long = named.select(F.col("feature").alias("target"), F.posexplode("coef").alias("at", "coefficient"))
+    long = long.join(columns.table, "at").select("target", F.col("name").alias("feature"), "coefficient")
     if not with_intercept:
         return long
-    return long.unionByName(coefs.select(F.col("feature").alias("target"), F.lit("intercept").alias("feature"), F.col("intercept").alias("coefficient")))
+    return long.unionByName(named.select(F.col("feature").alias("target"), F.lit("intercept").alias("feature"), F.col("intercept").alias("coefficient")))
+
 
+def over_blocks(rows: DataFrame, coefs: DataFrame, width: int, use: Callable[[pa.Table, pa.Table], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
+    """``use(rows, coefs)`` for every block of design rows (with x) and every block of coefficient rows (with t), in tasks.
+
+    Coefficients of up to SHARED_BYTES, ``width`` numbers a row, go to every task. Larger ones meet the rows in a grid of
+    blocks of that size, so a task holds one block of either side.
+    """
+    number = 8 * max(1, width)
+    n = coefs.count()
+    if n * number <= SHARED_BYTES:
+        shared = rows.sparkSession.sparkContext.broadcast(coefs.toArrow())  # SHARED_BYTES at most
 
-def predict(cells: DataFrame, coefs: DataFrame) -> DataFrame:
-    """``y_pred`` for cells that carry ``feature`` and ``x``."""
-    return cells.join(coefs, "feature").withColumn("y_pred", dot(F.col("x"), F.col("coef")) + F.col("intercept")).drop("coef", "intercept")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _pieces(batches, width):
+                if batch.num_rows:
+                    yield use(pa.Table.from_batches([batch]), shared.value)
+
+        return rows.mapInArrow(run, schema)
+    side = max(1, SHARED_BYTES // number)
+    across, down = -(-n // side), max(1, -(-rows.count() // side))
+    block = lambda name, count: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("int").alias(name)
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = stage(rows.select("*", block("_down", down)), "row-blocks").withColumn("_across", every(across))
+    right = coefs.withColumn("_across", F.pmod(F.xxhash64("t"), F.lit(across)).cast("int")).withColumn("_down", every(down))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.drop_columns(["_down", "_across"]), b.drop_columns(["_down", "_across"])
+        return pa.Table.from_batches([use(a.combine_chunks(), b.combine_chunks())])
+
+    return left.groupBy("_down", "_across").cogroup(right.groupBy("_down", "_across")).applyInArrow(meet, schema)
+
+
+def predict(rows: DataFrame, coefs: DataFrame, p: int, keep: list[str]) -> DataFrame:
+    """``keep``, ``t, y_true, y_pred`` for every observed target of design rows ``x, t, y`` that has coefficients.
+
+    A block of rows and a block of targets take one matrix product, and the observed cells are picked from it, so
+    no cell carries a design row. Coefficients may have a column ``model``, which then follows.
+    """
+    by_model = "model" in coefs.columns
+    fields = [rows.schema[c] for c in keep] + [T.StructField("t", T.IntegerType()), T.StructField("y_true", T.DoubleType()), T.StructField("y_pred", T.DoubleType())]
+    schema = T.StructType(fields + ([T.StructField("model", T.IntegerType())] if by_model else []))
+
+    def use(block: pa.Table, held: pa.Table) -> pa.RecordBatch:
+        parts = []
+        if block.num_rows and held.num_rows:
+            x = _matrix(block["x"], p)
+            at, t = _flat(block["t"])
+            _, y = _flat(block["y"])
+            models = held["model"].to_numpy() if by_model else np.zeros(held.num_rows, int)
+            for model in np.unique(models):
+                some = held.filter(pa.array(models == model))
+                values = x @ _matrix(some["coef"], p).T + some["intercept"].to_numpy()
+                place = np.full(max(int(t.max(initial=0)), int(some["t"].to_numpy().max())) + 1, -1)
+                place[some["t"].to_numpy()] = np.arange(some.num_rows)
+                known = np.flatnonzero(place[t] >= 0)
+                parts.append((at[known], t[known], y[known], values[at[known], place[t[known]]], np.full(len(known), model)))
+        at, t, y, values, model = (np.concatenate(c) for c in zip(*parts)) if parts else [np.zeros(0, int)] * 5
+        columns = [block[c].combine_chunks().take(pa.array(at, pa.int64())) for c in keep]
+        columns += [pa.array(t, pa.int32()), pa.array(y, pa.float64()), pa.array(values, pa.float64())] + ([pa.array(model, pa.int32())] if by_model else [])
+        return pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+
+    held = coefs.select("t", "coef", "intercept", *(["model"] if by_model else []))
+    return over_blocks(rows.select(*keep, "x", F.col("t"), F.col("y")), held, p + 1, use, schema)
 
 
 def log_uniform(low: float, high: float, n: int, seed: int) -> list[float]:
@@ -300,13 +443,31 @@ def log_uniform(low: float, high: float, n: int, seed: int) -> list[float]:
     return [float(10 ** (a + u * (b - a))) for u in unit]
 
 
-def sweep_scores(cells: DataFrame, paths: DataFrame, alphas: list[float]) -> DataFrame:
-    """Masked validation mse and mae of every candidate in one pass over the cells."""
-    errors = F.zip_with("coefs", "intercepts", lambda b, c: F.col("y_true") - c - dot(F.col("x"), b))
-    long = cells.join(paths, "feature").select(F.posexplode(errors).alias("trial", "e"))
+def sweep_scores(rows: DataFrame, paths: DataFrame, p: int, alphas: list[float]) -> DataFrame:
+    """Masked validation mse and mae of every candidate in one pass over the design rows."""
+
+    def use(block: pa.Table, held: pa.Table) -> pa.RecordBatch:
+        sums = np.zeros((len(alphas), 3))
+        if block.num_rows and held.num_rows:
+            x = _matrix(block["x"], p)
+            at, t = _flat(block["t"])
+            _, y = _flat(block["y"])
+            targets = held["t"].to_numpy()
+            coefs = np.asarray(held["coefs"].combine_chunks().flatten().flatten(), dtype=float).reshape(len(targets), len(alphas), p)
+            shift = _matrix(held["intercepts"], len(alphas))
+            place = np.full(max(int(t.max(initial=0)), int(targets.max())) + 1, -1)
+            place[targets] = np.arange(len(targets))
+            known = np.flatnonzero(place[t] >= 0)
+            for k in range(len(alphas)):
+                gap = y[known] - (x @ coefs[:, k].T + shift[:, k])[at[known], place[t[known]]]
+                sums[k] = (gap * gap).sum(), np.abs(gap).sum(), len(known)
+        columns = [pa.array(range(len(alphas)), pa.int64()), *[pa.array(c) for c in sums.T]]
+        return pa.RecordBatch.from_arrays(columns, names=["trial", "sse", "sae", "n"])
+
+    parts = over_blocks(rows.select("x", "t", "y"), paths, len(alphas) * (p + 1), use, "trial bigint, sse double, sae double, n double")
     grid = F.array(*[F.lit(a) for a in alphas])
-    scored = long.groupBy("trial").agg(F.avg(F.col("e") * F.col("e")).alias("mse"), F.avg(F.abs("e")).alias("mae"), F.count("*").alias("n"))
-    return scored.select(F.col("trial").cast("bigint").alias("trial"), F.element_at(grid, F.col("trial") + 1).alias("alpha"), "mse", "mae", "n")
+    summed = parts.groupBy("trial").agg(F.sum("sse").alias("sse"), F.sum("sae").alias("sae"), F.sum("n").alias("n")).where("n > 0")
+    return summed.select("trial", F.element_at(grid, F.col("trial").cast("int") + 1).alias("alpha"), (F.col("sse") / F.col("n")).alias("mse"), (F.col("sae") / F.col("n")).alias("mae"), F.col("n").cast("bigint").alias("n"))
 
 
 def best_trial(trials: DataFrame, metric: str = "mse") -> DataFrame:
@@ -345,27 +506,35 @@ def spline_basis(time: Column, low: float, inner: list[float], high: float, degr
     return level[1:]
 
 
-def spline_design(df: DataFrame, time: str, conditions: list[str], knots: tuple[float, list[float], float]) -> DataFrame:
+def spline_design(df: DataFrame, time: str, conditions: Header, knots: tuple[float, list[float], float]) -> DataFrame:
     """``x`` = intercept, treatment-coded condition, basis, and their interaction.
 
     The basis is zero outside the train time range; ``outside_range`` lists such rows, which callers refuse.
     """
     low, inner, high = knots
-    basis = spline_basis(F.col(time), low, inner, high)
-    staged = df.withColumn("_b", F.array(*basis))
-    cols = [F.lit(1.0)]
-    hot = [F.when(F.col("condition") == c, 1.0).otherwise(0.0) for c in conditions[1:]]
-    cols += hot
-    b = [F.col("_b")[i] for i in range(len(basis))]
-    cols += b
-    cols += [h * v for v in b for h in hot]
-    return staged.withColumn("x", F.array(*cols)).drop("_b")
-
-
-def spline_names(conditions: list[str], width: int) -> list[str]:
-    extra = [f"C(condition)[T.{c}]" for c in conditions[1:]]
-    basis = [f"bs(time)[{i}]" for i in range(width)]
-    return ["Intercept", *extra, *basis, *[f"{b}:{c}" for b in basis for c in extra]]
+    basis = F.array(*spline_basis(F.col(time), low, inner, high))
+    c, width = max(0, conditions.n - 1), len(inner) + 3
+    met = df.join(conditions.table.select(F.col("name").alias("condition"), F.col("at").alias("_c")), "condition", "left").withColumn("_b", basis)
+    plain = F.sequence(F.lit(0), F.lit(width - 1))
+    own = F.coalesce(F.col("_c"), F.lit(0)) > 0
+    at = F.concat(F.array(F.lit(0)), F.transform(plain, lambda i: i + 1 + c))
+    v = F.concat(F.array(F.lit(1.0)), F.col("_b"))
+    # A row has one condition: its column, and the columns of its products with the basis.
+    at = F.when(own, F.concat(at, F.array(F.col("_c")), F.transform(plain, lambda i: F.lit(1 + c + width) + i * c + F.col("_c") - 1))).otherwise(at)
+    v = F.when(own, F.concat(v, F.array(F.lit(1.0)), F.col("_b"))).otherwise(v)
+    placed = met.withColumns({"at": F.transform(at, lambda i: i.cast("int")), "v": v}).drop("_b", "_c")
+    full = (1 + c) * (1 + width)
+    return densify(placed, full, "x", np.zeros(full))
+
+
+def spline_header(conditions: Header, width: int) -> Header:
+    """Column names of ``spline_design``."""
+    spark, c = conditions.table.sparkSession, max(0, conditions.n - 1)
+    fixed = spark.createDataFrame([("Intercept", 0), *[(f"bs(time)[{i}]", 1 + c + i) for i in range(width)]], "name string, at int")
+    extra = conditions.table.where("at > 0").select(F.concat(F.lit("C(condition)[T."), "name", F.lit("]")).alias("name"), "at")
+    of_basis = extra.select("name", "at", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("i"))
+    both = of_basis.select(F.concat(F.lit("bs(time)["), F.col("i").cast("string"), F.lit("]:"), "name").alias("name"), (F.lit(c + width) + F.col("i") * c + F.col("at")).cast("int").alias("at"))
+    return Header(fixed.unionByName(extra).unionByName(both), (1 + c) * (1 + width))
 
 
 def outside_range(df: DataFrame, time: str, knots: tuple[float, list[float], float]) -> DataFrame:

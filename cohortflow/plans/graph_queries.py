@@ -304,7 +304,7 @@ def catalogue_prior(spark, sf, names):
     """One vector per feature: the mean embedding of the label its position maps to."""
     labels = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("d", "v")).groupBy("label", "d").agg(F.avg(F.col("v").cast("double")).alias("v"))
     mean = labels.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("e")).select("label", F.col("e.v").alias("embedding"))
-    index = spark.createDataFrame([(*n.split(":", 1), i % 10) for i, n in enumerate(names)], "modality string, feature string, label int")
+    index = names.table.select(F.substring_index("name", ":", 1).alias("modality"), F.expr("substr(name, instr(name, ':') + 1)").alias("feature"), (F.col("at") % 10).alias("label"))
     return Prior(catalogue_edges(spark, sf), catalogue_pathways(spark, sf), mean.join(index, "label").drop("label"), 64)
 
 

@@ -202,7 +202,8 @@ fragment(
 )
 def spline_coef(spark, sf):
     model = TimeSpline(event_forecast(spark, sf), SPLINE_DF, ALPHA)
-    out = model.coefs.select(F.col("feature").alias("target"), F.posexplode("coef").alias("p", "coefficient"))
+    named = linear.named_targets(model.coefs, model.data.target_names)
+    out = named.select(F.col("feature").alias("target"), F.posexplode("coef").alias("p", "coefficient"))
     return _round(out.select("target", (F.col("p") + 1).cast("bigint").alias("position"), "coefficient"), "coefficient")
 
 

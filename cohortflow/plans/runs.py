@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from functools import cached_property, reduce
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,20 +218,20 @@ class Forecast:
         return forecast.instance_targets(self.instances, self.target_cells)
 
     @cached_property
-    def names(self) -> list[str]:
-        return linear.feature_names(self.study.cells, list(self.task.input_modalities))
+    def names(self) -> linear.Header:
+        return linear.feature_header(self.study.cells, list(self.task.input_modalities))
 
     @cached_property
-    def conditions(self) -> list[str]:
-        return linear.train_conditions(normalize.subset(self.study.observations, "train"))
+    def conditions(self) -> linear.Header:
+        return linear.condition_header(normalize.subset(self.study.observations, "train"))
 
     @cached_property
-    def target_names(self) -> list[str]:
-        return linear.target_names(self.target_cells)
+    def target_names(self) -> linear.Header:
+        return linear.target_header(self.target_cells)
 
     @cached_property
-    def columns(self) -> list[str]:
-        return linear.design_names(self.names, self.conditions)
+    def columns(self) -> linear.Header:
+        return linear.design_header(self.names, self.conditions)
 
     def design(self) -> DataFrame:
         """Instances with their design vector ``x``."""
@@ -239,9 +240,8 @@ class Forecast:
         if self.by_group:
             return linear.group_design(self.instances, self.keys, self.means, self.names, self.conditions)
         inputs = self.study.cells.where(F.col("modality").isin(list(self.task.input_modalities)))
-        fill = normalize.imputer_fit(inputs).where("fill IS NOT NULL")
-        known = {f"{r['modality']}:{r['feature']}": r["fill"] for r in fill.collect()} if self.names else {}  # one row an input; names are checked
-        return linear.subject_design(self.instances, self.study.cells, self.names, self.conditions, known)
+        fill = normalize.imputer_fit(inputs).where("fill IS NOT NULL").select(F.concat_ws(":", "modality", "feature").alias("name"), "fill")
+        return linear.subject_design(self.instances, self.study.cells, self.names, self.conditions, fill)
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -252,17 +252,13 @@ class Forecast:
         packed = linear.targets_per_row(self.targets, "instance_id", self.target_names)
         return stage(design.join(packed, "instance_id"), "design", ["split"])
 
-    def moments(self, rows: DataFrame | None = None, width: int | None = None) -> linear.Moments:
-        return linear.moments(normalize.subset(self.rows if rows is None else rows, "train"), width or len(self.columns))
+    def moments(self, rows: DataFrame | None = None, width: int | None = None) -> linear.Moments | linear.WideRows:
+        return linear.moments(normalize.subset(self.rows if rows is None else rows, "train"), width or self.columns.n)
 
-    def cells(self, split_name: str | None = None, rows: DataFrame | None = None) -> DataFrame:
-        """Observed target cells with the design vector of their instance."""
-        rows = self.rows if rows is None else rows
-        if split_name:
-            rows = normalize.subset(rows, split_name)
-        pairs = rows.select("split", "instance_id", "group_id", "condition", "x", F.explode(F.arrays_zip("t", "y")).alias("c"))
-        long = pairs.select("split", "instance_id", "group_id", "condition", "x", F.col("c.t").alias("t"), F.col("c.y").alias("y_true"))
-        return linear.named_targets(long, self.target_names)
+    def predicted(self, rows: DataFrame, coefs: DataFrame, width: int | None = None) -> DataFrame:
+        """Observed target cells of design rows with their predictions (and ``model``, if the coefficients have it)."""
+        out = linear.predict(rows, coefs, width or self.columns.n, ["split", "instance_id", "group_id", "condition"])
+        return linear.named_targets(out, self.target_names)
 
 
 SCORED = ["split", "instance_id", "group_id", "feature", "y_true", "y_pred"]
@@ -289,13 +285,14 @@ class LastValue:
 class Ridge:
     def __init__(self, data: Forecast, alpha: float = 1.0):
         self.data, self.alpha = data, alpha
-        self.coefs = linear.named_targets(linear.ridge_fit(data.moments(), alpha), data.target_names)
+        self.coefs = stage(linear.ridge_fit(data.moments(), alpha), "coefficients")
 
     def predict(self, split_name: str | None = None) -> DataFrame:
-        return linear.predict(self.data.cells(split_name), self.coefs).select(*SCORED)
+        rows = normalize.subset(self.data.rows, split_name) if split_name else self.data.rows
+        return self.data.predicted(rows, self.coefs).select(*SCORED)
 
     def explain(self) -> DataFrame:
-        return linear.coefficient_table(self.coefs, self.data.columns)
+        return linear.coefficient_table(self.coefs, self.data.target_names, self.data.columns)
 
 
 class TimeSpline:
@@ -306,26 +303,28 @@ class TimeSpline:
         train = normalize.subset(data.target_cells, "train")
         packed = linear.targets_per_row(train, "observation_id", data.target_names, "scaled")
         obs = normalize.subset(data.study.observations, "train")
-        rows = stage(obs.join(packed, "observation_id").select("observation_id", "condition", "time", "t", "y"), "spline-rows")
+        rows = self.train = stage(obs.join(packed, "observation_id").select("observation_id", "split", "condition", "time", "t", "y"), "spline-rows")
         require_empty("spline_size", validate.spline_violations(rows, spline_df))
         self.knots = linear.spline_knots(rows, spline_df)
-        self.conditions = linear.train_conditions(rows)
-        self.columns = linear.spline_names(self.conditions, spline_df)
-        self.mom = linear.moments(linear.spline_design(rows, "time", self.conditions, self.knots), len(self.columns))
-        self.coefs = linear.named_targets(linear.ridge_fit(self.mom, alpha, intercept=False), data.target_names)
-
-    def cells(self, split_name: str | None = None) -> DataFrame:
-        """Targets with their design row. A target time outside the train range, or a condition not in train, is refused."""
-        targets = normalize.subset(self.data.targets, split_name) if split_name else self.data.targets
+        self.conditions = linear.condition_header(rows)
+        self.columns = linear.spline_header(self.conditions, spline_df)
+        self.mom = linear.moments(linear.spline_design(rows, "time", self.conditions, self.knots), self.columns.n)
+        self.coefs = stage(linear.ridge_fit(self.mom, alpha, intercept=False), "coefficients")
+
+    def rows(self, split_name: str | None = None) -> DataFrame:
+        """Instances with their design row and observed targets. A target time outside the train range, or a condition not in train, is refused."""
+        data = self.data
+        targets = normalize.subset(data.targets, split_name) if split_name else data.targets
         require_empty("outside_time_range", linear.outside_range(targets, "target_time", self.knots))
-        require_empty("unseen_condition", targets.where(~F.col("condition").isin(self.conditions)))
-        return linear.spline_design(targets, "target_time", self.conditions, self.knots)
+        require_empty("unseen_condition", targets.join(self.conditions.table.select(F.col("name").alias("condition")), "condition", "left_anti"))
+        packed = linear.targets_per_row(targets, "instance_id", data.target_names)
+        return linear.spline_design(data.instances.join(packed, "instance_id"), "target_time", self.conditions, self.knots)
 
     def predict(self, split_name: str | None = None) -> DataFrame:
-        return linear.predict(self.cells(split_name), self.coefs).select(*SCORED)
+        return self.data.predicted(self.rows(split_name), self.coefs, self.columns.n).select(*SCORED)
 
     def explain(self) -> DataFrame:
-        return linear.coefficient_table(self.coefs, self.columns, with_intercept=False)
+        return linear.coefficient_table(self.coefs, self.data.target_names, self.columns, with_intercept=False)
 
 
 MODELS: dict[str, Any] = {"last_value": LastValue, "ridge": Ridge, "time_spline": TimeSpline}
@@ -373,10 +372,10 @@ def tune(data: Forecast, model: str, trials: int, seed: int, metric: str = "mse"
     read. Returns every trial and the parameters of the best one."""
     if model == "ridge":
         alphas = linear.log_uniform(*RIDGE_ALPHA, trials, seed)
-        seen = normalize.subset(data.rows, "train").select("split").union(data.cells("val").select("split"))
-        require_empty("objective_leaks", validate.objective_leaks(seen))
-        paths = linear.named_targets(linear.ridge_path(data.moments(), alphas), data.target_names)
-        table = stage(linear.sweep_scores(data.cells("val"), paths, alphas), "trials")
+        rows = normalize.subset(data.rows, "val")
+        require_empty("objective_leaks", validate.objective_leaks(normalize.subset(data.rows, "train").select("split").union(rows.select("split"))))
+        paths = stage(linear.ridge_path(data.moments(), alphas), "paths")
+        table = stage(linear.sweep_scores(rows, paths, data.columns.n, alphas), "trials")
         best = linear.best_trial(table, metric).first()
         return table, {"alpha": best["alpha"]}
     if model == "time_spline":
@@ -384,8 +383,10 @@ def tune(data: Forecast, model: str, trials: int, seed: int, metric: str = "mse"
         parts = []
         for df in SPLINE_WIDTHS:
             fitted = TimeSpline(data, df)
-            paths = linear.named_targets(linear.ridge_path(fitted.mom, alphas, intercept=False), data.target_names)
-            parts.append(linear.sweep_scores(fitted.cells("val"), paths, alphas).withColumn("spline_df", F.lit(df).cast("bigint")))
+            rows = stage(fitted.rows("val"), "spline-val")
+            require_empty("objective_leaks", validate.objective_leaks(fitted.train.select("split").union(rows.select("split"))))
+            paths = stage(linear.ridge_path(fitted.mom, alphas, intercept=False), "paths")
+            parts.append(linear.sweep_scores(rows, paths, fitted.columns.n, alphas).withColumn("spline_df", F.lit(df).cast("bigint")))
         table = stage(reduce(lambda a, b: a.unionByName(b), parts), "trials")
         best = table.agg(F.min_by(F.struct("alpha", "spline_df"), F.struct(metric, "spline_df", "trial")).alias("b")).first()["b"]
         return table, {"alpha": best["alpha"], "spline_df": best["spline_df"]}
@@ -433,48 +434,41 @@ def prior_arms(data: Forecast, prior: Prior, seeds: list[int], alpha: float = 1.
     parts = vectors.select("modality", "feature", F.posexplode("embedding").alias("d", "w"))
     projected = inputs.where(F.col(value).isNotNull()).join(parts, ["modality", "feature"]).groupBy(*snapshot, "d").agg(F.sum(F.col(value) * F.col("w")).alias("v"))
     emb = projected.groupBy(*snapshot).agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("e")).select(*snapshot, F.col("e.v").alias("emb"))
-    activity = graph.pathway_activity(inputs, prior.pathways, snapshot, value)
-    paths = activity.groupBy(*snapshot).agg(F.array_sort(F.collect_list(F.struct("pathway_id", "activity"))).alias("e")).select(*snapshot, F.col("e.activity").alias("path"))
-    extra = emb.join(paths, snapshot)
+    pathways = linear.header(prior.pathways, F.col("pathway_id"))
+    activity = graph.observed_activity(inputs, prior.pathways, snapshot, value).join(pathways.table.select(F.col("name").alias("pathway_id"), "at"), "pathway_id")
+    packed = activity.groupBy(*snapshot).agg(F.collect_list(F.struct("at", F.col("activity").alias("v"))).alias("e")).select(*snapshot, F.col("e.at").alias("at"), F.col("e.v").alias("v"))
+    paths = linear.densify(packed, pathways.n, "path", np.zeros(pathways.n))
+    extra = emb.join(paths, snapshot, "full")
     if data.by_group:
         extra = extra.withColumnsRenamed({"condition": "key_condition", "time": "key_time"})
         on = ["key_condition", "key_time"]
     else:
         extra, on = extra.withColumnRenamed("observation_id", "history_observation"), ["history_observation"]
-    n_path = prior.pathways.select("pathway_id").distinct().count()
-    n_base, width = len(data.columns), len(data.columns) + n_path + prior.dim
-    linear.check_width(width)
+    n_path = pathways.n
+    n_base, width = data.columns.n, data.columns.n + n_path + prior.dim
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
     wide = data.design().join(extra, on, "left").withColumn("x", F.concat("x", F.coalesce("path", zeros(n_path)), F.coalesce("emb", zeros(prior.dim)))).drop("path", "emb")
     rows = data.stage_rows(wide)
     mom = data.moments(rows, width)
+    edges = stage(prior.edges, "prior-edges")
 
-    def penalty(edges: DataFrame):
-        return graph_weight * arms.laplacian_matrix(graph.laplacian(graph.symmetric_weights(edges)), data.names, width)
-
-    def fit(arm: arms.Arm, at: list[int], pen) -> DataFrame:
-        keep = list(range(n_base))
-        keep += range(n_base, n_base + n_path) if arm.pathway else []
-        keep += range(n_base + n_path, width) if arm.embedding else []
-        coefs = arms.arm_coefficients(mom, keep, width, alpha, pen)
-        return coefs.select(
-            "t", "coef", "intercept", F.lit(arm.name).alias("arm"), F.explode(F.array(*[F.lit(s).cast("bigint") for s in at])).alias("seed"),
-            F.lit((len(keep) + 1) * len(data.target_names)).cast("bigint").alias("n_parameters"),
-        )
+    def penalty(of: DataFrame) -> DataFrame:
+        return arms.penalty_entries(graph.laplacian(graph.symmetric_weights(of)), data.names, graph_weight)
 
-    edges = stage(prior.edges, "prior-edges")
-    real, fits = penalty(edges), []
+    # One fit for an arm, or for an arm and a seed where the arm depends on it; (arm, seeds, columns) by model number.
+    fits, about = [], []
     for arm in map(arms.Arm, arms.ARMS):
-        if arm.randomized:  # the only arm that depends on the seed
-            fits += [fit(arm, [s], penalty(graph.rewire(edges, s + 17))) for s in seeds]
-        else:
-            fits.append(fit(arm, seeds, real if arm.graph else None))
-    coefs = stage(linear.named_targets(reduce(lambda a, b: a.unionByName(b), fits), data.target_names), "arm-coefficients")
-    scored = stage(arms.arm_predictions(data.cells("val", rows), coefs), "arm-scored")
-    keys = ["arm", "seed", "n_parameters"]
-    pooled = evaluate.grouped_scores(scored, keys).select(*keys, "mse", "mae")
-    macro = evaluate.grouped_scores(scored, [*keys, "feature"]).groupBy(*keys).agg(F.avg("pcc").alias("pcc_macro"))
-    return pooled.join(macro, keys).withColumn("primary_value", F.col("pcc_macro"))
+        ranges = [(0, n_base)] + [(n_base, n_base + n_path)] * arm.pathway + [(n_base + n_path, width)] * arm.embedding
+        for at in [[s] for s in seeds] if arm.randomized else [seeds]:
+            pen = penalty(graph.rewire(edges, at[0] + 17)) if arm.randomized else penalty(edges) if arm.graph else None
+            fits.append(arms.arm_coefficients(mom, ranges, width, alpha, pen).withColumn("model", F.lit(len(about))))
+            about.append((len(about), arm.name, at, (sum(b - a for a, b in ranges) + 1) * data.target_names.n))
+    coefs = stage(reduce(lambda a, b: a.unionByName(b), fits), "arm-coefficients")
+    scored = stage(data.predicted(normalize.subset(rows, "val"), coefs, width), "arm-scored")
+    pooled = evaluate.grouped_scores(scored, ["model"]).select("model", "mse", "mae")
+    macro = evaluate.grouped_scores(scored, ["model", "feature"]).groupBy("model").agg(F.avg("pcc").alias("pcc_macro"))
+    known = rows.sparkSession.createDataFrame(about, "model int, arm string, seeds array<bigint>, n_parameters bigint").withColumn("seed", F.explode("seeds"))  # a row an arm and seed
+    return known.drop("seeds").join(pooled, "model").join(macro, "model").drop("model").withColumn("primary_value", F.col("pcc_macro"))
 
 
 @dataclass
@@ -488,25 +482,27 @@ class Explained:
 
     def __post_init__(self):
         data = self.model.data
-        self.coefs = stage(self.model.coefs, "coefficients")
+        self.coefs = self.model.coefs
         self.rows = normalize.subset(data.rows, "val")
         self.baseline = attribution.train_mean_baseline(normalize.subset(data.rows, "train"), data.study.cells)
 
     def attributions(self) -> DataFrame:
-        return attribution.linear_attributions(self.rows, self.coefs, self.model.data.names, self.baseline)
+        """Every instance, pair and baseline, for a sink that wants them all."""
+        data = self.model.data
+        return attribution.linear_attributions(self.rows, linear.named_targets(self.coefs, data.target_names), data.names, self.baseline)
 
     def ablation(self) -> DataFrame:
-        return attribution.ablation_delta(self.rows, self.coefs, self.model.data.names)
+        return attribution.ablation_delta(self.rows, self.coefs, self.model.data.names, self.model.data.target_names)
 
     def permutation(self, seed: int | None = None) -> DataFrame:
-        scored = linear.predict(self.model.data.cells("val"), self.coefs)
-        return attribution.permutation_delta(self.rows, scored, self.coefs, self.model.data.names, self.n_seeds, self.seed if seed is None else seed)
+        data = self.model.data
+        return attribution.permutation_delta(self.rows, self.coefs, data.names, data.target_names, data.columns.n, self.n_seeds, self.seed if seed is None else seed)
 
     def stability(self, seed: int | None = None, permutation_seed: int | None = None) -> DataFrame:
-        units = stage(attribution.unit_attributions(self.attributions()), "unit-attributions")
-        return attribution.stability_table(
-            units, self.ablation(), self.permutation(permutation_seed), self.config, self.seed if seed is None else seed, self.model.data.task.target_modality
-        )
+        data = self.model.data
+        units = attribution.unit_gaps(self.rows, data.names, data.columns.n, self.baseline)
+        pairs = attribution.linear_stability(units, self.coefs, data.names, data.target_names, self.config, self.seed if seed is None else seed)
+        return attribution.candidate_table(pairs, self.ablation(), self.permutation(permutation_seed), self.config, data.task.target_modality)
 
     def candidates(self, prior: Prior | None = None, **seeds) -> DataFrame:
         """The full candidate table with prior flags."""

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from cohortflow.operators import attribution
+from cohortflow.operators import attribution, linear
 
 UNITS = "group_id string, source string, target string, s double, n bigint"
 
@@ -62,10 +62,10 @@ def test_permutation_delta_matches_brute_force(spark):
     n, names = 30, ["rna:a", "rna:b"]
     x, y, coef = rng.normal(size=(n, 2)), rng.normal(size=n), np.array([0.5, -1.0])
     pred = x @ coef
-    rows = spark.createDataFrame([(f"i{k}", "c", x[k].tolist()) for k in range(n)], "instance_id string, condition string, x array<double>")
-    scored = spark.createDataFrame([(f"i{k}", "P", float(y[k]), float(pred[k])) for k in range(n)], "instance_id string, feature string, y_true double, y_pred double")
-    coefs = spark.createDataFrame([("P", coef.tolist(), 0.0)], "feature string, coef array<double>, intercept double")
-    got = {r.source: r.permutation_delta for r in attribution.permutation_delta(rows, scored, coefs, names, 2, 4).collect()}
+    rows = spark.createDataFrame([(f"i{k}", "c", x[k].tolist(), [0], [float(y[k])]) for k in range(n)], "instance_id string, condition string, x array<double>, t array<int>, y array<double>")
+    coefs = spark.createDataFrame([(0, coef.tolist(), 0.0)], "t int, coef array<double>, intercept double")
+    heads = [linear.Header(spark.createDataFrame([(v, i) for i, v in enumerate(h)], "name string, at int"), len(h)) for h in (names, ["P"])]
+    got = {r.source: r.permutation_delta for r in attribution.permutation_delta(rows, coefs, *heads, 2, 2, 4).collect()}
     pairs = attribution.permuted_partners(rows, 2, 4).toPandas()
     for s, name in enumerate(names):
         drops = []
@@ -77,6 +77,26 @@ def test_permutation_delta_matches_brute_force(spark):
         assert got[name] == pytest.approx(np.mean(drops))
 
 
+def test_factored_stability_equals_the_long_form(spark):
+    """Replicates, folds, ranks and bounds from unit sums and coefficients, against rows for every instance, pair and baseline."""
+    rng = np.random.default_rng(6)
+    n, names, targets = 60, ["rna:a", "rna:b", "rna:c", "rna:d"], ["P", "Q"]
+    x, coef = rng.normal(size=(n, 6)), rng.normal(size=(2, 6))
+    x[:, 3] = x[:, 2]
+    coef[:, 3] = coef[:, 2]  # a tie of ranks
+    rows = spark.createDataFrame([(f"i{k}", f"U{k % 7}", x[k].tolist()) for k in range(n)], "instance_id string, group_id string, x array<double>").repartition(3)
+    heads = [linear.Header(spark.createDataFrame([(v, i) for i, v in enumerate(h)], "name string, at int"), len(h)) for h in (names, targets)]
+    coefs = spark.createDataFrame([(t, coef[t].tolist(), 0.0) for t in range(2)], "t int, coef array<double>, intercept double")
+    base = spark.createDataFrame([("rna:a", 0.3), ("rna:c", -0.2)], "source string, baseline_value double")
+    config = attribution.StabilityConfig(n_bootstrap=9, n_folds=3, top_k_per_target=2)
+    long = attribution.linear_attributions(rows, linear.named_targets(coefs, heads[1]), heads[0], base)
+    want = attribution.pair_stability(attribution.unit_attributions(long), config, 5).toPandas().sort_values(["source", "target"])
+    got = attribution.linear_stability(attribution.unit_gaps(rows, heads[0], 6, base), coefs, *heads, config, 5).toPandas().sort_values(["source", "target"])
+    assert len(got) == len(want) == 8
+    for c in want.columns:
+        assert list(got[c]) == list(want[c]) if c in ("source", "target") else np.allclose(got[c], want[c]), c
+
+
 def test_prior_flags(spark):
     c = spark.createDataFrame([("rna:a", "protein:p"), ("rna:b", "protein:p"), ("rna:c", "protein:q")], "source string, target string")
     edges = spark.createDataFrame([("protein", "p", "rna", "a")], "source_modality string, source_id string, target_modality string, target_id string")
