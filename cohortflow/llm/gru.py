@@ -2,12 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Steps of a window, streams of a training batch, documents scored side by side.
-WINDOW, STREAMS, GROUP = 24, 48, 512
+#: Steps of a window, documents that run side by side in learning and in scoring, and words after which
+#: learning starts from an empty state again (scoring never does).
+WINDOW, STREAMS, GROUP, SPAN = 32, 192, 384, 2048
+
+
+def lanes(docs: Iterable[np.ndarray], width: int, start: int) -> Iterator[tuple]:
+    """Windows of documents that run side by side: (numbers, came, inputs, words, live), the last three (steps, lanes).
+
+    A document goes through its lane window by window, and the next one takes its place when it ends, so long
+    documents hold up no others. ``came`` has each lane's place in the window before, -1 for a new document.
+    """
+    queue = ((i, d) for i, d in enumerate(docs) if len(d))
+    held: list[list] = []
+    while True:
+        while len(held) < width and (more := next(queue, None)) is not None:
+            held.append([*more, 0, -1])
+        if not held:
+            return
+        words, inputs = np.zeros((len(held), WINDOW), np.int64), np.empty((len(held), WINDOW), np.int64)
+        sizes = np.empty(len(held), np.int64)
+        for lane, (_, doc, at, _) in enumerate(held):
+            part = doc[at : at + WINDOW]
+            sizes[lane] = len(part)
+            words[lane, : len(part)] = part
+            inputs[lane, 0] = doc[at - 1] if at else start
+        inputs[:, 1:] = words[:, :-1]
+        steps = int(sizes.max())
+        yield np.array([h[0] for h in held]), np.array([h[3] for h in held]), inputs.T[:steps], words.T[:steps], np.arange(steps)[:, None] < sizes
+        held = [[i, doc, at + WINDOW, lane] for lane, (i, doc, at, _) in enumerate(held) if at + WINDOW < len(doc)]
+
+
+def carried(states: np.ndarray, came: np.ndarray) -> np.ndarray:
+    """The states of the lanes of a window from those at the end of the window before."""
+    out = np.zeros((len(came), states.shape[1]), np.float32)
+    old = came >= 0
+    out[old] = states[came[old]]
+    return out
 
 
 class Model:
@@ -31,6 +66,7 @@ class Model:
         self.start = n_words + 1
         filled = n_words - (self.classes - 1) * class_size
         self.p["word_b"][-1, filled:] = -1e9  # places that no word has
+        self.squares = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
 
     def _class(self, words: np.ndarray) -> np.ndarray:
         return np.where(words < self.n, words // self.size, self.classes)
@@ -100,6 +136,7 @@ class Model:
         back = back.reshape(states.shape)
         later = np.zeros_like(h)
         at_x = np.empty((*inputs.shape, 3 * d), np.float32)
+        befores, resets = np.empty_like(states), np.empty_like(states)
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, g = tape[t]
             total = back[t] + later
@@ -107,75 +144,72 @@ class Model:
             to_rh = to_g @ p["wg"].T
             to_zr = np.concatenate([total * (g - before) * z * (1 - z), to_rh * before * r * (1 - r)], axis=1)
             later = total * (1 - z) + to_rh * r + to_zr @ p["wh"].T
-            grads["wg"] += (r * before).T @ to_g
-            grads["wh"] += before.T @ to_zr
-            at_x[t] = np.concatenate([to_zr, to_g], axis=1)
+            befores[t], resets[t] = before, r * before
+            at_x[t, :, : 2 * d], at_x[t, :, 2 * d :] = to_zr, to_g
         at_x = at_x.reshape(-1, 3 * d)
+        grads["wg"] = resets.reshape(-1, d).T @ at_x[:, 2 * d :]
+        grads["wh"] = befores.reshape(-1, d).T @ at_x[:, : 2 * d]
         grads["b"] = at_x.sum(axis=0)
-        grads["wx"] = p["embed"][inputs.ravel()].T @ at_x
-        np.add.at(grads["embed"], inputs.ravel(), at_x @ p["wx"].T)
+        read = inputs.ravel()
+        order = np.argsort(read, kind="stable")
+        seen, starts = np.unique(read[order], return_index=True)
+        of_word = np.add.reduceat(at_x[order], starts, axis=0)
+        grads["wx"] = p["embed"][seen].T @ of_word
+        grads["embed"][seen] = of_word @ p["wx"].T
         return loss, grads, states[-1]
 
+    def learn(self, docs: Iterable[np.ndarray], rate: float = 0.1, clip: float = 1.0) -> tuple[float, int]:
+        """One pass of Adagrad over windows of the documents, every word of them. Loss and words.
+
+        A document's state is carried from window to window; after SPAN words the next ones run beside it, so that
+        one long document doesn't run alone at the end."""
+        total, seen = 0.0, 0
+        states = np.zeros((0, self.width), np.float32)
+        spans = (doc[at : at + SPAN] for doc in docs for at in range(0, len(doc), SPAN))
+        for _, came, inputs, words, live in lanes(spans, STREAMS, self.start):
+            loss, grads, states = self.gradients(inputs, words, live, carried(states, came))
+            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+            for k, g in grads.items():
+                g *= min(1.0, clip / (norm + 1e-9))
+                self.squares[k] += g * g
+                self.p[k] -= rate * g / np.sqrt(self.squares[k])
+            total, seen = total + loss, seen + int(live.sum())
+        return total, seen
+
     def train(self, docs: list[np.ndarray], passes: int = 2, rate: float = 0.1, clip: float = 1.0) -> list[float]:
-        """Adagrad over windows; the documents are dealt to streams, and a stream's state is carried until its document ends."""
-        squares = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
-        losses = []
-        for _ in range(passes):
-            total = seen = 0.0
-            state = np.zeros((min(STREAMS, max(1, len(docs))), self.width), np.float32)
-            for inputs, words, live, fresh in self._windows(docs):
-                loss, grads, state = self.gradients(inputs, words, live, state * ~fresh[:, None])
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                for k, g in grads.items():
-                    g *= min(1.0, clip / (norm + 1e-9))
-                    squares[k] += g * g
-                    self.p[k] -= rate * g / np.sqrt(squares[k])
-                total, seen = total + loss, seen + float(live.sum())
-            losses.append(total / max(1.0, seen))
-        return losses
-
-    def _windows(self, docs: list[np.ndarray]) -> Iterator[tuple]:
-        """Windows of all streams; documents start at window borders, and what follows their end is not live."""
+        """Some passes over the documents, longest first; the mean loss of each."""
         queue = sorted(docs, key=len, reverse=True)
-        streams: list[list[np.ndarray]] = [[] for _ in range(min(STREAMS, max(1, len(queue))))]
-        for doc in queue:  # to the shortest stream
-            min(streams, key=lambda s: sum(map(len, s))).append(doc)
-        cut = [[(doc[a : a + WINDOW], doc[a - 1] if a else self.start, a == 0) for doc in s for a in range(0, len(doc), WINDOW)] for s in streams]
-        for w in range(max(map(len, cut))):
-            words = np.zeros((WINDOW, len(cut)), np.int64)
-            inputs, live, fresh = np.full_like(words, self.start), np.zeros(words.shape, bool), np.ones(len(cut), bool)
-            for s, windows in enumerate(cut):
-                if w < len(windows):
-                    part, before, first = windows[w]
-                    words[: len(part), s], live[: len(part), s], fresh[s] = part, True, first
-                    inputs[: len(part), s] = np.r_[before, part[:-1]]
-            yield inputs, words, live, fresh
+        losses = [self.learn(queue, rate, clip) for _ in range(passes)]
+        return [loss / max(1, seen) for loss, seen in losses]
+
+    # Averaging
+
+    def to_vector(self) -> np.ndarray:
+        """Parameters and sums of squared gradients as one vector, so that models can be averaged."""
+        return np.concatenate([x[k].ravel() for x in (self.p, self.squares) for k in sorted(self.p)])
+
+    def from_vector(self, values: np.ndarray) -> None:
+        at = 0
+        for x in (self.p, self.squares):
+            for k in sorted(self.p):
+                x[k] = values[at : at + x[k].size].reshape(x[k].shape).astype(np.float32)
+                at += x[k].size
 
     # Scoring
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Natural log probability of each whole document. Documents of like length go side by side; the
-        state is carried from window to window, so a document of any length takes the memory of one window."""
+        """Natural log probability of each whole document. The state is carried from window to window, so a document
+        of any length takes the memory of one window; the longest documents begin first."""
         out = np.zeros(len(docs))
         table = self.p["embed"] @ self.p["wx"] + self.p["b"]
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        for at in range(0, len(order), GROUP):
-            group = [i for i in order[at : at + GROUP] if len(docs[i])]
-            h = np.zeros((len(group), self.width), np.float32)
-            last = np.full(len(group), self.start)
-            for a in range(0, max((len(docs[i]) for i in group), default=0), WINDOW):
-                group = [i for i in group if len(docs[i]) > a]  # longest first, so the rest is a prefix
-                parts = [docs[i][a : a + WINDOW] for i in group]
-                sizes = np.array([len(x) for x in parts])
-                words = np.zeros((sizes.max(), len(group)), np.int64)
-                live = np.arange(len(words))[:, None] < sizes
-                words.T[live.T] = np.concatenate(parts)
-                inputs = np.concatenate([last[None, : len(group)], words[:-1]])
-                states, _ = self.forward(inputs, h[: len(group)], table=table)
-                logs = np.zeros(words.shape)
-                logs[live] = self.log_probs(states[live], words[live])
-                out[group] += logs.sum(axis=0)
-                h, last = states[-1], words[-1]
+        states = np.zeros((0, self.width), np.float32)
+        for numbers, came, inputs, words, live in lanes((docs[i] for i in order), GROUP, self.start):
+            tape, _ = self.forward(inputs, carried(states, came), table=table)
+            logs = np.zeros(words.shape)
+            logs[live] = self.log_probs(tape[live], words[live])
+            out[[order[i] for i in numbers]] += logs.sum(axis=0)
+            states = tape[-1]
         return out
 
 

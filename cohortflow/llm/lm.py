@@ -15,9 +15,15 @@ from cohortflow.session import stage
 
 #: The end of a text as a token; no word can be a space.
 END = " "
-#: Words of the recurrent model, words whose counts every task holds (none longer than LONG bytes),
-#: documents it is trained on and their longest size in bytes, distinct words counted before they are passed on.
-MODEL_WORDS, SHARED_WORDS, LONG, TRAIN_DOCS, TRAIN_BYTES, HELD = 4_096, 150_000, 64, 256, 1 << 15, 200_000
+#: Words of the recurrent model, words whose counts every task holds (none longer than LONG bytes), distinct
+#: words counted before they are passed on.
+MODEL_WORDS, SHARED_WORDS, LONG, HELD = 1_024, 150_000, 64, 200_000
+#: Rounds of learning, each over another share of the training documents, and models added up together.
+ROUNDS, SALTS = 3, 32
+#: Size of a class of words, and of the state.
+CLASS, WIDTH = 32, 16
+#: Steps of a factor of two in word counts by which the shared words are told from the rest.
+STEPS = 16
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5, part: int = 1) -> Column:
@@ -46,31 +52,81 @@ def _pairs(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
 
+def common_words(counts: DataFrame, most: int) -> tuple[list[str], np.ndarray]:
+    """The words, of at most LONG bytes, above a count that at most ``most`` words reach, by falling count; and the counts.
+
+    The count comes from a histogram of some hundred bins, so no task and no sort meets all words.
+    """
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    short = counts.where(F.octet_length("word") <= LONG)
+    bins = sorted(short.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True)  # 64 * STEPS rows at most
+    least, total = None, 0
+    for row in bins:
+        total += row["words"]
+        if total > most:
+            break
+        least = row["step"]
+    if least is None:
+        return [], np.zeros(0)
+    held = short.where(step >= least).toArrow()  # ``most`` rows of LONG bytes at most
+    ranked = sorted(zip((-held["n"].to_numpy()).tolist(), held["word"].to_pylist()))
+    return [w for _, w in ranked], -np.array([n for n, _ in ranked], float)
+
+
+def learn(rows: DataFrame, model: Model, names: list[str]) -> None:
+    """Truncated backpropagation over all rows (text), data-parallel.
+
+    Each round takes another share of the rows. Every task runs from the same parameters through its rows of
+    that share, whole, and Spark averages what the tasks end with, weighted by words; so the work grows with the rows, and
+    only the parameters reach the driver.
+    """
+    spark = rows.sparkSession
+
+    def step(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+        mine, values, names = shared.value
+        mine.from_vector(values)
+        number = {w.encode(): i for i, w in enumerate(names)}
+        _, words = mine.learn(_numbers(x.as_py(), number, len(number))[0] for batch in batches for x in batch.column(0))
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array([(mine.to_vector() * words).astype(np.float64).tobytes()], pa.binary()), pa.array([words], pa.int64())], names=["sum", "words"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_py()) for b in part["sum"])
+        return pa.table([part["salt"][:1], pa.array([total.tobytes()], pa.binary()), pa.array([sum(part["words"].to_pylist())], pa.int64())], names=["salt", "sum", "words"])
+
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((model, model.to_vector(), names))  # parameters and MODEL_WORDS words
+        share = rows.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).select("text")
+        parts = share.mapInArrow(lambda batches, shared=shared: step(batches, shared), "sum binary, words bigint").withColumn("salt", (F.spark_partition_id() % SALTS).cast("int"))
+        found = parts.groupBy("salt").applyInArrow(add, "salt int, sum binary, words bigint").collect()  # SALTS models at most
+        words = sum(r["words"] for r in found)
+        if words:
+            model.from_vector(sum(np.frombuffer(r["sum"]) for r in found) / words)
+
+
 def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", seed: int = 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row over its whole text.
 
-    The rows where ``train`` holds are learnt from: every token of them is counted, and a recurrent
-    model of the MODEL_WORDS commonest words, in classes, is trained on a bounded sample. Every other
-    word is in the model's last class, within which its chance follows its corpus count (a word never
+    The rows where ``train`` holds are learnt from, all of them and whole: every token of them is counted, and
+    a recurrent model of the MODEL_WORDS commonest words, in classes, learns from every one of their tokens (see ``learn``).
+    Every other word is in the model's last class, within which its chance follows its corpus count (a word never
     counted has the chance of half an occurrence), so the score is a log probability over all words.
 
-    The counts of the SHARED_WORDS commonest words go to every task. The rest of the vocabulary grows with
+    The counts of at most SHARED_WORDS common words go to every task. The rest of the vocabulary grows with
     the corpus: those words are looked up by a join on the word, which no frequent word takes part in.
     A null text is an empty one, scored by its end alone. Repeated rows are scored each; other columns
-    are ignored. Without training tokens the counts are zero and the model is untrained.
+    are ignored. Without training tokens the counts are zero and the model is untrained. How rows are dealt to tasks changes the
+    averages, and so the score, slightly; the base columns don't depend on it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), train.alias("train"), F.col(text).cast("binary").alias("text"))
     counts = stage(word_counts(rows.where("train").select("text")), "words")
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    common = counts.where(F.octet_length("word") <= LONG).orderBy(F.desc("n"), "word").limit(SHARED_WORDS).toArrow()  # LONG bytes a word at most
-    names, n = common["word"].to_pylist(), common["n"].to_numpy().astype(float)
+    names, n = common_words(counts, SHARED_WORDS)
     known = min(MODEL_WORDS, len(names))
-    model = Model(known, seed=seed) if known else None
-    sample = rows.where(F.col("train") & (F.octet_length("text") <= TRAIN_BYTES)).orderBy(F.xxhash64("doc_id", "text")).limit(TRAIN_DOCS).select("text").collect()  # TRAIN_DOCS * TRAIN_BYTES at most
-    number = {w.encode(): i for i, w in enumerate(names[:known])}
-    if model and sample:
-        model.train([_numbers(r["text"], number, known)[0] for r in sample])
+    model = Model(known, CLASS, WIDTH, seed) if known else None
+    if model:
+        learn(rows.where("train"), model, names[:known])
     floor = np.log10(size["n"] + 0.5 * (size["v"] + 1))
     rare_floor = np.log10(size["n"] - n[:known].sum() + 0.5 * (size["v"] - known + 1))
     shared = spark.sparkContext.broadcast((model, [w.encode() for w in names], np.log10(n + 0.5), known, floor, rare_floor))
@@ -79,8 +135,8 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         model, names, logs, known, floor, rare_floor = shared.value
         number = {w: i for i, w in enumerate(names)}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                yield _score(batch.slice(at, 1024), model, number, logs, known, floor, rare_floor)
+            for at in range(0, batch.num_rows, 4096):
+                yield _score(batch.slice(at, 4096), model, number, logs, known, floor, rare_floor)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, base double, own double, words array<string>, times array<int>"

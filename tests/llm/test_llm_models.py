@@ -132,6 +132,53 @@ def test_the_language_model_is_a_distribution_over_the_vocabulary(spark, monkeyp
     assert total <= 1 + 1e-6
 
 
+def test_a_late_training_text_changes_the_score(spark):
+    """All training rows are learnt from: a transition that only one of 1,000 long texts shows, wherever it is, counts."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(30)]
+    plain = [(i, " ".join(rng.choice(words, 60))) for i in range(1000)]
+    shown = " ".join(["w3 w7"] * 3000)  # beyond any prefix of 32 KB
+    probe = [(5000, "w3 w7 " * 10)]
+    scores = []
+    for last in (shown, " ".join(sorted(shown.split()))):  # the same words, and so the same base score
+        docs = documents(spark, plain + [(1000, last)] + probe)
+        scores.append(next(r for r in lm.score(docs, F.col("doc_id") < 5000).collect() if r["doc_id"] == 5000))
+    assert scores[0]["base_score"] == pytest.approx(scores[1]["base_score"]) and abs(scores[0]["score"] - scores[1]["score"]) > 0.5
+
+
+def test_learning_beats_counts_on_held_out_documents(spark):
+    rng = np.random.default_rng(10)
+    follow = {f"w{i}": [f"w{(i * 7 + j) % 50}" for j in range(3)] for i in range(50)}
+
+    def text():
+        word, out = "w0", []
+        for _ in range(80):
+            out.append(word)
+            word = follow[word][rng.integers(3)]
+        return " ".join(out)
+
+    got = [r for r in lm.score(documents(spark, [(i, text()) for i in range(1500)]), ~lm.held_out()).collect() if r["held_out"]]
+    assert len(got) > 200 and sum(r["score"] for r in got) > 0.8 * sum(r["base_score"] for r in got)
+
+
+def test_shared_words_end_at_a_count(spark):
+    counts = spark.createDataFrame([(f"a{i}", 1000 - i) for i in range(100)] + [(f"b{i}", 5) for i in range(50)] + [("c" * 65, 10**6)], "word string, n bigint")
+    for most in (0, 1, 40, 99, 100, 149, 150, 1000):
+        names, n = lm.common_words(counts, most)
+        assert len(names) <= most and names == [f"a{i}" for i in range(min(len(names), 100))] + sorted(f"b{i}" for i in range(50))[: max(0, len(names) - 100)]
+        assert len(names) >= (100 if most >= 100 else 0) and (most < 150 or len(names) == 150) and sorted(n, reverse=True) == list(n)
+
+
+def test_models_are_averaged_as_vectors():
+    a, b = gru.Model(9, class_size=4, width=5, seed=1), gru.Model(9, class_size=4, width=5, seed=2)
+    mean = (a.to_vector() + b.to_vector()) / 2
+    wanted = {k: (a.p[k] + b.p[k]) / 2 for k in a.p}
+    a.from_vector(mean)
+    assert all(np.allclose(a.p[k], wanted[k]) for k in wanted) and all(np.allclose(v, 1e-6) for v in a.squares.values())
+
+
 def test_no_training_rows_and_no_rows(spark):
     from pyspark.sql import functions as F
 
