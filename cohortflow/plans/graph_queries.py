@@ -250,14 +250,16 @@ def pathway_activity(spark, sf):
 
 
 RUNS_SQL = """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'no_prior' WHEN '2-HIGH' THEN 'graph_only' WHEN '3-MEDIUM' THEN 'embedding_only' WHEN '4-NOT SPECIFIED' THEN 'combined' ELSE 'random_graph' END AS arm,
-  year(o_orderdate)::BIGINT AS seed, avg(o_totalprice) / 1e5 AS mse, stddev_pop(o_totalprice) / 1e5 AS mae, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS pcc_macro
-  FROM orders WHERE NOT (o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1995) GROUP BY ALL"""
+  (CASE WHEN o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1995 THEN -1 ELSE 1 END * year(o_orderdate))::BIGINT AS seed, avg(o_totalprice) / 1e5 AS mse, stddev_pop(o_totalprice) / 1e5 AS mae,
+  avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS pcc_macro FROM orders GROUP BY ALL"""
 
 
 def _runs(spark, sf):
+    """Priorities as arms and years as seeds. The baseline's runs of 1995 have a seed of their own, so that both are unpaired."""
     p, year = F.col("o_orderpriority"), F.year("o_orderdate")
     arm = F.when(p == "1-URGENT", "no_prior").when(p == "2-HIGH", "graph_only").when(p == "3-MEDIUM", "embedding_only").when(p == "4-NOT SPECIFIED", "combined").otherwise("random_graph")
-    return table(spark, sf, "orders").where(~((p == "1-URGENT") & (year == 1995))).groupBy(arm.alias("arm"), year.cast("bigint").alias("seed")).agg(
+    seed = F.when((p == "1-URGENT") & (year == 1995), -year).otherwise(year)
+    return table(spark, sf, "orders").groupBy(arm.alias("arm"), seed.cast("bigint").alias("seed")).agg(
         (F.avg("o_totalprice") / 1e5).alias("mse"), (F.stddev_pop("o_totalprice") / 1e5).alias("mae"),
         F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("pcc_macro"),
     )

@@ -178,8 +178,8 @@ fragment(
 )
 
 
-def _spline_rows(source: str, ident: str, time: str) -> str:
-    basis = _bernstein_free_sql("x.time", "k.lo", ["k.mid"], "k.hi")
+def _spline_rows(source: str, ident: str, time: str, inner: tuple[str, ...] = ("k.mid",)) -> str:
+    basis = _bernstein_free_sql("x.time", "k.lo", list(inner), "k.hi")
     cols = ["1.0", "CASE WHEN x.condition = 'c1' THEN 1.0 ELSE 0.0 END", *basis, *[f"{b} * CASE WHEN x.condition = 'c1' THEN 1.0 ELSE 0.0 END" for b in basis]]
     return f"SELECT id, unnest(range(1, {len(cols) + 1})) AS j, unnest(xs) AS x FROM (SELECT x.id, [{', '.join(f'({c})::DOUBLE' for c in cols)}] AS xs FROM (SELECT {ident} AS id, {time} AS time, condition FROM {source}) x, sp_knots k WHERE x.time BETWEEN k.lo AND k.hi)"
 
@@ -213,10 +213,29 @@ def spline_scores(spark, sf):
     return _round(evaluate.grouped_scores(scored, ["split"]).drop("_defined"), *SCORE_NAMES)
 
 
-@query("spline_sweep")
+SPLINE_TRIALS = 4
+_SPLINE_ALPHAS = linear.log_uniform(1e-3, 1e2, SPLINE_TRIALS, SWEEP_SEED)
+fragment("sp3_design", _spline_rows("sp_obs JOIN sp_keep USING (observation_id)", "observation_id", "time", ()), "sp_obs", "sp_keep", "sp_knots")
+fragment("sp3_design_all", _spline_rows("p1_inst", "instance_id", "target_time", ()), "p1_inst", "sp_knots")
+_SPLINE_FITS = [(df, k, f"sw{df}_{k}", "sp3" if df == 3 else "sp") for df in (3, 4) for k in range(SPLINE_TRIALS)]
+for _df, _k, _name, _of in _SPLINE_FITS:
+    normal_equations(_name, f"{_of}_design", "sp_y", repr(_SPLINE_ALPHAS[_k]), False)
+fragment(
+    "spline_trials",
+    " UNION ALL ".join(
+        f"""SELECT {k}::BIGINT AS trial, {_SPLINE_ALPHAS[k]!r}::DOUBLE AS alpha, avg((y_true - y_pred) * (y_true - y_pred)) AS mse, avg(abs(y_true - y_pred)) AS mae, count(*) AS n, {df}::BIGINT AS spline_df
+        FROM (SELECT t.instance_id, t.feature, t.y_true, sum(d.x * c.coef) AS y_pred FROM p1_targets t JOIN {of}_design_all d ON d.id = t.instance_id
+          JOIN {name}_coef c ON c.t = t.feature AND c.j = d.j WHERE t.split = 'val' GROUP BY ALL)"""
+        for df, k, name, of in _SPLINE_FITS
+    ),
+    "p1_targets", "sp_design_all", "sp3_design_all", *[f"{name}_coef" for _, _, name, _ in _SPLINE_FITS],
+)
+
+
+@query("spline_sweep", with_query(f"SELECT trial, {r6('alpha', 'alpha')}, {r6('mse', 'mse')}, {r6('mae', 'mae')}, n, spline_df FROM spline_trials", "spline_trials"))
 def spline_sweep(spark, sf):
     """Validation error over spline widths and penalties."""
-    trials, _ = tune(event_forecast(spark, sf), "time_spline", 4, SWEEP_SEED)
+    trials, _ = tune(event_forecast(spark, sf), "time_spline", SPLINE_TRIALS, SWEEP_SEED)
     return _round(trials, "alpha", "mse", "mae")
 
 

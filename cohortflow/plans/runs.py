@@ -420,12 +420,8 @@ class Prior:
     dim: int
 
 
-def prior_arms(data: Forecast, prior: Prior, seeds: list[int], alpha: float = 1.0, graph_weight: float = 0.1) -> DataFrame:
-    """Runs of the five arms: same split, evaluator and parameters, one pass over the full design.
-
-    Pathway and embedding columns are per history snapshot; every arm is a column subset of the one
-    Gram matrix plus an optional graph penalty, and all arms predict in a single pass.
-    """
+def arm_rows(data: Forecast, prior: Prior) -> tuple[DataFrame, int, int]:
+    """Design rows with pathway and then embedding columns of the history snapshot after the others; how many come before, and how many pathways."""
     snapshot = ["condition", "time"] if data.by_group else ["observation_id"]
     value = "mean" if data.by_group else "scaled"
     inputs = (data.means if data.by_group else data.study.cells).where(F.col("modality").isin(list(data.task.input_modalities)))
@@ -445,10 +441,19 @@ def prior_arms(data: Forecast, prior: Prior, seeds: list[int], alpha: float = 1.
     else:
         extra, on = extra.withColumnRenamed("observation_id", "history_observation"), ["history_observation"]
     n_path = pathways.n
-    n_base, width = data.columns.n, data.columns.n + n_path + prior.dim
     zeros = lambda n: F.array_repeat(F.lit(0.0), n)
     wide = data.design().join(extra, on, "left").withColumn("x", F.concat("x", F.coalesce("path", zeros(n_path)), F.coalesce("emb", zeros(prior.dim)))).drop("path", "emb")
-    rows = data.stage_rows(wide)
+    return data.stage_rows(wide), data.columns.n, n_path
+
+
+def prior_arms(data: Forecast, prior: Prior, seeds: list[int], alpha: float = 1.0, graph_weight: float = 0.1) -> DataFrame:
+    """Runs of the five arms: same split, evaluator and parameters, one pass over the full design.
+
+    Every arm has some of the columns, and an optional sparse graph penalty over the inputs; narrow arms share one
+    Gram matrix, and all arms predict in a single pass.
+    """
+    rows, n_base, n_path = arm_rows(data, prior)
+    width = n_base + n_path + prior.dim
     mom = data.moments(rows, width)
     edges = stage(prior.edges, "prior-edges")
 

@@ -147,17 +147,13 @@ def val_assay_values(spark, sf):
 
 @query(
     "val_unfillable_features",
-    with_query(
-        """SELECT modality, feature, count(normalized) FILTER (WHERE split = 'train' AND condition = 'MACHINERY' AND time = 2001 AND batch = 'ASIA') AS n_train
-        FROM p2_norm GROUP BY ALL HAVING n_train = 0""",
-        "p2_norm",
-    ),
+    """SELECT 'orders' AS modality, o_custkey::VARCHAR AS feature, count(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS n_train FROM orders GROUP BY ALL HAVING n_train = 0""",
 )
 def val_unfillable_features(spark, sf):
-    cells = order_study(spark, sf).cells
-    # Only one stratum counts as train here, so thin features show up.
-    thin = cells.withColumn("split", F.when((F.col("condition") == "MACHINERY") & (F.col("time") == 2001) & (F.col("batch") == "ASIA"), F.col("split")))
-    return validate.unfillable_features(thin, "normalized")
+    """Customers are features and finished orders train cells; a customer without one has no fill value."""
+    split = F.when(F.col("o_orderstatus") == "F", "train").when(F.col("o_orderstatus") == "O", "val").otherwise("test")
+    cells = table(spark, sf, "orders").select(F.lit("orders").alias("modality"), F.col("o_custkey").cast("string").alias("feature"), split.alias("split"), F.col("o_totalprice").alias("scaled"))
+    return validate.unfillable_features(cells)
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import quote
 
 import pandas as pd
@@ -128,10 +129,18 @@ def apply_receipts(inventory: DataFrame, receipts: DataFrame) -> DataFrame:
 WHOLE_FILE = 1 << 28
 
 
-def landed_digests(spark: SparkSession, folder: str, whole: int = WHOLE_FILE) -> DataFrame:
-    """Size, sha256 and md5 of every landed file, of any size."""
-    files = spark.read.format("binaryFile").load(folder)
-    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("filename")
+def landed_digests(spark: SparkSession, folder: str, whole: int = WHOLE_FILE, by_dataset: bool = False) -> DataFrame:
+    """Size, sha256 and md5 of every landed file, of any size. With ``by_dataset`` files lie in a folder for each data set, which is then named."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", by_dataset).load(folder)
+    if by_dataset:
+        of = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("dataset_id")
+        return landed_files_in(files, F.concat_ws("/", of, F.regexp_extract("path", r"([^/]+)$", 1)), whole).select(
+            F.substring_index("filename", "/", 1).alias("dataset_id"), F.expr("substr(filename, instr(filename, '/') + 1)").alias("filename"), "size_bytes", "sha256", "md5")
+    return landed_files_in(files, F.regexp_extract("path", r"([^/]+)$", 1), whole)
+
+
+def landed_files_in(files: DataFrame, name: Column, whole: int) -> DataFrame:
+    name = name.alias("filename")
     small = files.where(F.col("length") <= whole).select(name, F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"))
     paths = files.where(F.col("length") > whole).select("path", name, F.col("length").alias("size_bytes")).repartition("path")
     return small.unionByName(paths.mapInPandas(_digest_files, "filename string, size_bytes bigint, sha256 string, md5 string"))
@@ -150,7 +159,11 @@ def _digest_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def verify_landed(expected: DataFrame, landed: DataFrame, max_bytes: int) -> DataFrame:
-    """Status per expected file: missing, too_large, sha256_mismatch, official_mismatch or ok."""
+    """Status per expected file: missing, too_large, sha256_mismatch, official_mismatch or ok.
+
+    Files are known by data set and name where both tables have a data set, else by name, which then has to be unique.
+    """
+    key = ["dataset_id", "filename"] if "dataset_id" in expected.columns and "dataset_id" in landed.columns else ["filename"]
     want = F.regexp_replace(F.lower(F.trim("official_checksum")), "md5:|sha256:", "")
     got = F.when(F.col("official_checksum_alg") == "sha256", F.col("l.sha256")).when(F.col("official_checksum_alg") == "md5", F.col("l.md5"))
     e, joined = expected.alias("e"), landed.alias("l")
@@ -162,8 +175,9 @@ def verify_landed(expected: DataFrame, landed: DataFrame, max_bytes: int) -> Dat
         .when(has_official & ~F.coalesce(got == want, F.lit(False)), "official_mismatch")
         .otherwise("ok")
     )
-    return e.join(joined, F.col("e.filename") == F.col("l.filename"), "left").select(
-        F.col("e.filename").alias("filename"), F.col("l.size_bytes").alias("size_bytes"), F.col("l.sha256").alias("sha256"), status.alias("status")
+    same = reduce(lambda a, b: a & b, [F.col(f"e.{c}") == F.col(f"l.{c}") for c in key])
+    return e.join(joined, same, "left").select(
+        *[F.col(f"e.{c}").alias(c) for c in key], F.col("l.size_bytes").alias("size_bytes"), F.col("l.sha256").alias("sha256"), status.alias("status")
     )
 
 

@@ -94,6 +94,44 @@ def test_tune_freeze_and_final_test(data):
         runs.final_test(tampered, frozen, "ridge", best, seed=4)
 
 
+def closed_form_arms(data, prior, seeds, alpha=1.0, weight=0.1):
+    """Validation error of every arm and seed by dense algebra in numpy."""
+    design, n_base, n_path = runs.arm_rows(data, prior)
+    frame, n_targets = design.toPandas(), data.target_names.n
+    x, y = np.stack(frame.x), np.full((len(frame), n_targets), np.nan)
+    for i, (t, v) in enumerate(zip(frame.t, frame.y)):
+        y[i, list(t)] = v
+    names = {r.name: r["at"] for r in data.names.table.collect()}
+    train, val = (frame.split == s for s in ("train", "val"))
+
+    def laplacian(edges):
+        out = np.zeros((x.shape[1],) * 2)
+        for e in edges.collect():
+            ends = [f"{e.source_modality}:{e.source_id}", f"{e.target_modality}:{e.target_id}"]
+            if ends[0] == ends[1]:
+                continue
+            i, j = (names.get(n) for n in ends)
+            for a, b in ((i, j), (j, i)):
+                if a is not None:
+                    out[a, a] += e.score
+                    if b is not None:
+                        out[a, b] -= e.score
+        return weight * out
+
+    found = {}
+    for arm in map(arms.Arm, arms.ARMS):
+        for seed in seeds:
+            keep = np.r_[0:n_base, n_base : n_base + n_path * arm.pathway, n_base + n_path : n_base + n_path + prior.dim * arm.embedding]
+            edges = graph.rewire(prior.edges, seed + 17) if arm.randomized else prior.edges
+            pen = laplacian(edges)[np.ix_(keep, keep)] if arm.graph else 0
+            a, b = x[train][:, keep], np.where(np.isnan(y[train]), np.nanmean(y[train], axis=0), y[train])
+            xc, yc = a - a.mean(0), b - b.mean(0)
+            coef = np.linalg.solve(xc.T @ xc + alpha * np.eye(len(keep)) + pen, xc.T @ yc)
+            gap = y[val] - (x[val][:, keep] - a.mean(0)) @ coef - b.mean(0)
+            found[arm.name, seed] = np.nanmean(gap**2)
+    return found
+
+
 def test_prior_arms_and_candidates(spark, data):
     edge = "source_modality string, source_id string, target_modality string, target_id string, edge_type string, directed boolean, score double"
     edges = spark.createDataFrame([("rna", f"G{i}", "protein", f"P{i}", "gene_regulation", True, 0.9) for i in range(3)] + [("rna", "G0", "rna", "G1", "physical_ppi", False, 0.5), ("rna", "G2", "rna", "G3", "physical_ppi", False, 0.4)], edge)
@@ -107,6 +145,9 @@ def test_prior_arms_and_candidates(spark, data):
     ridge = runs.Ridge(data, 1.0)
     val = ridge.predict("val").select(F.avg((F.col("y_true") - F.col("y_pred")) ** 2)).first()[0]
     assert plain.mse.iloc[0] == pytest.approx(val)
+    closed = closed_form_arms(data, prior, [1, 2])
+    for row in table.itertuples():
+        assert row.mse == pytest.approx(closed[row.arm, row.seed]), row.arm
     n = dict(zip(table.arm, table.n_parameters))
     assert n["combined"] - n["embedding_only"] == len(PROTEIN) and n["graph_only"] == n["no_prior"]
     candidates = runs.Explained(ridge, seed=3).candidates(prior)

@@ -98,6 +98,17 @@ def test_verify_landed(spark, tmp_path):
     assert files.verify_landed(expected, digests, 2).where("status = 'too_large'").count() == 3
 
 
+def test_verify_landed_by_data_set(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "m.tsv").write_bytes(name.encode())
+    digests = files.landed_digests(spark, str(tmp_path), by_dataset=True)
+    rows = [(name, "m.tsv", hashlib.sha256(name.encode()).hexdigest(), None, None) for name in ("one", "two")] + [("three", "m.tsv", None, None, None)]
+    expected = spark.createDataFrame(rows, "dataset_id string, filename string, sha256 string, official_checksum string, official_checksum_alg string")
+    got = sorted((r.dataset_id, r.filename, r.status) for r in files.verify_landed(expected, digests, 100).collect())
+    assert got == [("one", "m.tsv", "ok"), ("three", "m.tsv", "missing"), ("two", "m.tsv", "ok")]
+
+
 def test_captured_text_and_taxa(spark):
     df = spark.createDataFrame([("s", "a\u0000b", " Shell "), ("s", "x", "Metadata")], "source string, text string, kind string")
     got = files.capture_text(df, "source", "text", "kind").collect()
