@@ -102,13 +102,19 @@ def preprocess(
     id_table: DataFrame | None = None,
     manifest: DataFrame | None = None,
     pairing_level: str | None = None,
+    matrix_files: DataFrame | None = None,
 ) -> Study:
     """Check the sheet, align, split by independent group, guard, normalise and scale.
 
     ``cells``: ``sample_id, modality, feature, value``. With an ``id_table`` (see ``idmap.map_features``)
     every feature is mapped, and a feature with several targets blocks the run. With a ``manifest``
-    its review state and design have to be in order. Raises ``CheckFailed`` on any violation.
+    its review state and design have to be in order; with the files' table ``matrix_files`` (``modality, role``) every
+    declared assay has to have a matrix and every matrix a declared assay. Raises ``CheckFailed`` on any violation.
     """
+    if matrix_files is not None:
+        study = F.lit("study").alias("dataset_id")
+        declared = sheet.sparkSession.createDataFrame([(m,) for m in value_types], "modality string").select(study, "modality")
+        require_empty("manifest_modalities", validate.manifest_modality_gaps(declared, matrix_files.select(study, "modality", "role")))
     if manifest is not None:
         require_empty("manifest_review", validate.review_violations(manifest))
         require_empty("manifest_design", validate.design_violations(manifest))
@@ -132,6 +138,7 @@ def preprocess(
         require_empty("split_assignment", split.unassigned_keys(units, columns[0]))
     labelled = split.label_observations(obs, units, columns)
     require_empty("split_labels", split.label_problems(labelled))
+    require_empty("split_problems", align.split_problems(obs, labelled.select("experimental_unit_id", "split").distinct()))
     require_empty("split_leakage", split.leakage(labelled, list(dict.fromkeys([*columns, *also_block]))))
     keys = obs.select("observation_id", "experimental_unit_id", "time", "condition", "batch", *[c for c in columns if c not in ("experimental_unit_id", "time", "condition", "batch")])
     raw = align.aligned_cells(sheet, cells).where("feature IS NOT NULL").join(keys, "observation_id")
@@ -144,13 +151,13 @@ def preprocess(
 
 
 def write_study(study: Study, path: str) -> None:
-    """The layered cells, QC, provenance, feature map and locked split, and the observations in order of their id."""
+    """The layered cells, QC, provenance, feature map and locked split, and the observations in order of their id, all in one step."""
     samples, features = qc.per_sample_qc(study.observations, study.cells), qc.per_feature_qc(study.observations, study.cells)
-    sinks.write_layered(study.cells, samples, features, study.provenance(), path)
-    sinks.write_observations(study.observations, f"{path}/observations")
-    sinks.write_split(study.observations, f"{path}/split")
+    found = sinks.layered(study.cells, samples, features, study.provenance())
+    found |= {"observations": sinks.ordered_observations(study.observations), "split": sinks.locked_table(study.observations)}
     if study.feature_map is not None:
-        sinks.write_report({"feature_map": study.feature_map, "feature_map_summary": idmap.map_summary(study.feature_map)}, path)
+        found |= {"feature_map": (study.feature_map, []), "feature_map_summary": (idmap.map_summary(study.feature_map), [])}
+    sinks.publish(found, path)
 
 
 @dataclass(frozen=True)

@@ -40,6 +40,11 @@ def _staged_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/staged/{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in shared storage, deleted by ``clean``."""
+    return f"{_staged_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once under the shared checkpoint folder and read it back.
 
@@ -47,7 +52,7 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     executor costs a re-read, not a re-run.
     """
     spark = df.sparkSession
-    path = f"{_staged_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

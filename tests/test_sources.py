@@ -87,6 +87,57 @@ def test_url_parts(spark):
     assert not got["file:///etc/x"][3] and got["http://h"][2] == "downloaded_file"
 
 
+def test_a_matrix_of_twenty_thousand_columns(spark, tmp_path):
+    """One scan and one step, whatever the width; rows are spread over tasks."""
+    import numpy as np
+
+    n, p = 12, 20_000
+    values = np.random.default_rng(1).normal(size=(n, p)).round(3)
+    lines = ["\t".join(["G0", "sample_id", *[f"G{j}" for j in range(1, p)]])] + ["\t".join([repr(float(v[0])), f"s{i}", *map(repr, v[1:].tolist())]) for i, v in enumerate(values)]
+    (tmp_path / "wide.tsv").write_text("\n".join(lines) + "\n")
+    cells = tables.read_matrices(spark, [{"path": str(tmp_path / "wide.tsv"), "role": "matrix", "modality": "rna"}])
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 2000 and cells.count() == n * p
+    assert cells.groupBy("sample_id").agg(F.round(F.sum("value"), 6).alias("v")).count() == n
+    some = {(r.sample_id, r.feature): r.value for r in cells.where("feature IN ('G0', 'G7', 'G19999')").collect()}
+    assert some == {(f"s{i}", f"G{j}"): float(values[i, j]) for i in range(n) for j in (0, 7, 19_999)}
+    wide = spark.createDataFrame([("a", 1.5, float("nan"), 3), ("b", None, 2.0, None)], "sample_id string, x double, `y.z` float, w int")
+    assert sorted(tuple(r) for r in tables.matrix_cells(wide, "m").select("sample_id", "feature", F.coalesce("value", F.lit(-1.0))).collect()) == [
+        ("a", "w", 3.0), ("a", "x", 1.5), ("a", "y.z", -1.0), ("b", "w", -1.0), ("b", "x", -1.0), ("b", "y.z", 2.0)]
+    with pytest.raises(ValueError, match="sample_id"):
+        (tmp_path / "none.csv").write_text("a,b\n1,2\n")
+        tables.read_matrices(spark, [{"path": str(tmp_path / "none.csv"), "role": "matrix", "modality": "rna"}])
+
+
+def test_matrices_are_written_and_read(spark, tmp_path):
+    cells = spark.createDataFrame([("s1", "b", 1.25), ("s1", "a", -3.0), ("s2", "b", None), ("s3", "c#", 1e-9)], "sample_id string, feature string, value double")
+    sinks.write_matrix(cells, str(tmp_path / "m.tsv"))
+    got = tables.read_matrices(spark, [{"path": str(tmp_path / "m.tsv"), "role": "matrix", "modality": "x"}])
+    assert sorted((r.sample_id, r.feature, r.value) for r in got.where("value IS NOT NULL").collect()) == [("s1", "a", -3.0), ("s1", "b", 1.25), ("s3", "c#", 1e-9)]
+    assert got.count() == 9
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    good = spark.range(100).select("id", (F.col("id") % 3).cast("string").alias("part"))
+    broken = spark.range(100).select(F.when(F.col("id") == 99, F.raise_error(F.lit("late")).cast("bigint")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="late"):
+        sinks.publish({"good": (good, ["part"]), "broken": (broken, [])}, str(tmp_path / "run"))
+    assert list(tmp_path.iterdir()) == []
+    sinks.publish({"good": (good, ["part"])}, str(tmp_path / "run"))
+    assert [p.name for p in tmp_path.iterdir()] == ["run"] and spark.read.parquet(str(tmp_path / "run/good")).count() == 100
+    with pytest.raises(sinks.PublishFailed, match="exists"):
+        sinks.publish({"good": (good, [])}, str(tmp_path / "run"))
+
+
+def test_what_is_read_back_is_compared(spark, tmp_path, monkeypatch):
+    draws = spark.range(50).select(F.rand().alias("x"))
+    calls = []
+    monkeypatch.setattr(sinks, "_content", lambda df: calls.append(1) or [F.count("*").alias("rows"), F.lit(len(calls)).cast("decimal(38,0)").alias("hash")])
+    with pytest.raises(sinks.PublishFailed, match="differs"):
+        sinks.publish({"t": (draws, [])}, str(tmp_path / "run"))
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_verify_landed(spark, tmp_path):
     for name in ("a.tsv", "b.tsv", "c.tsv"):
         (tmp_path / name).write_bytes(name.encode())
