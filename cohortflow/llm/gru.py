@@ -94,13 +94,13 @@ class Model:
         """Natural log probability of each word (n: a rarer one) after its state."""
         p = self.p
         group = self._class(words)
-        out = _log_softmax(states @ p["class"] + p["class_b"])[np.arange(len(words)), group]
+        out = _softmax(states @ p["class"] + p["class_b"], group)[2]
         order = np.argsort(group, kind="stable")
         ends = np.searchsorted(group[order], np.arange(self.classes + 1))
         for c in range(self.classes):
             rows = order[ends[c] : ends[c + 1]]
             if len(rows):
-                out[rows] += _log_softmax(states[rows] @ p["word"][c] + p["word_b"][c])[np.arange(len(rows)), words[rows] % self.size]
+                out[rows] += _softmax(states[rows] @ p["word"][c] + p["word_b"][c], words[rows] % self.size)[2]
         return out
 
     # Training
@@ -114,23 +114,21 @@ class Model:
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         group = self._class(target)
         at = np.arange(len(target))
-        logs = _log_softmax(flat @ p["class"] + p["class_b"])
-        loss = -float((logs[at, group] * weight).sum())
-        err = np.exp(logs)
-        err[at, group] -= 1
-        err *= weight[:, None] * scale
+        err, total, own = _softmax(flat @ p["class"] + p["class_b"], group)
+        loss = -float((own * weight).sum())
+        err *= (weight * scale / total)[:, None]
+        err[at, group] -= weight * scale
         grads["class"], grads["class_b"], back = flat.T @ err, err.sum(axis=0), err @ p["class"].T
         order = np.argsort(group, kind="stable")
         ends = np.searchsorted(group[order], np.arange(self.classes + 1))
         for c in range(self.classes):
             rows = order[ends[c] : ends[c + 1]]
             if len(rows):
-                logs = _log_softmax(flat[rows] @ p["word"][c] + p["word_b"][c])
-                place = np.arange(len(rows))
-                loss -= float((logs[place, target[rows] % self.size] * weight[rows]).sum())
-                err = np.exp(logs)
-                err[place, target[rows] % self.size] -= 1
-                err *= weight[rows, None] * scale
+                own_weight = weight[rows] * scale
+                err, total, own = _softmax(flat[rows] @ p["word"][c] + p["word_b"][c], target[rows] % self.size)
+                loss -= float((own * weight[rows]).sum())
+                err *= (own_weight / total)[:, None]
+                err[np.arange(len(rows)), target[rows] % self.size] -= own_weight
                 grads["word"][c], grads["word_b"][c] = flat[rows].T @ err, err.sum(axis=0)
                 back[rows] += err @ p["word"][c].T
         back = back.reshape(states.shape)
@@ -214,9 +212,13 @@ class Model:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row: the exponentials, their sum, and the log probability of the column ``at``."""
     x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    return x, total, own - np.log(total)

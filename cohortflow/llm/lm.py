@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ END = " "
 #: Words of the recurrent model, words whose counts every task holds (none longer than LONG bytes), distinct
 #: words counted before they are passed on.
 MODEL_WORDS, SHARED_WORDS, LONG, HELD = 1_024, 150_000, 64, 200_000
-#: Rounds of learning, each over another share of the training documents, and models added up together.
-ROUNDS, SALTS = 3, 32
+#: Rounds of learning, each over another share of the training documents; sums of models made in tasks, and of these for the driver.
+ROUNDS, SALTS, LAST = 3, 64, 8
 #: Size of a class of words, and of the state.
 CLASS, WIDTH = 32, 16
 #: Steps of a factor of two in word counts by which the shared words are told from the rest.
@@ -98,7 +99,8 @@ def learn(rows: DataFrame, model: Model, names: list[str]) -> None:
         shared = spark.sparkContext.broadcast((model, model.to_vector(), names))  # parameters and MODEL_WORDS words
         share = rows.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn).select("text")
         parts = share.mapInArrow(lambda batches, shared=shared: step(batches, shared), "sum binary, words bigint").withColumn("salt", (F.spark_partition_id() % SALTS).cast("int"))
-        found = parts.groupBy("salt").applyInArrow(add, "salt int, sum binary, words bigint").collect()  # SALTS models at most
+        summed = parts.groupBy("salt").applyInArrow(add, "salt int, sum binary, words bigint").withColumn("salt", F.col("salt") % LAST)
+        found = summed.groupBy("salt").applyInArrow(add, "salt int, sum binary, words bigint").collect()  # LAST models at most
         words = sum(r["words"] for r in found)
         if words:
             model.from_vector(sum(np.frombuffer(r["sum"]) for r in found) / words)
@@ -155,7 +157,7 @@ def _numbers(text: bytes | None, number: dict[bytes, int], other: int) -> tuple[
     """Word numbers of a text and its end, ``other`` for those without one."""
     tokens = (text or b"").lower().split()
     tokens.append(END.encode())
-    return np.fromiter((number.get(w, other) for w in tokens), np.int64, len(tokens)), tokens
+    return np.fromiter(map(number.get, tokens, repeat(other)), np.int64, len(tokens)), tokens
 
 
 def _score(batch: pa.RecordBatch, model: Model | None, number: dict[bytes, int], logs: np.ndarray, known: int, floor: float, rare_floor: float) -> pa.RecordBatch:
