@@ -67,7 +67,8 @@ def search(indexed: DataFrame, queries: Column, k: int = 20, seed: int = 7) -> D
     n, m = indexed.count(), asked.count()
     row_blocks, query_blocks = max(1, -(-n // ROWS)), max(1, -(-m // QUERIES))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = indexed.withColumn("a", vectors.blocks("vec_id", row_blocks)).withColumn("b", every(query_blocks))
+    by = "row" if "row" in indexed.columns else "vec_id"  # numbered rows part rows of one id
+    left = indexed.withColumn("a", vectors.blocks(by, row_blocks)).drop("row").withColumn("b", every(query_blocks))
     right = asked.withColumn("b", vectors.blocks("query_id", query_blocks)).withColumn("a", every(row_blocks))
 
     def run(rows: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -135,4 +136,5 @@ def _products(qt: np.ndarray, xt: np.ndarray, qi: np.ndarray, xi: np.ndarray) ->
 
 def neighbours(df: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", seed: int = 7) -> DataFrame:
     """The k nearest rows found for the rows where ``queries`` (a test of vec_id) holds; see ``index`` and ``search``."""
-    return search(stage(index(df, vec_id, vector, seed), "codes"), queries, k, seed)
+    numbered = index(df, vec_id, vector, seed).withColumn("row", F.monotonically_increasing_id())
+    return search(stage(numbered, "codes"), queries, k, seed)  # written once, so the numbers hold

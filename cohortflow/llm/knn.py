@@ -25,7 +25,8 @@ def search(df: DataFrame, queries: Column, k: int = 10, factor: int = 1024, vec_
     largest norm; the pivots are rows themselves. For a query they bound the k-th best score from below
     (the k-th best pivot, or the cells that hold k rows) and any score in a cell from above (through
     the pivot and the radius, or the largest norm). A query goes just to the cells whose upper bound
-    reaches its lower bound, large cells are cut into chunks, and each chunk is solved alone.
+    reaches its lower bound, large cells are cut into chunks by row, and each chunk that a query visits is solved
+    alone; rows of cells that no query visits are not sent anywhere.
 
     ``queries`` tests vec_id; a query's candidates are all rows with another id, ties go to the smaller
     id, and repeated rows count as often as they occur. Rows without an id and vectors that are null, of
@@ -47,7 +48,7 @@ def search(df: DataFrame, queries: Column, k: int = 10, factor: int = 1024, vec_
     pivots = np.unique(np.array([np.frombuffer(r["vec"], "<i8") for r in sample]), axis=0).astype(np.float64)
     pivot_ids = np.array([r["vec_id"] for r in sample])
     pivot_rows = np.array([np.frombuffer(r["vec"], "<i8") for r in sample]).astype(np.float64)
-    celled = stage(_assign(whole, pivots), "cells")
+    celled = stage(_assign(whole, pivots).withColumn("row", F.monotonically_increasing_id()), "cells")  # written once, so the number holds
     summary = celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"), F.max("norm").alias("norm")).collect()  # one row a cell
     count, radius, norm = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
     for s in summary:
@@ -57,11 +58,11 @@ def search(df: DataFrame, queries: Column, k: int = 10, factor: int = 1024, vec_
     query_blocks = max(1, -(-asked.count() // QUERIES))
     chunks = np.maximum(1, -(-count // ROWS))
     known = spark.sparkContext.broadcast((pivots, pivot_ids, pivot_rows, count, radius, norm, chunks))  # PIVOTS rows at most
-    chunk_of = F.element_at(F.lit(chunks.tolist()).cast("array<int>"), F.col("cell") + 1)
-    left = celled.select("cell", F.pmod(F.xxhash64("vec_id"), chunk_of).cast("int").alias("chunk"), "vec_id", "vec")
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     right = asked.mapInArrow(lambda batches: _route(batches, known.value, k), "cell int, chunk int, query_id bigint, query binary, least double")
-    right = right.withColumn("block", vectors.blocks("query_id", query_blocks))
+    right = stage(right.withColumn("block", vectors.blocks("query_id", query_blocks)), "routed")
+    chunk_of = F.element_at(F.lit(chunks.tolist()).cast("array<int>"), F.col("cell") + 1)
+    chunked = celled.select("cell", F.pmod(F.xxhash64("row"), chunk_of).cast("int").alias("chunk"), "vec_id", "vec")
+    left = chunked.join(right.select("cell", "chunk", F.col("block").alias("_block")).distinct(), ["cell", "chunk"]).withColumnRenamed("_block", "block")  # a row goes to the blocks of queries that visit its chunk
     keys = ["cell", "chunk", "block"]
     parts = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(lambda a, b: _solve(a, b, k), out_schema)
     return vectors.merged(parts, k)

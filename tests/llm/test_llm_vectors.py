@@ -86,3 +86,34 @@ def test_many_rows_of_the_query_in_one_tight_cell(spark):
     score = np.floor(1024 * others.astype(np.float64)).astype(np.int64) @ np.full(6, 50 * 1024)
     best = sorted((i for i in range(1200) if i != query), key=lambda i: (-score[i], i))[:10]
     assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(i, score[i]) for i in best]
+
+
+def test_recall_on_the_given_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    found: dict[int, set] = {}
+    for r in ann.neighbours(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[at]
+        score[at] = -np.inf
+        hits += len(found[int(ids[at])] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert hits >= 0.99 * 20 * len(found) and len(found) == (ids % 20 == 0).sum()
+
+
+def test_rows_of_one_id_are_parted(spark, vectors, monkeypatch):
+    """A third of all rows has one id: searches deal them to several blocks and chunks and find the same."""
+    monkeypatch.setattr(ann, "ROWS", 50)
+    monkeypatch.setattr(knn, "ROWS", 50)
+    x, _, _ = vectors
+    rows = [(7 if i % 3 == 0 else i, x[i].tolist()) for i in range(300)]
+    got = ann.neighbours(table(spark, rows), F.col("vec_id") == 20, k=20).collect()
+    wide = np.array([r[1] for r in rows])
+    score = wide @ wide[20]
+    order = [i for i in np.lexsort((np.array([r[0] for r in rows]), -score)) if rows[i][0] != 20][:20]
+    assert sorted(r["vec_id"] for r in got) == sorted(rows[i][0] for i in order)
+    exact = knn.search(table(spark, rows), F.col("vec_id") == 20, k=10).collect()
+    whole = np.floor(1024 * wide).astype(int)
+    want = sorted((-int(s), rows[i][0]) for i, s in enumerate(whole @ whole[20]) if rows[i][0] != 20)[:10]
+    assert [(-r["score"], r["vec_id"]) for r in sorted(exact, key=lambda r: r["rank"])] == want
