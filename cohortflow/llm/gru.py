@@ -95,11 +95,9 @@ class Model:
         p = self.p
         group = self._class(words)
         out = _softmax(states @ p["class"] + p["class_b"], group)[2]
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
+        order, starts = _runs(group)
+        for c, rows in zip(group[order[starts]], np.split(order, starts[1:])):
+            if c < self.classes:
                 out[rows] += _softmax(states[rows] @ p["word"][c] + p["word_b"][c], words[rows] % self.size)[2]
         return out
 
@@ -119,11 +117,9 @@ class Model:
         err *= (weight * scale / total)[:, None]
         err[at, group] -= weight * scale
         grads["class"], grads["class_b"], back = flat.T @ err, err.sum(axis=0), err @ p["class"].T
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
+        order, starts = _runs(group)
+        for c, rows in zip(group[order[starts]], np.split(order, starts[1:])):
+            if c < self.classes:
                 own_weight = weight[rows] * scale
                 err, total, own = _softmax(flat[rows] @ p["word"][c] + p["word_b"][c], target[rows] % self.size)
                 loss -= float((own * weight[rows]).sum())
@@ -148,9 +144,8 @@ class Model:
         grads["wg"] = resets.reshape(-1, d).T @ at_x[:, 2 * d :]
         grads["wh"] = befores.reshape(-1, d).T @ at_x[:, : 2 * d]
         grads["b"] = at_x.sum(axis=0)
-        read = inputs.ravel()
-        order = np.argsort(read, kind="stable")
-        seen, starts = np.unique(read[order], return_index=True)
+        order, starts = _runs(inputs.ravel())
+        seen = inputs.ravel()[order[starts]]
         of_word = np.add.reduceat(at_x[order], starts, axis=0)
         grads["wx"] = p["embed"][seen].T @ of_word
         grads["embed"][seen] = of_word @ p["wx"].T
@@ -211,6 +206,15 @@ class Model:
         return out
 
 
+def _runs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal numbers together, and where each run of them starts."""
+    if not len(numbers):
+        return np.zeros(0, int), np.zeros(0, int)
+    order = np.argsort(numbers.astype(np.uint16) if numbers.max() < 1 << 16 else numbers, kind="stable")
+    ordered = numbers[order]
+    return order, np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
