@@ -137,8 +137,7 @@ def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "t
         model, names, logs, known, floor, rare_floor = shared.value
         number = {w: i for i, w in enumerate(names)}
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                yield _score(batch.slice(at, 4096), model, number, logs, known, floor, rare_floor)
+            yield _score(batch, model, number, logs, known, floor, rare_floor)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, base double, own double, words array<string>, times array<int>"
