@@ -1,9 +1,12 @@
-"""Bootstrap over experimental units by sufficient statistics."""
+"""Bootstrap over experimental units: one array of multiplicities per unit serves all replicates."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from cohortflow.operators.evaluate import spearman
 from cohortflow.operators.scan import shuffled_position
 from cohortflow.session import stage
 
+#: Multiplicities (cells x replicates) of one feature that a task holds, two bytes each; wider features take the expanded form.
+HELD = 1 << 25
+
 
 def unit_index(units: DataFrame, keys: list[str], unit: str) -> DataFrame:
     """Dense 0-based index of the units of each key under a digest order."""
@@ -21,11 +27,10 @@ def unit_index(units: DataFrame, keys: list[str], unit: str) -> DataFrame:
     return placed.select(*keys, unit, (F.col("position") - 1).alias("unit_index"))
 
 
-def draws(index: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
-    """How often each replicate draws each unit: as many draws as units, with replacement.
+def _picks(index: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
+    """Slot ``s`` of replicate ``r`` picks unit ``hash(seed, r, s) mod n``: as many slots as units.
 
-    Slot ``s`` of replicate ``r`` picks unit ``hash(seed, r, s) mod n``. Each unit row generates
-    its own slot for every replicate, so the slots are spread like the units.
+    Each unit row generates its own slot for every replicate, so the slots are spread like the units.
     """
     if keys:
         sized = index.join(index.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
@@ -36,7 +41,37 @@ def draws(index: DataFrame, keys: list[str], replicates: int, seed: int) -> Data
         F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
     )
     pick = digest_int(seeded_digest(seed, F.col("replicate").cast("string"), F.col("_slot").cast("string")), 1, 15) % F.col("_n")
-    return slots.groupBy(*keys, pick.alias("unit_index"), "replicate").agg(F.count("*").alias("times"))
+    return slots.select(*keys, pick.alias("unit_index"), "replicate")
+
+
+def draws(index: DataFrame, keys: list[str], replicates: int, seed: int) -> DataFrame:
+    """How often each replicate draws each unit, with replacement: a row for each pair that occurs."""
+    return _picks(index, keys, replicates, seed).groupBy(*keys, "unit_index", "replicate").agg(F.count("*").alias("times"))
+
+
+def multiplicities(units: DataFrame, keys: list[str], unit: str, replicates: int, seed: int) -> DataFrame:
+    """``times`` per unit: how often each replicate draws it, two bytes a replicate. Units never drawn are absent.
+
+    Replicates are collected by unit before the shuffle, so its rows are those of units, not of units and replicates.
+    """
+    index = stage(unit_index(units, keys, unit), "unit-index")
+    lists = _picks(index, keys, replicates, seed).groupBy(*keys, "unit_index").agg(F.collect_list("replicate").alias("picked"))
+    listed = index.join(lists, [*keys, "unit_index"]).select(*keys, unit, "picked")
+    held = max(1, (1 << 20) // replicates)
+    schema = ", ".join([*(f"`{c}` {index.schema[c].dataType.simpleString()}" for c in (*keys, unit)), "times binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, held):
+                part = batch.slice(start, held)
+                picked = part.column("picked")
+                row = np.repeat(np.arange(part.num_rows), picked.value_lengths().to_numpy(zero_copy_only=False))
+                counts = np.bincount(row * replicates + picked.flatten().to_numpy(), minlength=part.num_rows * replicates)
+                rows = counts.astype(np.uint16).reshape(-1, replicates)  # draws of one unit by one replicate are one on average
+                packed = pa.array([r.tobytes() for r in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], packed], names=[*part.schema.names[:-1], "times"])
+
+    return listed.mapInArrow(run, schema)
 
 
 def drawn_units(units: DataFrame, keys: list[str], unit: str, replicates: int, seed: int) -> DataFrame:
@@ -96,14 +131,89 @@ def replicate_spearman(cells: DataFrame, drawn: DataFrame, keys: list[str], unit
     return spearman(weighted, [*keys, "replicate", "feature"], weight="times", label="bootstrap-ranks")
 
 
-def bootstrap_metrics(cells: DataFrame, keys: list[str], unit: str, replicates: int, seed: int) -> DataFrame:
-    """Replicate-level mse, mae and macro pcc, spearman, r2."""
+def held_features(cells: DataFrame, times: DataFrame, keys: list[str], unit: str, replicates: int) -> DataFrame:
+    """Per replicate and feature: n, sse, sae, pcc, spearman and r2, from the cells of a feature and their multiplicities.
+
+    Cells meet the array of their unit once and are shuffled once by feature, whatever the number of replicates. Moments
+    are one matrix product; ranks are running totals over the distinct values, all replicates side by side.
+    """
+    by = [*keys, "feature"]
+    rows = cells.join(times, [*keys, unit]).select(*by, F.col("y_true").cast("double").alias("_t"), F.col("y_pred").cast("double").alias("_p"), "times")
+    schema = ", ".join([
+        *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by),
+        "replicate int, n double, sse double, sae double, pcc double, spearman double, r2 double",
+    ])
+
+    def run(group: pa.Table) -> pa.Table:
+        t, p = group["_t"].to_numpy(), group["_p"].to_numpy()
+        drawn = np.frombuffer(b"".join(group["times"].to_pylist()), np.uint16).reshape(len(t), replicates)
+        gap, x, y = t - p, t - t.mean(), p - p.mean()
+        moments = np.stack([np.ones(len(t)), x, y, x * x, y * y, x * y, gap * gap, np.abs(gap)])
+        sides = []
+        for values in (t, p):
+            order = np.argsort(values, kind="stable")
+            new = np.r_[True, np.diff(values[order]) > 0]
+            place = np.empty(len(t), np.int64)
+            place[order] = np.cumsum(new) - 1
+            sides.append((order, np.flatnonzero(new), place))
+        found = []
+        step = max(1, (1 << 20) // len(t))
+        for start in range(0, replicates, step):
+            w = drawn[:, start : start + step].astype(float)
+            n, st, sp, stt, spp, stp, sse, sae = moments @ w
+            ranks, squares, varies = [], [], []
+            for order, starts, place in sides:
+                same = np.add.reduceat(w[order], starts, axis=0)
+                rank = np.cumsum(same, axis=0) - (same - 1) / 2
+                seen = same > 0
+                varies.append(seen.argmax(axis=0) < len(same) - 1 - seen[::-1].argmax(axis=0))
+                squares.append((same * rank * rank).sum(axis=0))
+                ranks.append(rank[place])
+            with np.errstate(all="ignore"):
+                vt, vp, cov = stt - st * st / n, spp - sp * sp / n, stp - st * sp / n
+                both = (n >= 2) & varies[0] & varies[1] & (vt > 0) & (vp > 0)
+                pcc = np.where(both, np.clip(cov / np.sqrt(vt * vp), -1, 1), np.nan)
+                middle = (n + 1) / 2  # average ranks always sum to n (n + 1) / 2
+                rt, rp = (s / n - middle * middle for s in squares)
+                rho = ((w * ranks[0] * ranks[1]).sum(axis=0) / n - middle * middle) / np.sqrt(rt * rp)
+                rho = np.where(both & (rt > 0) & (rp > 0), rho, np.nan)
+                r2 = np.where((n >= 2) & varies[0] & (vt > 1e-15), 1 - sse / vt, np.nan)
+            found.append(np.stack([np.arange(start, start + len(n)), n, sse, sae, pcc, rho, r2])[:, n > 0])
+        table = np.concatenate(found, axis=1)
+        first = group.slice(0, 1).select(by).take(pa.array(np.zeros(table.shape[1], np.int64)))
+        scores = [pa.array(table[0].astype(np.int32)), *(pa.array(v, from_pandas=True) for v in table[1:])]
+        return pa.table([*first.columns, *scores], names=[*by, "replicate", "n", "sse", "sae", "pcc", "spearman", "r2"])
+
+    return rows.groupBy(*by).applyInArrow(run, schema)
+
+
+def expanded_features(cells: DataFrame, keys: list[str], unit: str, replicates: int, seed: int, features: DataFrame) -> DataFrame:
+    """The same scores for ``features`` of any size, with a row for each cell and replicate that draws it."""
     drawn = stage(drawn_units(cells, keys, unit, replicates, seed), "bootstrap-draws")
+    cells = cells.join(features, [*keys, "feature"], "left_semi")
     feats = replicate_features(unit_statistics(cells, keys, unit), drawn, keys, unit)
     rho = replicate_spearman(cells, drawn, keys, unit)
-    by = [*keys, "replicate", "feature"]
-    joined = feats.join(rho, by, "left").withColumn("spearman", F.when(F.col("_defined"), F.col("spearman")))
-    return joined.groupBy(*keys, "replicate").agg(
+    joined = feats.join(rho, [*keys, "replicate", "feature"], "left")
+    return joined.withColumn("spearman", F.when(F.col("_defined"), F.col("spearman")))
+
+
+def bootstrap_metrics(cells: DataFrame, keys: list[str], unit: str, replicates: int, seed: int, held: int = HELD) -> DataFrame:
+    """Replicate-level mse, mae and macro pcc, spearman, r2.
+
+    Features of up to ``held`` multiplicities are scored one task each; larger ones in the expanded form, with equal results.
+    """
+    by = [*keys, "feature"]
+    valid = cells.where(finite(F.col("y_true")) & finite(F.col("y_pred")))
+    wide = stage(valid.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") * replicates > held).select(*by), "wide-features")
+    times = multiplicities(cells, keys, unit, replicates, seed)
+    columns = [*by, "replicate", "n", "sse", "sae", "pcc", "spearman", "r2"]
+    if wide.isEmpty():
+        scores = held_features(valid, times, keys, unit, replicates)
+    else:
+        narrow = held_features(valid.join(wide, by, "left_anti"), times, keys, unit, replicates)
+        rest = expanded_features(cells, keys, unit, replicates, seed, wide).select(*columns)
+        scores = narrow.select(*columns).unionByName(rest)
+    return scores.groupBy(*keys, "replicate").agg(
         (F.sum("sse") / F.sum("n")).alias("mse"), (F.sum("sae") / F.sum("n")).alias("mae"),
         F.avg("pcc").alias("pcc"), F.avg("spearman").alias("spearman"), F.avg("r2").alias("r2"),
     )

@@ -96,3 +96,38 @@ def test_alignment_and_primary(spark):
     table = spark.createDataFrame([(0.5,)], "pcc_macro double")
     assert evaluate.primary_value(table, "macro_pcc").first().primary_value == 0.5
     assert "not a computed name" in evaluate.primary_value(table, "nope").first().warning
+
+
+def test_bootstrap_in_arrays_equals_the_expanded_form(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for m, n in (("a", 9), ("b", 2), ("c", 1)):
+        for u in range(n):
+            for k in range(3):
+                t, p = np.round(rng.normal(size=2), 1)
+                rows += [
+                    (m, f"u{u}", "ties", float(t), float(p)), (m, f"u{u}", "constant", 0.1, float(p)),
+                    (m, f"u{u}", "tiny", 1e9 + float(t), float(t)), (m, f"u{u}", "gaps", float(t) if k else None, float("nan") if k == 2 else float(p)),
+                ]
+        rows.append((m, "u0", "single", 1.0, 2.0))
+    df = spark.createDataFrame(rows, "model string, group_id string, feature string, y_true double, y_pred double")
+    order = lambda out: out.toPandas().sort_values(["model", "replicate"]).reset_index(drop=True)
+    held = order(resample.bootstrap_metrics(df, ["model"], "group_id", 40, 3))
+    expanded = order(resample.bootstrap_metrics(df, ["model"], "group_id", 40, 3, held=0))
+    mixed = order(resample.bootstrap_metrics(df, ["model"], "group_id", 40, 3, held=40 * 4))
+    assert len(held) == 120
+    for other in (expanded, mixed):
+        pd.testing.assert_frame_equal(held, other, check_dtype=False, rtol=1e-9)
+
+
+def test_bootstrap_multiplicities_are_the_draws(spark):
+    units = spark.createDataFrame([(m, f"u{i}") for m, n in (("a", 300), ("b", 1)) for i in range(n)], "model string, group_id string")
+    packed = resample.multiplicities(units, ["model"], "group_id", 50, 3).collect()
+    want = {(r.model, r.group_id): {d.replicate: d.times for d in r.drawn} for r in resample.drawn_units(units, ["model"], "group_id", 50, 3).collect()}
+    got = {(r.model, r.group_id): {i: int(n) for i, n in enumerate(np.frombuffer(r.times, np.uint16)) if n} for r in packed}
+    assert got == want and sum(sum(v.values()) for (m, _), v in got.items() if m == "a") == 300 * 50
+
+
+def test_bootstrap_of_no_cells(spark):
+    df = spark.createDataFrame([], "model string, group_id string, feature string, y_true double, y_pred double")
+    assert resample.bootstrap_ci(df, ["model"], "group_id", 10, 1).count() == 0
