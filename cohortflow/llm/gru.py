@@ -74,22 +74,38 @@ class Model:
     # One window
 
     def forward(self, inputs: np.ndarray, h: np.ndarray, keep: bool = False, table: np.ndarray | None = None) -> tuple[np.ndarray, list]:
-        """Hidden states (steps, streams, width) before each word is predicted; tapes for the way back.
+        """Hidden states (steps, streams, width) before each word is predicted; the gates of all steps for the way back.
 
         ``table`` holds every word's share of the gates, if it was made beforehand."""
-        d, p = self.width, self.p
-        x = p["embed"][inputs] @ p["wx"] + p["b"] if table is None else table[inputs]
-        states, tape = np.empty((*inputs.shape, d), np.float32), []
+        d = self.width
+        x = (self.shares() if table is None else table)[inputs]
+        states = np.empty((*inputs.shape, d), np.float32)
+        tape = [np.empty((*inputs.shape, n * d), np.float32) for n in (2, 1)] if keep else []
+        wh, wg = self.p["wh"] * np.float32(0.5), self.p["wg"]  # sigmoid(x) = (1 + tanh(x / 2)) / 2
         for t, xt in enumerate(x):
-            zr = _sigmoid(xt[:, : 2 * d] + h @ p["wh"])
-            z, r = zr[:, :d], zr[:, d:]
-            g = np.tanh(xt[:, 2 * d :] + (r * h) @ p["wg"])
-            new = h + z * (g - h)
+            zr = h @ wh
+            zr += xt[:, : 2 * d]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            g = (zr[:, d:] * h) @ wg
+            g += xt[:, 2 * d :]
+            np.tanh(g, out=g)
             if keep:
-                tape.append((h, z, r, g))
-            states[t] = h = new
+                tape[0][t], tape[1][t] = zr, g
+            new = states[t]
+            np.subtract(g, h, out=new)
+            new *= zr[:, :d]
+            new += h
+            h = new
         return states, tape
 
+    def shares(self) -> np.ndarray:
+        """Every word's share of the gates, that of the sigmoids halved."""
+        table = self.p["embed"] @ self.p["wx"] + self.p["b"]
+        table[:, : 2 * self.width] *= 0.5
+        return table
+
     def log_probs(self, states: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log probability of each word (n: a rarer one) after its state."""
         p = self.p
@@ -130,16 +146,24 @@ class Model:
         back = back.reshape(states.shape)
         later = np.zeros_like(h)
         at_x = np.empty((*inputs.shape, 3 * d), np.float32)
-        befores, resets = np.empty_like(states), np.empty_like(states)
+        befores = np.concatenate([h[None], states[:-1]])
+        zr, g = tape
+        z, r = np.ascontiguousarray(zr[..., :d]), np.ascontiguousarray(zr[..., d:])
+        resets, stay = r * befores, 1 - z
+        slope_g, slope_z, slope_r = z * (1 - g * g), (g - befores) * z * stay, resets * (1 - r)  # of all steps at once
+        wg, wh = np.ascontiguousarray(p["wg"].T), np.ascontiguousarray(p["wh"].T)
         for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, g = tape[t]
-            total = back[t] + later
-            to_g = total * z * (1 - g * g)
-            to_rh = to_g @ p["wg"].T
-            to_zr = np.concatenate([total * (g - before) * z * (1 - z), to_rh * before * r * (1 - r)], axis=1)
-            later = total * (1 - z) + to_rh * r + to_zr @ p["wh"].T
-            befores[t], resets[t] = before, r * before
-            at_x[t, :, : 2 * d], at_x[t, :, 2 * d :] = to_zr, to_g
+            later += back[t]
+            step = at_x[t]
+            to_g = later * slope_g[t]
+            to_rh = to_g @ wg
+            step[:, 2 * d :] = to_g
+            np.multiply(later, slope_z[t], out=step[:, :d])
+            np.multiply(to_rh, slope_r[t], out=step[:, d : 2 * d])
+            later *= stay[t]
+            to_rh *= r[t]
+            later += to_rh
+            later += step[:, : 2 * d] @ wh
         at_x = at_x.reshape(-1, 3 * d)
         grads["wg"] = resets.reshape(-1, d).T @ at_x[:, 2 * d :]
         grads["wh"] = befores.reshape(-1, d).T @ at_x[:, : 2 * d]
@@ -194,7 +218,7 @@ class Model:
         """Natural log probability of each whole document. The state is carried from window to window, so a document
         of any length takes the memory of one window; the longest documents begin first."""
         out = np.zeros(len(docs))
-        table = self.p["embed"] @ self.p["wx"] + self.p["b"]
+        table = self.shares()
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         states = np.zeros((0, self.width), np.float32)
         for numbers, came, inputs, words, live in lanes((docs[i] for i in order), GROUP, self.start):
@@ -215,14 +239,10 @@ def _runs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-
-
 def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each row: the exponentials, their sum, and the log probability of the column ``at``."""
     x = x - x.max(axis=1, keepdims=True)
     own = x[np.arange(len(x)), at]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
+    total = x @ np.ones(x.shape[1], x.dtype)
     return x, total, own - np.log(total)
