@@ -110,11 +110,13 @@ class Model:
         """Natural log probability of each word (n: a rarer one) after its state."""
         p = self.p
         group = self._class(words)
-        out = _softmax(states @ p["class"] + p["class_b"], group)[2]
+        out = _softmax(states, p["class"], p["class_b"], group)[2]
         order, starts = _runs(group)
-        for c, rows in zip(group[order[starts]], np.split(order, starts[1:])):
+        states, places, own = states[order], words[order] % self.size, np.zeros_like(out)
+        for c, lo, hi in _spans(group[order], starts):
             if c < self.classes:
-                out[rows] += _softmax(states[rows] @ p["word"][c] + p["word_b"][c], words[rows] % self.size)[2]
+                own[lo:hi] = _softmax(states[lo:hi], p["word"][c], p["word_b"][c], places[lo:hi])[2]
+        out[order] += own
         return out
 
     # Training
@@ -128,21 +130,22 @@ class Model:
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         group = self._class(target)
         at = np.arange(len(target))
-        err, total, own = _softmax(flat @ p["class"] + p["class_b"], group)
-        loss = -float((own * weight).sum())
+        err, total, own = _softmax(flat, p["class"], p["class_b"], group)
         err *= (weight * scale / total)[:, None]
         err[at, group] -= weight * scale
         grads["class"], grads["class_b"], back = flat.T @ err, err.sum(axis=0), err @ p["class"].T
         order, starts = _runs(group)
-        for c, rows in zip(group[order[starts]], np.split(order, starts[1:])):
+        ordered, places, share = flat[order], target[order] % self.size, weight[order] * scale
+        below, inside = np.zeros_like(ordered), np.zeros_like(own)
+        for c, lo, hi in _spans(group[order], starts):
             if c < self.classes:
-                own_weight = weight[rows] * scale
-                err, total, own = _softmax(flat[rows] @ p["word"][c] + p["word_b"][c], target[rows] % self.size)
-                loss -= float((own * weight[rows]).sum())
-                err *= (own_weight / total)[:, None]
-                err[np.arange(len(rows)), target[rows] % self.size] -= own_weight
-                grads["word"][c], grads["word_b"][c] = flat[rows].T @ err, err.sum(axis=0)
-                back[rows] += err @ p["word"][c].T
+                err, total, inside[lo:hi] = _softmax(ordered[lo:hi], p["word"][c], p["word_b"][c], places[lo:hi])
+                err *= (share[lo:hi] / total)[:, None]
+                err[at[: hi - lo], places[lo:hi]] -= share[lo:hi]
+                grads["word"][c], grads["word_b"][c] = ordered[lo:hi].T @ err, err.sum(axis=0)
+                np.matmul(err, p["word"][c].T, out=below[lo:hi])
+        back[order] += below
+        loss = -float((own * weight).sum() + (inside * weight[order]).sum())
         back = back.reshape(states.shape)
         later = np.zeros_like(h)
         at_x = np.empty((*inputs.shape, 3 * d), np.float32)
@@ -239,9 +242,16 @@ def _runs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
 
 
-def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row: the exponentials, their sum, and the log probability of the column ``at``."""
-    x = x - x.max(axis=1, keepdims=True)
+def _spans(ordered: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Of each run of equal numbers: the number, where it starts, and where it ends."""
+    return zip(ordered[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(ordered)])
+
+
+def _softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each state: the exponentials of its scores, their sum, and the log probability of the column ``at``."""
+    x = states @ weights
+    x += bias
+    x -= x.max(axis=1, keepdims=True)
     own = x[np.arange(len(x)), at]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
