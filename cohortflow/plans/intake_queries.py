@@ -494,7 +494,7 @@ def table_fingerprint(spark, sf):
 )
 def fingerprint_diff(spark, sf):
     """The frozen tables against ones with a changed name, changed dates, a missing table and an extra one."""
-    frozen = _fingerprints(spark, sf)
+    frozen = stage(_fingerprints(spark, sf), "frozen-fingerprints")  # a row a table, read twice
     later = table(spark, sf, "lineitem").withColumn("l_shipdate", F.when(F.col("l_linenumber") == 2, F.col("l_shipdate") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("l_shipdate")))
     changed = table(spark, sf, "customer").withColumn("c_name", F.when(F.col("c_custkey") == 3, "x").otherwise(F.col("c_name")))
     same = frozen.where("name NOT IN ('lineitem', 'customer', 'documents')")
