@@ -4,7 +4,7 @@ High-recall expressions propose overlapping spans of every kind, spelt-out and b
 them. Those that meet a kind's base rule are kept as they are. Gradient-boosted trees score the others by
 format and context, and a threshold per kind, calibrated on held-out documents, selects among them.
 
-The trees learn from a bounded sample of documents: candidates that meet the base rule, the same ones
+The trees learn from all documents: candidates that meet the base rule, the same ones
 rewritten into the loose forms, and copies spoilt so that no rule holds any more.
 """
 
@@ -33,8 +33,8 @@ LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[\[(]\x20?
 LOOSE_NUMBER = r"\+?\(?[0-9](?:[\x20().\[\]/-]{0,3}[0-9])++"
 OCTET = r"0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: Documents that the trees may learn from, trees, their depth, and the precision a threshold has to reach.
-SAMPLE_DOCS, TREES, DEPTH, PRECISION = 20_000, 10, 3, 0.995
+#: Trees, their depth, and the precision a threshold has to reach.
+TREES, DEPTH, PRECISION = 10, 3, 0.995
 #: Share of the documents, in sixteenths, held out to calibrate the thresholds.
 HELD_OUT = 5
 
@@ -169,21 +169,19 @@ def _beyond(candidates: Column, kept: dict[str, Column]) -> Column:
     return spans.bind(candidates, clear)
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS, trees: int = TREES, depth: int = DEPTH, precision: float = PRECISION) -> Model:
-    """Trees and thresholds from about ``sample_docs`` documents, chosen by a hash of their id.
+def fit(docs: DataFrame, text: str = "text", trees: int = TREES, depth: int = DEPTH, precision: float = PRECISION) -> Model:
+    """Trees and thresholds from the candidates of all documents.
 
     Without positive and negative candidates there are no trees and nothing beyond the base spans is
     selected. A kind's threshold is the lowest score, in hundredths, from which on the held-out
     candidates are right with the given precision.
     """
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < share * (1 << 20)).where(F.col(text).isNotNull())
-    rows = stage(training_rows(chosen, text), "candidates")
+    rows = stage(training_rows(docs.where(F.col(text).isNotNull()), text), "candidates")
     train = rows.where(F.col("part") >= HELD_OUT)
     if train.select("label").distinct().count() < 2:
         return Model((), (), dict.fromkeys(KINDS, 1.01))
     boosted = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=1, featuresCol="vector")
-    fitted = boosted.fit(train.select("label", array_to_vector("features").alias("vector")).coalesce(4))
+    fitted = boosted.fit(train.select("label", array_to_vector("features").alias("vector")))
     model = Model(tuple(_node(t._java_obj.rootNode()) for t in fitted.trees), tuple(fitted.treeWeights), {})
     scored = rows.where(F.col("part") < HELD_OUT).select("kind", "label", F.floor(score(F.col("features"), model) * 100).alias("bin"))
     bins = scored.groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # at most 101 a kind
