@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.llm import bpe
+from cohortflow.llm.slices import slices
 from cohortflow.session import stage
 
 #: Hash buckets of token ids, dimensions of the projection, and bits of a coordinate.
@@ -91,7 +92,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, doc_
             except ValueError:  # its pattern engine gives up on very long runs of white space
                 return bpe.encoder(path).encode(value)
 
-        for batch in batches:
+        for batch in slices(batches):
             keys, packed = [], []
             for x in batch.column(1):
                 ids = tokens(x.as_py() or "")

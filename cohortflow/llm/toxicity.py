@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortflow.llm.slices import slices
 from cohortflow.session import stage
 
 #: Labelled documents that are learnt from (about), words selected, and least documents with a word.
@@ -208,7 +209,7 @@ def judged(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = shared.value.words, shared.value.weights
         number = {w: i for i, w in enumerate(words)}
-        for batch in batches:
+        for batch in slices(batches):
             p = np.zeros((3, batch.num_rows))
             if words:
                 for i, value in enumerate(batch.column(1)):
