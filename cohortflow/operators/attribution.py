@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from cohortflow.functions.hashing import seeded_digest
 from cohortflow.functions.numeric import ZERO_VARIANCE, dead_sign
-from cohortflow.operators.linear import Header, column_values, cross_products, predict, target_rows
+from cohortflow.operators.linear import Header, column_values, cross_products, residuals, target_rows
 from cohortflow.operators.resample import drawn_units
 from cohortflow.operators.scan import prefix_scan, range_buckets, shuffled_position
 from cohortflow.session import stage
@@ -109,18 +109,39 @@ def unit_gaps(rows: DataFrame, names: Header, width: int, baseline: DataFrame) -
             if not batch.num_rows:
                 continue
             x = np.asarray(batch.column(1).flatten(), dtype=float).reshape(batch.num_rows, width)[:, :p]
-            units = batch.column(0).dictionary_encode()
+            units = batch.column(0).dictionary_encode(null_encoding="encode")
             places = units.indices.to_numpy(zero_copy_only=False)
             sums, n = np.zeros((len(units.dictionary), p)), np.bincount(places, minlength=len(units.dictionary))
             np.add.at(sums, places, 2 * x - base)  # zeros and train mean; the last observation is the input itself
             yield pa.RecordBatch.from_arrays([units.dictionary, pa.array([salt] * len(n), pa.int32()), pa.array([v.tobytes() for v in sums], pa.binary()), pa.array(n * len(BASELINES), pa.int64())], names=["group_id", "salt", "gap", "n"])
 
-    def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v.as_py()) for v in part["gap"])
-        return pa.table([part["group_id"][:1], part["salt"][:1], pa.array([total.tobytes()], pa.binary()), pa.array([sum(part["n"].to_pylist())], pa.int64())], names=["group_id", "salt", "gap", "n"])
+    def put(keys: pa.RecordBatch, gaps: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*keys.columns, pa.array([v.tobytes() for v in gaps], pa.binary()), pa.array(n, pa.int64())], names=["group_id", "salt", "gap", "n"])
 
-    partial = rows.select("group_id", "x").mapInArrow(run, schema)
-    return stage(partial.groupBy("group_id", "salt").applyInArrow(add, schema).groupBy("group_id").applyInArrow(add, schema).drop("salt"), "unit-gaps")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the next batch may go on with it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) * SALTS + batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            gaps = np.add.reduceat(np.frombuffer(b"".join(batch.column(2).to_pylist())).reshape(batch.num_rows, p), starts, axis=0)
+            n = np.add.reduceat(batch.column(3).to_numpy(), starts)
+            keys = batch.select([0, 1]).take(pa.array(starts))
+            if last and last[0].equals(keys.slice(0, 1)):
+                gaps[0] += last[1][0]
+                n[0] += last[2][0]
+            elif last:
+                yield put(*last)
+            yield put(keys.slice(0, len(starts) - 1), gaps[:-1], n[:-1])
+            last = keys.slice(len(starts) - 1), gaps[-1:], n[-1:]
+        if last:
+            yield put(*last)
+
+    # Rows sorted by unit are summed as they stream past: no call for each unit, and no unit is gathered.
+    salted = rows.select("group_id", "x").mapInArrow(run, schema).repartition("group_id", "salt").sortWithinPartitions("group_id", "salt").mapInArrow(add, schema)
+    whole = salted.withColumn("salt", F.lit(0)).repartition("group_id").sortWithinPartitions("group_id").mapInArrow(add, schema)
+    return stage(whole.drop("salt"), "unit-gaps")
 
 
 def weighted_gaps(units: DataFrame, weights: DataFrame, series: int, p: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,19 +269,19 @@ def permutation_delta(rows: DataFrame, coefs: DataFrame, names: Header, targets:
     ``rows`` are design rows with their observed targets (x, t, y). With another row's inputs the prediction is
     ``y_pred + coef * (x_partner - x)``, so the change of the squared error is a sum of two moments per pair: of
     the residual times the input change D, and of its square. Both are matrix products, E'D and M'(D*D), summed
-    over tiles of targets and all seeds; there is no row for a seed and cell.
+    over tiles of targets and all seeds; there is no row for a seed and cell. A row of a wide model may come in pieces,
+    each with some of its targets, as the products add up.
     """
     p = names.n
-    residual = predict(rows, coefs, width, ["instance_id"]).groupBy("instance_id").agg(F.collect_list(F.struct("t", (F.col("y_pred") - F.col("y_true")).alias("e"))).alias("e"))
-    slim = rows.select("instance_id", F.slice("x", 1, p).alias("x"))
+    told = residuals(rows, coefs, width, ["instance_id"]).withColumn("x", F.slice("x", 1, p))
+    partners = rows.select(F.col("instance_id").alias("partner_id"), F.slice("x", 1, p).alias("_px"))
     moved = (
-        permuted_partners(rows, n_seeds, seed).join(slim, "instance_id")
-        .join(slim.select(F.col("instance_id").alias("partner_id"), F.col("x").alias("_px")), "partner_id")
-        .join(residual, "instance_id")
-        .select(F.zip_with("_px", "x", lambda a, b: a - b).alias("x"), F.col("e.t").alias("t"), F.col("e.e").alias("y"))
+        permuted_partners(rows, n_seeds, seed).join(told, "instance_id").join(partners, "partner_id")
+        .select(F.concat("_px", "x").alias("x"), "t", F.col("e").alias("y"))
     )
+    gap = lambda both: both[:, :p] - both[:, p:]
     ones = lambda d: np.hstack([d, np.ones((len(d), 1))])
-    summed = target_rows(cross_products(moved, p, ones, lambda d: ones(d * d), False), p + 1, ("ed", "dd"))
+    summed = target_rows(cross_products(moved, 2 * p, lambda d: ones(gap(d)), lambda d: ones(gap(d) ** 2), False), p + 1, ("ed", "dd"))
     met = summed.join(coefs.select("t", F.slice("coef", 1, p).alias("coef")), "t").withColumn("n", F.element_at("dd", -1))
     both = F.zip_with(F.slice("ed", 1, p), F.slice("dd", 1, p), lambda a, b: F.struct(a.alias("ed"), b.alias("dd")))
     delta = F.zip_with("coef", both, lambda c, m: (2 * c * m["ed"] + c * c * m["dd"]) / F.col("n"))

@@ -436,6 +436,33 @@ def predict(rows: DataFrame, coefs: DataFrame, p: int, keep: list[str]) -> DataF
     return over_blocks(rows.select(*keep, "x", F.col("t"), F.col("y")), held, p + 1, use, schema)
 
 
+def residuals(rows: DataFrame, coefs: DataFrame, p: int, keep: list[str]) -> DataFrame:
+    """``keep, x`` and the parallel arrays ``t, e`` of design rows ``x, t, y``: prediction less observed value of each target that has coefficients.
+
+    A row stays whole, or has a piece for each block of targets if coefficients meet the rows in blocks; rows without such a target are absent.
+    """
+    lists = [T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("t", T.ArrayType(T.IntegerType())), T.StructField("e", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([rows.schema[c] for c in keep] + lists)
+
+    def use(block: pa.Table, held: pa.Table) -> pa.RecordBatch:
+        x, targets = _matrix(block["x"], p), held["t"].to_numpy()
+        at, t = _flat(block["t"])
+        _, y = _flat(block["y"])
+        values = x @ _matrix(held["coef"], p).T + held["intercept"].to_numpy()
+        place = np.full(max(int(t.max(initial=0)), int(targets.max(initial=0))) + 1, -1)
+        place[targets] = np.arange(len(targets))
+        known = np.flatnonzero(place[t] >= 0)
+        at, t, e = at[known], t[known], values[at[known], place[t[known]]] - y[known]
+        counts = np.bincount(at, minlength=block.num_rows)
+        some = np.flatnonzero(counts)
+        offsets = pa.array(np.r_[0, np.cumsum(counts[some])].astype(np.int32))
+        columns = [block[c].combine_chunks().take(pa.array(some, pa.int64())) for c in keep]
+        columns += [_lists(x[some]), pa.ListArray.from_arrays(offsets, pa.array(t, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(e, pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+
+    return over_blocks(rows.select(*keep, "x", "t", "y"), coefs.select("t", "coef", "intercept"), p + 1, use, schema)
+
+
 def log_uniform(low: float, high: float, n: int, seed: int) -> list[float]:
     """Seeded log-uniform candidates: a fixed budget over a fixed range."""
     a, b = np.log10(low), np.log10(high)
