@@ -11,6 +11,7 @@ from cohortflow.plans.proxies import EVENT_ASSAY, event_cells, event_forecast, t
 from cohortflow.plans.registry import query
 from cohortflow.plans.runs import Explained, Prior, Ridge
 from cohortflow.plans.sql import fragment, r6, with_query
+from cohortflow.session import stage
 
 STABILITY_SEED, PERM_SEED, N_SEEDS = 13, 17, 3
 CONFIG = attribution.StabilityConfig(top_k_per_target=3)
@@ -140,18 +141,19 @@ def event_prior(spark, sf):
     """Edges between the types of consecutive events, vectors of mean values, two pathway families."""
     events = table(spark, sf, "events").select("event_id", "event_type", "value")
     following = events.select((F.col("event_id") - 1).alias("event_id"), F.col("event_type").alias("next_type"))
-    counts = events.join(following, "event_id").where("event_type <> next_type").groupBy("event_type", "next_type").agg(F.count("*").alias("n"))
+    # One pass over the pairs and one over the events; what is kept of them is a row a type or a pair of types.
+    counts = stage(events.join(following, "event_id").where("event_type <> next_type").groupBy("event_type", "next_type").agg(F.count("*").alias("n")), "prior-counts")
+    types = stage(events.groupBy("event_type").agg(F.avg("value").alias("v")), "prior-types")
     top = counts.agg(F.max("n").alias("top"))
     assay = lambda c: F.coalesce(*[F.when(F.col(c) == k, v) for k, v in EVENT_ASSAY.items()])
     edges = counts.withColumn("top", top.scalar()).select(
         assay("event_type").alias("source_modality"), F.col("event_type").alias("source_id"), assay("next_type").alias("target_modality"), F.col("next_type").alias("target_id"),
         F.lit("functional_association").alias("edge_type"), F.lit(False).alias("directed"), (F.col("n") / F.col("top")).alias("score"),
     )
-    vectors = events.groupBy("event_type").agg(F.avg("value").alias("v")).select(
+    vectors = types.select(
         assay("event_type").alias("modality"), F.col("event_type").alias("feature"),
         F.array(F.lit(0.0), F.when(F.col("event_type") == "signup", 0.0).otherwise(F.col("v"))).alias("embedding"),
     )
-    types = events.select("event_type").distinct()
     pathways = types.where("event_type IN ('click', 'view')").select(F.lit("PW1").alias("pathway_id"), F.lit("rna").alias("modality"), F.col("event_type").alias("feature")).union(
         types.where("event_type = 'purchase'").select(F.lit("PW1-PROT"), F.lit("protein"), "event_type")
     )
