@@ -158,9 +158,13 @@ def subject_design(instances: DataFrame, cells: DataFrame, names: Header, condit
 
 
 def group_design(instances: DataFrame, keys: DataFrame, means: DataFrame, names: Header, conditions: Header) -> DataFrame:
-    """As ``subject_design`` with the as-of train means as inputs; a missing mean is 0."""
+    """As ``subject_design`` with the as-of train means as inputs; a missing mean is 0.
+
+    The few (condition, target time) pairs are written once: with a known size they go to the instances, which would
+    otherwise gather in one task a pair.
+    """
     entries = input_entries(means, names, ["condition", "time"], "mean").withColumnsRenamed({"condition": "key_condition", "time": "key_time"})
-    per_key = keys.join(entries, ["key_condition", "key_time"], "left")
+    per_key = stage(keys.join(entries, ["key_condition", "key_time"], "left"), "key-inputs")
     rows = instances.drop("delta_t").join(per_key, ["condition", "target_time"]).withColumn("delta_t", F.col("target_time") - F.col("key_time"))
     return _with_covariates(rows, names, conditions, None, names.n + 2 + conditions.n)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cohortflow import session
 from cohortflow.operators import graph
-from cohortflow.plans import graph_queries, study_queries
+from cohortflow.plans import graph_queries, proxies, study_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +36,11 @@ def test_samples_without_a_pathway_or_a_value_stay(spark):
     members = spark.createDataFrame([("A", "rna", "a"), ("B", "rna", "b")], "pathway_id string, modality string, feature string")
     got = {(r.sample, r.pathway_id): (r.activity, r.mask) for r in graph.pathway_activity(cells, members, ["sample"], "value").collect()}
     assert got == {(s, p): (2.0, True) if (s, p) == ("s", "A") else (0.0, False) for s in ("s", "none", "gap") for p in "AB"}
+
+
+def test_instances_do_not_gather_by_condition_and_time(spark, monkeypatch):
+    monkeypatch.setattr(session, "PART_ROWS", 60)
+    data = proxies.order_forecast(spark, SF)
+    rows = data.design()
+    assert shuffles(rows) == []
+    assert rows.count() == data.observed.count() == data.targets.select("instance_id").distinct().count()
